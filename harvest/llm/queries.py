@@ -102,10 +102,10 @@ _ENTRY_ROWS = ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', make_timestamp({(_
 
 ORACLES = {
     "op1_url_filters": f"""
-WITH entries(list_name, scope, pattern, verdict, action, at) AS (VALUES {_ENTRY_ROWS}),
+WITH entries(list_name, scope, pattern, verdict, action, since) AS (VALUES {_ENTRY_ROWS}),
 spans AS (
-  SELECT list_name, scope, pattern, verdict, action, at AS valid_from,
-         lead(at) OVER (PARTITION BY list_name, scope, pattern ORDER BY at, action, verdict) AS valid_to
+  SELECT list_name, scope, pattern, verdict, action, since AS valid_from,
+         lead(since) OVER (PARTITION BY list_name, scope, pattern ORDER BY since, action, verdict) AS valid_to
   FROM (SELECT DISTINCT * FROM entries)
 ),
 valid AS (SELECT * FROM spans WHERE action = 'add' AND (valid_to IS NULL OR valid_to > valid_from)),
