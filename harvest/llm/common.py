@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that a numpy kernel takes at once (one document at least, however long).
 CHUNK_BYTES = 1 << 20
 
-_SEP = np.zeros(256, bool)
-_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+SEPARATORS = np.zeros(256, bool)
+SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -107,7 +107,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SEP[data]
+    inside = ~SEPARATORS[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -119,7 +119,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers("up", n), out=sums[1:])
+    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers("up", n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers("down", n)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets)
 
