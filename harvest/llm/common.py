@@ -7,6 +7,7 @@ so that they don't clash with those of the input; an empty table gives an empty
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -49,6 +50,28 @@ def table(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``table`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner find what finished jobs left: it drops shuffle files when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def whole_texts(df: DataFrame, *columns: str, rows: int = 1000) -> DataFrame:
+    """(doc_id long, text string, columns), sent to Python in batches of few rows, since texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, key_crc32, mix, multipliers
+from .common import chunks, key_crc32, mix, multipliers, whole_texts
 
 ORDER = 4
 #: Labelled rows counted per language, and half as many to calibrate, about.
@@ -282,7 +282,7 @@ def identify(docs: DataFrame, model: KneserNey) -> DataFrame:
                     best, score, least, rejected = (np.full(end - first, x) for x in (0, 0.0, 0.0, True))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, end - first), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected), pa.array(least)], names=["doc_id", "lang_pred", "score", "rejected", "entropy"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, entropy double")
+    return whole_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, entropy double")
 
 
 def held_out(docs: DataFrame, folds: int = 5):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, multipliers, shingle_hashes, table, word_hashes
+from .common import chunks, drop, mix, multipliers, shingle_hashes, table, tidy, whole_texts, word_hashes
 from .components import components
 
 #: Size of the table of shingle frequencies, by hash; it only orders the lists.
@@ -205,13 +205,16 @@ def ngram_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataF
     their component is their own id. Sets are compared by 64-bit hashes of their shingles. doc_id names a
     document: rows that repeat one keep their rows (same result); a null doc_id takes part in no link.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    own = whole_texts(docs).fillna("", ["text"])
     named = own.where("doc_id is not null")
     all_rows = table(profiles(named, percent, size))
     grouped = all_rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"))
     member = table(all_rows.select("doc_id", "n", "hi", "lo").join(grouped, ["n", "hi", "lo"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     classes = all_rows.where("n > 0").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     classes = table(classes.select("rep", "n", "prefix", "least", "small", "bits"))
+    drop(all_rows)
+    tidy(spark)
     sizes = {r[0]: r[1] for r in classes.groupBy(F.least("n", F.lit(2 * MOST_LIGHT)).alias("n")).count().collect()}
     most = boundary(sizes, percent)
     heavy = classes.where(F.col("n") * 100 >= percent * (most + 1))
@@ -223,8 +226,13 @@ def ngram_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataF
     links = light.unionByName(table(_verified(table(_possible(pairs, classes, percent)), named, percent, size)))
 
     known = components(links)
-    with_component = lambda df: df.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    lists = table(with_component(heavy.select("rep", "n", "prefix")).select("rep", "n", "component", F.explode("prefix").alias("token")))
+    tidy(spark)
+    listed = heavy.select("rep", F.explode("prefix").alias("token"))
+    shared = table(listed.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token"))
+    tidy(spark)
+    lists = table(listed.join(shared, "token", "left_semi"))
+    tidy(spark)
+    lists = table(lists.join(classes.select("rep", "n"), "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     mixed = lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     lists = lists.join(mixed, "token", "left_semi")
     x, y = (lists.select("token", *(F.col(k).alias(f"{k}{c}") for k in ("rep", "n", "component"))) for c in "ab")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, table
+from .common import chunks, table, whole_texts
 
 CAPACITY = 2048
 #: Lengths up to this one are small: best fit places them after the configurations.
@@ -131,7 +131,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
             )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _h_part long, _h_rank long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return whole_texts(docs).mapInArrow(run, schema)
 
 
 def _fill(sizes: list[int], left: list[int], room: int) -> dict[int, int]:

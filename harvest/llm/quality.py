@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, one_hash, word_hashes
+from .common import chunks, one_hash, whole_texts, word_hashes
 
 LABELLED = 4000
 POOL = 4000
@@ -144,7 +144,7 @@ class QualityModel:
 def _own(docs: DataFrame) -> DataFrame:
     have = set(docs.columns)
     extra = [(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in ("source", "lang")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    return whole_texts(docs, *extra)
 
 
 def _views(batch):
