@@ -170,15 +170,17 @@ def _light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and bitmaps admit, with the least difference."""
 
-    @F.udf("long", useArrow=True)
-    def bound(x: bytes, y: bytes) -> int:
-        return least_difference(x, y)
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            far = np.fromiter((least_difference(x, y) for x, y in zip(batch.column("bitsa").to_pylist(), batch.column("bitsb").to_pylist(), strict=True)), np.int64, batch.num_rows)
+            # |A & B| = (na + nb - difference) / 2 and |A | B| = (na + nb + difference) / 2
+            keep = pa.array(100 * (na + nb - far) >= percent * (na + nb + far))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(far).filter(keep)], names=["a", "b", "far"])
 
     left, right = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
     near = pairs.join(left, "a").join(right, "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    out = near.withColumn("far", bound("bitsa", "bitsb"))
-    # |A & B| = (na + nb - difference) / 2 and |A | B| = (na + nb + difference) / 2
-    return out.where(100 * (F.col("na") + F.col("nb") - F.col("far")) >= percent * (F.col("na") + F.col("nb") + F.col("far"))).select("a", "b", "far")
+    return near.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, far long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -227,7 +229,7 @@ def ngram_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataF
 
     known = components(links)
     tidy(spark)
-    listed = heavy.select("rep", F.explode("prefix").alias("token"))
+    listed = heavy.select("rep", F.posexplode("prefix").alias("pos", "token"))
     shared = table(listed.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token"))
     tidy(spark)
     lists = table(listed.join(shared, "token", "left_semi"))
@@ -235,8 +237,11 @@ def ngram_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataF
     lists = table(lists.join(classes.select("rep", "n"), "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     mixed = lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     lists = lists.join(mixed, "token", "left_semi")
-    x, y = (lists.select("token", *(F.col(k).alias(f"{k}{c}") for k in ("rep", "n", "component"))) for c in "ab")
+    x, y = (lists.select("token", *(F.col(k).alias(f"{k}{c}") for k in ("rep", "n", "component", "pos"))) for c in "ab")
     met = x.join(y, "token").where((F.col("componenta") != F.col("componentb")) & (F.col("repa") < F.col("repb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (F.greatest("na", "nb") > most))
+    # of the first shingle that two linked classes share, neither has too few after it
+    rest = 1 + F.least(F.col("na") - F.col("posa") - 1, F.col("nb") - F.col("posb") - 1)
+    met = met.where(rest * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
     open_pairs = table(_possible(met.select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct(), classes, percent))
 
     first_turn = True
