@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import pipeline, scalars, store, streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (store, scalars, streams, pipeline):
+    QUERIES |= _m.Q
+    ORACLES |= _m.O
