@@ -9,6 +9,7 @@ from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -132,7 +133,7 @@ def compact(s: str) -> str:
     return " ".join(s.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_any(href: pd.Series, base: pd.Series) -> pd.Series:
     """Any relative reference against its base, dot segments removed, without fragment; '' for what can't be parsed."""
 
@@ -145,13 +146,13 @@ def resolve_any(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Tags to spaces, every entity decoded, white space compacted."""
     return s.map(lambda x: None if x is None else compact(_html.unescape(re.sub("<[^>]*>", " ", x))))
 
 
-@F.pandas_udf("title string, description string, location string, email string, phone string, date string")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description", "location", "email", "phone", "date")]))
 def page_details(pages: pd.Series) -> pd.DataFrame:
     """Title (h1, else title), description (the first of six places with over 100 bytes), location, e-mail, phone, date.
 
@@ -179,7 +180,7 @@ def page_details(pages: pd.Series) -> pd.DataFrame:
 def bullets(headings: str = "h2,h3,h4,strong", names: tuple[str, ...] = ("responsibilities", "requirements")):
     """A function column: list items behind the headings with these words, responsibilities first."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(pages: pd.Series) -> pd.Series:
         out = []
         for page in pages:
@@ -198,7 +199,7 @@ def bullets(headings: str = "h2,h3,h4,strong", names: tuple[str, ...] = ("respon
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def find_phone(s: pd.Series) -> pd.Series:
     """The first phone in a text: behind tel:, a single word of valid form, or a run of digit groups."""
 

@@ -52,7 +52,7 @@ def title_case(s: Column) -> Column:
 
 
 def slug_to_title(path: Column) -> Column:
-    return title_case(F.translate(F.element_at(F.filter(F.split(path, "/"), lambda x: x != ""), -1), "-_", "  "))
+    return title_case(F.translate(F.try_element_at(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(-1)), "-_", "  "))
 
 
 def ascii_lower(s: Column) -> Column:

@@ -128,7 +128,7 @@ def segments(u: Column) -> Column:
 
 
 def title_from(u: Column) -> Column:
-    return F.coalesce(strip(F.translate(F.element_at(segments(u), -1), "-_", "  ")), F.lit(""))
+    return F.coalesce(strip(F.translate(F.try_element_at(segments(u), F.lit(-1)), "-_", "  ")), F.lit(""))
 
 
 def company_from(u: Column) -> Column:
@@ -137,7 +137,7 @@ def company_from(u: Column) -> Column:
         h = F.regexp_replace(h, "^" + prefix.replace(".", r"\."), "")
     labels = F.split(h, r"\.")
     first = F.when(F.size(labels) > 2, labels[0]).otherwise(F.coalesce(F.get(segments(u), F.lit(0)), F.lit("")))
-    return title_case(F.translate(first, "-", " "))
+    return title_case(first)
 
 
 def _titled(s: Column) -> Column:
@@ -159,7 +159,7 @@ def company_and_portal(u: Column) -> Column:
 def comeet_job(u: Column) -> Column:
     """An address of a posting there: under jobs/, three parts or more, and a code such as A1.23B at the end."""
     s = segments(u)
-    return host(u).rlike(r"(^|\.)comeet\.(co|com)$") & (F.get(s, F.lit(0)) == "jobs") & (F.size(s) >= 3) & F.element_at(s, -1).rlike(r"^[A-Za-z0-9]{2}\.[A-Za-z0-9]{3}$")
+    return host(u).rlike(r"(^|\.)comeet\.(co|com)$") & (F.get(s, F.lit(0)) == "jobs") & (F.size(s) >= 3) & F.try_element_at(s, F.lit(-1)).rlike(r"^[A-Za-z0-9]{2}\.[A-Za-z0-9]{3}$")
 
 
 def route(u: Column) -> Column:

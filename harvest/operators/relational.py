@@ -130,5 +130,5 @@ def ratio(num: Column, den: Column) -> Column:
 
 def rate(df: DataFrame, key: list[str], ts: str, seconds: int = 300) -> DataFrame:
     """Events per second over the time before each event, by key."""
-    w = Window.partitionBy(*key).orderBy(F.unix_micros(F.col(ts))).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumn("rate", F.count("*").over(w) / F.lit(float(seconds)))

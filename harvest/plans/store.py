@@ -292,8 +292,8 @@ def title_from_url(spark, d):
     return table(spark, d, "pages").select("page_id", url.title_from(F.col("url")).alias("title"))
 
 
-@query(f"""SELECT page_id, upper(left(c, 1)) || lower(substr(c, 2)) AS company FROM (SELECT page_id,
-regexp_replace(regexp_replace({_HOST}, '^www[.]', ''), '^jobs[.]', '') AS h, split_part(regexp_replace({_HOST}, '^www[.]', ''), '.', 1) AS c FROM pages)""")
+@query(f"""SELECT page_id, array_to_string(list_transform(string_split(c, '-'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '-') AS company
+FROM (SELECT page_id, split_part(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HOST}, '^www[.]', ''), '^jobs[.]', ''), '^careers[.]', ''), '^boards[.]', ''), '.', 1) AS c FROM pages)""")
 def company_from_url(spark, d):
     return table(spark, d, "pages").select("page_id", url.company_from(F.col("url")).alias("company"))
 
