@@ -32,7 +32,7 @@ from .common import chunks, drop, mix, multipliers, shingle_hashes, table, tidy,
 from .components import components
 
 #: Size of the table of shingle frequencies, by hash; it only orders the lists.
-BUCKETS = 1 << 22
+BUCKETS = 1 << 24
 #: Sizes that may be light.
 MOST_LIGHT = 32
 #: What a listed shingle costs, in units of a subset.
@@ -79,14 +79,14 @@ def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.int32)
         for _, s in _sets(batches, size):
             if len(s):
-                np.add.at(counts, (s >> np.uint64(42)).astype(np.int64), 1)
+                np.add.at(counts, (s >> np.uint64(40)).astype(np.int64), 1)
         mean = counts.mean()
-        often = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 2)
+        often = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 1.5)
         yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(counts[often].astype(np.int64))], names=["b", "n"])
 
     found = docs.mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.uint32)
-    out[found.column("b").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    out = np.zeros(BUCKETS, np.uint8)  # eighths of a power of two: enough for an order
+    out[found.column("b").to_numpy()] = np.minimum(8 * np.log2(found.column("n").to_numpy() + 1.0), 255)
     return out
 
 
@@ -124,7 +124,7 @@ def profiles(docs: DataFrame, percent: int, size: int) -> DataFrame:
             if n:
                 signed = s.view(np.int64)
                 keep = n - -(-percent * n // 100) + 1
-                prefix = signed[np.lexsort((s, rank[(s >> np.uint64(42)).astype(np.int64)]))[:keep]]
+                prefix = signed[np.lexsort((s, rank[(s >> np.uint64(40)).astype(np.int64)]))[:keep]]
                 least = np.array([mix(s * k).min() for k in _K[:MIN_HASHES]]).view(np.int64)
                 hi, lo = int(np.add.reduce(mix(s ^ _K[0])).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + _K[1])).view(np.int64))
                 out.append((doc, n, hi, lo, prefix, least, signed if n <= MOST_LIGHT else None, _bitmap(s)))
