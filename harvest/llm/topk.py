@@ -19,30 +19,33 @@ from .vectors import BLOCK, blocks_for, frame, matrix, merged, top_rows, valid
 
 #: Queries whose score arrays are filled together.
 QUERY_CHUNK = 128
+#: Candidates whose scores lie together in a processor's cache.
+ROWS = 1024
 
 
-def postings(weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each term the rows that have it and their weights there."""
-    out = []
+def postings(weights: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """Of each term the rows that have it and their weights; a list of over half the rows has all rows (None), 0 for the rest."""
+    out: list = []
     for t in range(weights.shape[1]):
         rows = np.flatnonzero(weights[:, t])
-        out.append((rows, weights[rows, t]))
+        out.append((None, np.ascontiguousarray(weights[:, t])) if 2 * len(rows) > len(weights) else (rows, weights[rows, t]))
     return out
 
 
-def accumulate(lists: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, n: int) -> np.ndarray:
+def accumulate(lists: list[tuple[np.ndarray | None, np.ndarray]], queries: np.ndarray, n: int) -> np.ndarray:
     """Scores (n candidates x queries): for each term the weighted postings are added to the queries that have it."""
     scores = np.zeros((n, len(queries)), queries.dtype)
+    part = np.empty_like(scores)
     for t, (rows, weights) in enumerate(lists):
-        has = np.flatnonzero(queries[:, t])
-        if not len(has) or not len(rows):
+        q = np.ascontiguousarray(queries[:, t])
+        if not len(weights) or not q.any():
             continue
-        if len(has) == len(queries) and len(rows) == n:
-            scores += weights[:, None] * queries[None, :, t]
-        elif len(has) == len(queries):
-            scores[rows] += weights[:, None] * queries[None, :, t]
+        if rows is None:
+            np.multiply(weights[:, None], q[None], out=part)
+            scores += part
         else:
-            scores[np.ix_(rows, has)] += weights[:, None] * queries[None, has, t]
+            has = np.flatnonzero(q)
+            scores[np.ix_(rows, has)] += weights[:, None] * q[None, has]
     return scores
 
 
@@ -68,9 +71,12 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20
         q, w = (matrix(x.column("w").to_pandas(), dtype) if x.num_rows else None for x in (left, right))
         out: list = []
         if q is not None and w is not None:
-            lists = postings(w)
+            lists = [(k, postings(w[k : k + ROWS])) for k in range(0, len(w), ROWS)]
             for i in range(0, len(q), QUERY_CHUNK):
-                scores = np.ascontiguousarray(accumulate(lists, q[i : i + QUERY_CHUNK], len(w)).T)
+                own = q[i : i + QUERY_CHUNK]
+                scores = np.empty((len(own), len(w)), dtype)
+                for k, part in lists:
+                    scores[:, k : k + ROWS] = accumulate(part, own, min(ROWS, len(w) - k)).T
                 for j, s in enumerate(scores):
                     top_rows(q_ids[i + j], ids, s, k, out)
         return pa.Table.from_batches([frame(out, pa.int64())])
