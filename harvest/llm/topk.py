@@ -71,12 +71,12 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20
         q, w = (matrix(x.column("w").to_pandas(), dtype) if x.num_rows else None for x in (left, right))
         out: list = []
         if q is not None and w is not None:
-            lists = [(k, postings(w[k : k + ROWS])) for k in range(0, len(w), ROWS)]
+            lists = [(first, postings(w[first : first + ROWS])) for first in range(0, len(w), ROWS)]
             for i in range(0, len(q), QUERY_CHUNK):
                 own = q[i : i + QUERY_CHUNK]
                 scores = np.empty((len(own), len(w)), dtype)
-                for k, part in lists:
-                    scores[:, k : k + ROWS] = accumulate(part, own, min(ROWS, len(w) - k)).T
+                for first, part in lists:
+                    scores[:, first : first + ROWS] = accumulate(part, own, min(ROWS, len(w) - first)).T
                 for j, s in enumerate(scores):
                     top_rows(q_ids[i + j], ids, s, k, out)
         return pa.Table.from_batches([frame(out, pa.int64())])
