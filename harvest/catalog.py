@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import pipeline, scalars, store, streams
+from .plans import extract, pipeline, scalars, store, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (store, scalars, streams, pipeline):
+for _m in (store, scalars, streams, pipeline, extract):
     QUERIES |= _m.Q
     ORACLES |= _m.O

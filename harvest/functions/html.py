@@ -52,7 +52,9 @@ class _Builder(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
-        if self.at.tag not in ("script", "style"):
+        if self.at.tag in ("script", "style"):
+            self.at.text += data
+        else:
             self.at.children.append(data)
 
 
@@ -152,27 +154,33 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else compact(_html.unescape(re.sub("<[^>]*>", " ", x))))
 
 
+# Places of a posting's description, location and date, by priority.
+DESCRIPTIONS = (".job-description", ".description", "article", ".content", "main", "#description")
+LOCATIONS = (".location", "[data-location]", ".job-location")
+DATES = ("[data-posted-date]", ".posted-date", "time")
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description", "location", "email", "phone", "date")]))
 def page_details(pages: pd.Series) -> pd.DataFrame:
     """Title (h1, else title), description (the first of six places with over 100 bytes), location, e-mail, phone, date.
 
-    The date is the last of its three places that has one.
+    Of each place its first element counts; the date is the last of its three places that has one (RFC 3339).
     """
     rows = []
     for page in pages:
         root = parse(page)
-        first = lambda sel: next((compact(n.all_text()) for n in select(root, sel) if n.all_text().strip()), "")  # noqa: E731, B023
-        title = first("h1") or first("title")
-        description = next((t for sel in (".job-description", ".description", "#job-description", "article", "main", ".content") if len((t := first(sel)).encode()) > 100), "")
-        location = next((t for sel in (".location", ".job-location", "[itemprop=jobLocation]") if (t := first(sel))), "")
+        first = lambda sel: next((compact(n.all_text()) for n in select(root, sel)), "")  # noqa: E731, B023
+        title = first("h1" if select(root, "h1") else "title")
+        description = next((t for sel in DESCRIPTIONS if len((t := first(sel)).encode()) > 100), "")
+        location = next((t for sel in LOCATIONS if (t := first(sel))), "")
         whole = root.all_text()
         email = next(iter(re.findall(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", whole)), "")
         phone = re.search(r"[\+]?[0-9]{1,4}[\s\-\.]?[0-9]{1,4}[\s\-\.]?[0-9]{1,9}", whole, re.A)
         date = ""
-        for sel in ("time", ".date", "[itemprop=datePosted]"):
-            for n in select(root, sel):
+        for sel in DATES:
+            for n in select(root, sel)[:1]:
                 d = n.attrs.get("datetime") or compact(n.all_text())
-                date = d if re.match(r"\d{4}-\d{2}-\d{2}T", d) else date
+                date = d if re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)", d) else date
         rows.append((title, description, location, email, phone.group(0).strip() if phone else "", date))
     return pd.DataFrame(rows, columns=["title", "description", "location", "email", "phone", "date"])
 
@@ -199,29 +207,68 @@ def bullets(headings: str = "h2,h3,h4,strong", names: tuple[str, ...] = ("respon
     return run
 
 
+# What announces a phone, by priority, and the first digits of local numbers.
+PHONE_MARKERS = ("phone:", "tel:", "call:", "contact:", "call us", "phone us", "tel us", "ליצור קשר", "טלפון")
+LOCAL_PREFIXES = ("05", "02", "03", "04", "08", "09")
+
+
+def valid_phone(p: str) -> bool:
+    """The rule of ``contact.valid_phone``."""
+    p = p.strip()
+    d = "".join(c for c in p if "0" <= c <= "9")
+    half = len(d) // 2
+    if p.startswith("-") or not 8 <= len(d) <= 13 or len(set(d)) == 1 or d.count("0") > half or (len(d) % 2 == 0 and d[:half] == d[half:]):
+        return False
+    local = len(d) == 10 and d.startswith((*LOCAL_PREFIXES, "077")) or len(d) in (9, 10) and d.startswith("972")
+    return local or p.startswith("+") and len(d) >= 10
+
+
+def normal_phone(p: str) -> str:
+    """The form of ``contact.normal_phone``."""
+    p = p.strip()
+    d = "".join(c for c in p if "0" <= c <= "9")
+    if d.startswith("972") and len(d) >= 12:
+        return f"+972-{d[-11:-9]}-{d[-9:-6]}-{d[-6:]}"
+    return f"{d[:3]}-{d[3:6]}-{d[6:]}" if d.startswith("0") and len(d) == 10 else p
+
+
+def phone_groups(s: str) -> str:
+    """A number from a text's digit groups: three of 2 or 3, 3 and 4 or more digits, or two; '' for any other."""
+    g = re.findall("[0-9]+", s)
+    if len(g) == 3 and len(g[0]) in (2, 3) and len(g[1]) == 3 and len(g[2]) >= 4 and g[0].startswith(LOCAL_PREFIXES) and valid_phone("".join(g)):
+        return "-".join(g)
+    return "".join(g) if len(g) == 2 and valid_phone("".join(g)) else ""
+
+
+def phone_in(s: str) -> str:
+    """The first phone of a text in normal form: right behind tel:, a word of valid form, or by its digit groups."""
+    s = (s or "").strip()
+    if m := re.search(r"tel:([^ \n\r\t\"'<>]*)", s, re.I):
+        if valid_phone(m[1]):
+            return normal_phone(m[1])
+    for word in re.sub(r"[^0-9 ()+-]", "", re.sub(r"[\n\r\t]", " ", s)).split():
+        if not word.startswith("-") and valid_phone(p := re.sub("[()]", "", word)):
+            return normal_phone(p)
+    found = phone_groups(s)
+    return normal_phone(found) if found else ""
+
+
+def phone_announced_in(s: str) -> str:
+    """The phone behind tel: as written, else behind the first marker that leads to one, else anywhere."""
+    s = (s or "").strip()
+    if m := re.search(r"tel:\s*([^ \n\r\t<>]+)", s, re.I):
+        if valid_phone(p := m[1].strip(".,;:!?\"'()[]{}")):
+            return p
+    low = s.lower()
+    tails = [s[low.index(m) + len(m) :] for m in PHONE_MARKERS if m in low]
+    return next((p for t in [*tails, s] if (p := phone_in(t))), "")
+
+
 @F.pandas_udf(T.StringType())
 def find_phone(s: pd.Series) -> pd.Series:
-    """The first phone in a text: behind tel:, a single word of valid form, or a run of digit groups."""
-
-    def valid(p: str) -> bool:
-        d = re.sub(r"\D", "", p)
-        if p.startswith("-") or not 8 <= len(d) <= 13 or len(set(d)) == 1 or (len(d) % 2 == 0 and d[: len(d) // 2] == d[len(d) // 2 :]) or d.count("0") > len(d) // 2:
-            return False
-        local = len(d) == 10 and re.match(r"05\d|02|03|04|08|09|077", d) or len(d) in (9, 10) and d.startswith("972")
-        return bool(local) or p.startswith("+") and len(d) >= 10
-
-    def one(text: str | None) -> str:
-        text = text or ""
-        if m := re.search(r"tel:\s*([+\d][\d\s().-]*)", text, re.I):
-            if valid(p := m[1].strip()):
-                return p
-        for word in re.split(r"[\s,;<>\"']+", text):
-            p = word.strip("().:")
-            if re.fullmatch(r"\+?[\d().-]+", p) and valid(p):
-                return p
-        for m in re.finditer(r"\+?\d{2,3}(?:[\s.-]\d{3}[\s.-]\d{4,}|[\s.-]\d{6,})", text):
-            if valid(m[0]):
-                return m[0]
-        return ""
-
-    return s.map(one)
+    return pd.Series([phone_in(x) for x in s], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def phone_announced(s: pd.Series) -> pd.Series:
+    return pd.Series([phone_announced_in(x) for x in s], dtype=object)

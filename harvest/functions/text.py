@@ -120,3 +120,17 @@ def phrase(text: Column, words: str) -> Column:
 
 def keyword_set(good: Column, roles: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(F.concat(good, roles), lambda x: F.lower(strip(x)))), lambda x: x != "")
+
+
+def plain(s: Column) -> Column:
+    """Tags to spaces, every entity decoded, white space compacted."""
+    from .html import unescape
+
+    return unescape(s)
+
+
+def split_at(s: Column) -> tuple[Column, Column]:
+    """(title, company) of 'Title at Company', split at the first ' at '; no company without it."""
+    at = F.instr(s, " at ")
+    title = F.when(at > 0, F.left(s, at - 1)).otherwise(s)
+    return strip(title), F.when(at > 0, strip(s.substr(at + 4, F.length(s)))).otherwise("")

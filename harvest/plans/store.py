@@ -334,7 +334,7 @@ def crawl_generic(spark, d):
     return R.first_by(a, ["page_id", "target"], ["pos"])
 
 
-COMEET = [("https://www.comeet.com/jobs/acme/A1.23B", True), ("https://www.comeet.co/jobs/acme/dev/A1.23B", True), ("https://www.comeet.com/jobs/acme", False), ("https://x.example/jobs/acme/A1.23B", False)]
+COMEET = [("https://www.comeet.com/jobs/acme/A1.23B", True), ("https://eu.comeet.com/jobs/acme/dev/a1.23b", True), ("https://www.comeet.co/jobs/acme/dev/A1.23B", False), ("https://www.comeet.com/jobs/acme", False), ("https://x.example/jobs/acme/A1.23B", False)]
 
 
 @query(f"SELECT u, ok FROM {values('u, ok', COMEET)}")
@@ -342,12 +342,6 @@ def ats_discover(spark, d):
     return literal(spark, "u, ok", COMEET).select("u", F.coalesce(url.comeet_job(F.col("u")), F.lit(False)).alias("ok"))
 
 
-@query(f"SELECT p.page_id, n.n_name AS board FROM pages p JOIN nation n ON n.n_nationkey = length({_HOST.replace('url', 'p.url')}) QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY n.n_nationkey) = 1")
-def aggregator_by_host(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.length(url.host(F.col("url"))).alias("n_nationkey"))
-    return p.join(F.broadcast(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("board"))), "n_nationkey").select("page_id", "board")
-
-
 @query("SELECT p.page_id, coalesce(a.s_suppkey, b.s_suppkey) AS company_id FROM pages p LEFT JOIN supplier a ON a.s_suppkey = p.page_id * 2 LEFT JOIN supplier b ON b.s_suppkey = p.page_id WHERE coalesce(a.s_suppkey, b.s_suppkey) IS NOT NULL")
 def resolve_company_chain(spark, d):
     p, s = table(spark, d, "pages").select("page_id"), table(spark, d, "supplier").select("s_suppkey")

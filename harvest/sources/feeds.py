@@ -25,13 +25,14 @@ _LD = "struct<`@type`: string, description: string>"
 
 def jsonld_description(s: Column) -> Column:
     """The description of a JobPosting, whether the block is an object or an array; '' for none."""
+    named = lambda x: (F.lower(x["@type"]) == "jobposting") & (text.strip(x["description"]) != "")
     one, many = F.from_json(s, _LD), F.from_json(s, f"array<{_LD}>")
-    hit = F.filter(many, lambda x: (x["@type"] == "JobPosting") & x["description"].isNotNull())
-    return F.coalesce(F.when(one["@type"] == "JobPosting", one["description"]), F.get(hit, F.lit(0))["description"], F.lit(""))
+    hit = F.get(F.filter(many, named), F.lit(0))["description"]
+    return text.strip(F.coalesce(F.when(named(one), one["description"]), hit, F.lit("")))
 
 
 def position_detail(s: Column, name: str) -> Column:
-    """The value of a named detail in a position's payload; '' for none."""
+    """The value of the first detail in a position's payload whose name holds a word; '' for none."""
     payload = F.from_json(s, "struct<custom_fields: struct<details: array<struct<name: string, value: string>>>>")
-    hit = F.filter(payload["custom_fields"]["details"], lambda x: F.lower(x["name"]) == name.lower())
-    return F.coalesce(F.get(hit, F.lit(0))["value"], F.lit(""))
+    hit = F.filter(payload["custom_fields"]["details"], lambda x: F.contains(F.lower(x["name"]), F.lit(name.lower())))
+    return text.strip(F.coalesce(F.get(hit, F.lit(0))["value"], F.lit("")))
