@@ -35,7 +35,9 @@ SMALL = 128
 #: Groups of equal cardinality for the large lengths.
 GROUPS = 1024
 #: Distinct words that a worker keeps; others are encoded again in each chunk.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
+#: Bytes of text that are encoded at once (one document at least); a rare word costs one encoding in each.
+ENCODED_BYTES = 6 << 20
 _RANK = 48
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -80,8 +82,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [t.split() for t in texts]
-        missing = list({w for words in split for w in words if w not in self.known})
+        split = [(t.lower() if t.isascii() else t).split() for t in texts]
+        missing = list(set().union(*split).difference(self.known))
         # case folds, and a run of marks after a letter is a piece of its own: fewer distinct words are left to encode
         stems = [w.lower() if w.isascii() else w for w in missing]
         bare = [w.rstrip(_MARKS) for w in stems]
@@ -103,6 +105,19 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _gathered(batches, limit: int = ENCODED_BYTES):
+    """Batches joined up to ``limit`` bytes, so that their size doesn't hang on the number of rows."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece with its length and crc32, the input partition and the rank of its length there."""
 
@@ -111,9 +126,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder, end = _ENCODERS[tokenizer], array("I", [end_id]).tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in _gathered(batches):
             out = []
-            for first, stop, data, offsets in chunks(batch.column("text"), 4 << 20):
+            for first, stop, data, offsets in chunks(batch.column("text"), ENCODED_BYTES):
                 raw = data.tobytes()
                 at = offsets.tolist()
                 doc_ids = batch.column("doc_id").slice(first, stop - first).to_pylist()
