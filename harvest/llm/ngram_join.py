@@ -4,8 +4,9 @@ Documents with the same shingle set are one class; only classes join. Two classe
 ``100 * |A & B| >= percent * |A | B|``.
 
 * Light classes (size up to a boundary) enumerate subsets: a link of sizes s and b means that c(s, b) =
-  ceil(percent * (s + b) / (100 + percent)) shingles are shared, so both hold the same c-subset, and whoever
-  shares one is linked. Holders of a subset are tied to the smallest of them; nothing is left to verify.
+  ceil(percent * (s + b) / (100 + percent)) shingles are shared, so both hold the same c-subset. For s <= b a
+  shared c(s, b)-subset links any holder to one of size s, as c(s, s) <= c(s, b), but not two of size b. So holders
+  are tied to one of the smaller size, where there is one; nothing is left to verify.
 * Pairs with a heavy class scan inverted lists. A class is listed under its prefix: its rarest shingles
   (corpus frequency, then hash), as many as must hold one of any partner's. Listed pairs within the size
   ratio are candidates; parity bitmaps bound their distance from below, and what they can't rule out
@@ -141,11 +142,11 @@ def profiles(docs: DataFrame, percent: int, size: int) -> DataFrame:
 
 
 def _light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
-    """Edges (a, b) that tie the holders of each enumerated subset to the smallest of them."""
+    """Edges (a, b) that tie the holders of each enumerated subset to the first of them that has the smaller size."""
 
     def run(batches):
         for b in batches:
-            rep, low, high, key = [], [], [], []
+            rep, low, high, key, less = [], [], [], [], []
             for r, s in zip(b.column("rep").to_pylist(), b.column("small").to_pylist(), strict=True):
                 n = len(s)
                 x = np.sort(np.array(s, np.int64).view(np.uint64))
@@ -160,10 +161,11 @@ def _light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
                         low.append(min(n, m))
                         high.append(max(n, m))
                         key.append(int(np.uint64(h).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(key, pa.int64())], names=["a", "low", "high", "key"])
+                        less.append(n <= m)
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(key, pa.int64()), pa.array(less, pa.bool_())], names=["a", "low", "high", "key", "less"])
 
-    subsets = table(classes.where(F.col("n") <= most).select("rep", "small").mapInArrow(run, "a long, low int, high int, key long"))
-    least = subsets.groupBy("low", "high", "key").agg(F.min("a").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    subsets = table(classes.where(F.col("n") <= most).select("rep", "small").mapInArrow(run, "a long, low int, high int, key long, less boolean"))
+    least = subsets.groupBy("low", "high", "key").agg(F.min(F.when(F.col("less"), F.col("a"))).alias("b"), F.count("*").alias("c")).where("c > 1 AND b IS NOT NULL").drop("c")
     return subsets.join(least, ["low", "high", "key"]).where("a <> b").select("a", "b").distinct()
 
 

@@ -120,6 +120,21 @@ def test_ngram_components(docs, empty, percent, size):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+@pytest.mark.parametrize(("percent", "common", "rare"), [(85, 6, 7), (80, 4, 5)])
+def test_ngram_light_classes_of_the_larger_size(spark, percent, common, rare):
+    rng = random.Random(percent)
+    sets = [[f"own{i}w{k}" for k in range(common)] for i in range(60)]
+    for k in range(4):  # two sets of the larger size share all but one, without and with a set of what they share
+        base = [f"base{k}w{j}" for j in range(rare - 1)]
+        sets += [[*base, f"left{k}"], [*base, f"right{k}"]] + ([base] if k > 1 else [])
+    rng.shuffle(sets)
+    rows = list(enumerate(" ".join(s) for s in sets))
+    assert ngram_join.boundary(dict(Counter(len(s) for s in sets)), percent) >= rare
+    want = _brute_components(rows, percent, 1)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), percent, 1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101)], "a long, b long")
     assert {r["id"]: r["component"] for r in components(pairs).collect()} == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
