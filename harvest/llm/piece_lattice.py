@@ -61,6 +61,8 @@ class Pieces:
         keys = np.array([self.key(p) for p in points], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain)[order]
+        self.maybe = np.zeros(1 << 20, bool)  # by the hash's top bits; most runs of characters are no piece
+        self.maybe[self.keys >> np.uint64(44)] = True
 
     @staticmethod
     def key(points: np.ndarray) -> int:
@@ -72,6 +74,13 @@ class Pieces:
     def find(self, raw: np.ndarray, length: int) -> np.ndarray:
         """Ids of the pieces with these polynomial hashes, -1 for none."""
         h = mix(raw + np.uint64(length * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        if len(h) > 64:
+            out = np.full(len(h), -1, np.int64)
+            own = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            h = h[own]
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            out[own] = np.where(self.keys[at] == h, self.ids[at], -1)
+            return out
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.ids[at], -1)
 
@@ -292,8 +301,28 @@ def encode_nbest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     return _read(docs).mapInArrow(run, "doc_id long, rank int, score double, ids array<int>")
 
 
+def decoded(table: list[bytes], ids: list[bytes], want: bytes) -> list[bool]:
+    """Whether each of a row's segmentations spells the bytes; after the first only what differs from it is spelled."""
+    spell = lambda x: b"".join(map(table.__getitem__, x.tolist()))
+    best = np.frombuffer(ids[0], "<u4")
+    out = [spell(best) == want]
+    for raw in ids[1:]:
+        own = np.frombuffer(raw, "<u4")
+        n = min(len(own), len(best))
+        differ = np.flatnonzero(own[:n] != best[:n])
+        head = int(differ[0]) if len(differ) else n
+        rest = n - head
+        differ = np.flatnonzero(own[len(own) - rest :] != best[len(best) - rest :])
+        tail = rest - 1 - int(differ[-1]) if len(differ) else rest
+        alike = spell(own[head : len(own) - tail]) == spell(best[head : len(best) - tail])
+        out.append(out[0] if alike else spell(own) == want)
+    return out
+
+
 def digest_nbest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
-    """(doc_id, rank, score, n_pieces, ids_crc32, decoded) of the same; ``decoded``: the ids give the text back."""
+    """(doc_id, rank, score, n_pieces, ids_crc32, decoded) of the same; ``decoded``: the ids of this rank give the text
+    back. A text that holds U+2581 itself reads as one with spaces, so none of its ranks do.
+    """
 
     def run(batches):
         pieces = load(model)
@@ -306,8 +335,7 @@ def digest_nbest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
                 for r, got in enumerate(segment(pieces, data, offsets, n)):
                     want = raw[at[r] : at[r + 1]]
                     want = b" " + want if want else want
-                    for k, (score, ids) in enumerate(got):
-                        same = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())) == want if not k else True
+                    for k, ((score, ids), same) in enumerate(zip(got, decoded(table, [i for _, i in got], want), strict=True)):
                         rows.append((doc[r], k + 1, score, len(ids) // 4, zlib.crc32(ids), same))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "rank", "score", "n_pieces", "ids_crc32", "decoded"])

@@ -234,6 +234,22 @@ def test_nbest(docs, empty):
     assert piece_lattice.digest_nbest(empty, public.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_nbest_decodes_every_rank(spark):
+    path = public.path("piece_bpe_32k.model")
+    m = piece_lattice.load(path)
+    rows = spark.createDataFrame([(1, "the cat sat there"), (2, "the\u2581cat sat there")], "doc_id long, text string")
+    got = {(r["doc_id"], r["rank"]): r["decoded"] for r in piece_lattice.digest_nbest(rows, path).collect()}
+    assert got == {(i, k): i == 1 for i in (1, 2) for k in (1, 2, 3, 4)}
+    table = [bytes([m.byte_of[i]]) if i in m.byte_of else t.replace("▁", " ").encode() for i, t in enumerate(m.text)]
+    rng = random.Random(8)
+    few = [m.index[c] for c in "ab"] + [m.index[c] for c in ("aa", "ab", "ba") if c in m.index]
+    for _ in range(2000):
+        ids = [[rng.choice(few) for _ in range(rng.randint(0, 5))] for _ in range(4)]
+        whole = [b"".join(table[i] for i in x) for x in ids]
+        want = rng.choice(whole)
+        assert piece_lattice.decoded(table, [np.array(x, "<u4").tobytes() for x in ids], want) == [w == want for w in whole]
+
+
 def test_packing(docs, empty):
     path = public.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
