@@ -16,25 +16,42 @@ from harvest.llm.queries import tokenizer
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the ids; rows without an id stay out."""
-    return docs.join(ids.select(F.col("doc_id").alias("_h_id")).distinct(), F.col("doc_id") == F.col("_h_id"), "left_semi")
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written so that the key holds; doc_id may be null or repeat."""
+    return table(docs.withColumn("_h_row", F.monotonically_increasing_id()))
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """The rows under their keys as doc_id, so that an operator decides on each by itself."""
+    return rows.withColumn("doc_id", F.col("_h_row")).drop("_h_row")
+
+
+def _kept(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among the keys (doc_id), without the key."""
+    return rows.join(keys.select(F.col("doc_id").alias("_h_row")), "_h_row", "left_semi").drop("_h_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained quality classifier accepts."""
+    """Rows that the co-trained quality classifier accepts."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, quality.classify(docs, model).where("keep"))
+    rows = _rows(docs)
+    return _kept(rows, quality.classify(_by_row(rows), model).where("keep"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those that the calibrated limit or ``und`` rejects go."""
-    return _kept(docs, langid.identify(docs, langid.train(docs)).where("not rejected"))
+    """Rows whose language is identified; those that the calibrated limit or ``und`` rejects go."""
+    model = langid.train(docs)
+    rows = _rows(docs)
+    return _kept(rows, langid.identify(_by_row(rows), model).where("not rejected"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    return _kept(docs, ngram_join.ngram_components(docs, NEAR_PERCENT, NEAR_WORDS).where("doc_id = component_id"))
+    """One row of each group of near duplicates: of the smallest doc_id, one without an id only if none has one."""
+    rows = _rows(docs)
+    groups = ngram_join.ngram_components(_by_row(rows), NEAR_PERCENT, NEAR_WORDS).select(F.col("doc_id").alias("_h_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_h_row"))
+    chosen = rows.select("doc_id", "_h_row").join(groups, "_h_row").groupBy("component_id").agg(first.alias("m"))
+    return _kept(rows, chosen.select(F.col("m._h_row").alias("doc_id")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
