@@ -207,7 +207,7 @@ def looks_like_job(title: Column, u: Column) -> Column:
 
 
 # Which paths of a site lead to postings.
-SITE_PATHS = {"site_codes": r"^/careers/[^/]+/[0-9A-Za-z]{2}\.[0-9A-Za-z]{3}/?$", "site_sections": "/careers/positions/", "site_positions": "/open-positions/", "board_grid": "(?i)/jobs/"}
+SITE_PATHS = {"site_codes": r"^/careers/[a-z0-9-]+/[A-Z0-9.]+/?$", "site_sections": "/careers/positions/", "site_positions": "/open-positions/", "board_grid": "(?i)/jobs/"}
 
 
 def site_path(u: Column, site: str) -> Column:

@@ -87,14 +87,29 @@ def _log(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") != "error").alias("ok"))
 
 
-@query()
+_STEPS = "e AS (SELECT event_id, user_id, epoch_ms(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events)"
+_GAINED = "least(2, r.tokens + (e.t - r.last) // 3600000)"
+
+
+@query(f"""WITH RECURSIVE {_STEPS},
+r AS (SELECT user_id, event_id, n, t AS last, 1 AS tokens, TRUE AS allowed FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t - r.last >= 3600000 THEN e.t ELSE r.last END, greatest(0, {_GAINED} - 1), {_GAINED} > 0 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, allowed FROM r""")
 def token_bucket(spark, d):
     return fold(_log(spark, d), TokenBucket(limit=2, interval_ms=3_600_000), "user_id", "ts_ms", "ok", "event_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS},
+r AS (SELECT user_id, event_id, n, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failed, CASE WHEN ok THEN 0 ELSE t END AS since, 0 AS good, TRUE AS admitted FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, n,
+  CASE WHEN now = 'open' THEN 'open' WHEN NOT ok AND failed + 1 >= 2 THEN 'open' WHEN ok AND now = 'half-open' AND (CASE WHEN woke THEN 0 ELSE good END) + 1 >= 3 THEN 'closed' ELSE now END,
+  CASE WHEN now = 'open' THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN now = 'open' OR ok THEN since ELSE t END,
+  CASE WHEN now <> 'half-open' THEN good ELSE (CASE WHEN woke THEN 0 ELSE good END) + CASE WHEN ok THEN 1 ELSE 0 END END, now <> 'open'
+FROM (SELECT e.user_id, e.event_id, e.n, e.t, e.ok, r.failed, r.since, r.good, r.state = 'open' AND e.t - r.since > 3600000 AS woke,
+  CASE WHEN r.state = 'open' AND e.t - r.since > 3600000 THEN 'half-open' ELSE r.state END AS now FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, state, admitted FROM r""")
 def breaker_states(spark, d):
-    return fold(_log(spark, d), Breaker(failures=2, timeout_ms=3_600_000), "user_id", "ts_ms", "ok", "event_id")
+    return fold(_log(spark, d), Breaker(failures=2, timeout_ms=3_600_000, probes=3), "user_id", "ts_ms", "ok", "event_id")
 
 
 @query("""SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"user_id":' || user_id || ',"id":' || event_id || '}' || chr(10) || chr(10) AS frame FROM events""")

@@ -1,7 +1,8 @@
-"""Ordered folds by key over event logs: TTL cache, token bucket, circuit breaker; batch and stream share the steps.
+"""Ordered folds by key over event logs: token bucket, circuit breaker, TTL cache; batch and stream share the steps.
 
-A batch folds each key's events in time order (``applyInPandas``); a stream keeps the state by key in
-``transformWithStateInPandas``. ``Fold.start`` and ``Fold.step`` are the one definition of both.
+A batch deals the log by key, sorts each partition by key and time, and steps through it batch by batch, so a
+key's log is never in memory as a whole; a stream keeps the state by key in ``transformWithStateInPandas``.
+``start`` and ``step`` of a machine are the one definition of both.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -28,13 +30,17 @@ class TokenBucket:
         last = ts_ms if last is None else last
         gained = (ts_ms - last) // self.interval_ms
         if gained > 0:
-            left, last = min(self.limit, left + 1), ts_ms
+            left, last = min(self.limit, left + gained), ts_ms
         return ((left - 1, last), (True,)) if left > 0 else ((left, last), (False,))
 
 
 @dataclass(frozen=True)
 class Breaker:
-    """Closed; open after ``failures`` failures; half-open when ``timeout_ms`` is over, for ``probes`` calls."""
+    """Closed; open from ``failures`` failures in a row on; half-open once ``timeout_ms`` is over since the last failure.
+
+    Half-open admits every call: ``probes`` successes close it, and a failure opens it again as soon as the
+    failures in a row (a success resets them, opening doesn't) are enough.
+    """
 
     failures: int = 2
     timeout_ms: int = 1000
@@ -45,37 +51,56 @@ class Breaker:
         return ("closed", 0, 0, 0)
 
     def step(self, state, ts_ms: int, ok: bool):
-        name, failed, since, calls = state
+        name, failed, since, good = state
         if name == "open":
             if ts_ms - since <= self.timeout_ms:
                 return state, (name, False)
-            name, calls = "half-open", 0
-        if name == "half-open":
-            if calls >= self.probes:
-                return (name, failed, since, calls), (name, False)
-            calls += 1
-        if ok:
-            return ("closed", 0, since, 0), ("closed", True)
-        failed += 1
-        if failed >= self.failures:
-            name, since = "open", ts_ms
-        return (name, failed, since, calls), (name, True)
+            name, good = "half-open", 0
+        if not ok:
+            failed, since = failed + 1, ts_ms
+            name = "open" if failed >= self.failures else name
+        elif name == "half-open":
+            failed, good = 0, good + 1
+            name = "closed" if good >= self.probes else name
+        else:
+            failed = 0
+        return (name, failed, since, good), (name, True)
+
+
+@dataclass(frozen=True)
+class TtlCache:
+    """A value is there for ``ttl_ms`` after it was last set (``ok``); a look-up doesn't renew it."""
+
+    ttl_ms: int = 1000
+    output = "hit boolean"
+
+    def start(self):
+        return (None,)
+
+    def step(self, state, ts_ms: int, ok: bool):
+        (at,) = state
+        return ((ts_ms,) if ok else state), (at is not None and ts_ms <= at + self.ttl_ms,)
 
 
 def fold(df: DataFrame, machine, key: str, ts_ms: str, ok: str, event: str) -> DataFrame:
     """(key, event, outputs) of each event (ties in time by event id), one state machine a key."""
     names = [x.split()[0] for x in machine.output.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts_ms, event], kind="stable")
-        state, rows = machine.start(), []
-        for t, o in zip(pdf[ts_ms].tolist(), pdf[ok].tolist(), strict=True):
-            state, out = machine.step(state, t, o)
-            rows.append(out)
-        return pd.concat([pdf[[key, event]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+    def run(batches):
+        now, state = None, None
+        for b in batches:
+            rows = []
+            for k, t, o in zip(b.column(key).to_pylist(), b.column(ts_ms).to_pylist(), b.column(ok).to_pylist(), strict=True):
+                if state is None or k != now:
+                    now, state = k, machine.start()
+                state, out = machine.step(state, t, o)
+                rows.append(out)
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(key), b.column(event), *(pa.array(c) for c in zip(*rows, strict=True))], names=[key, event, *names])
 
     types = dict(df.dtypes)
-    return df.select(key, event, ts_ms, ok).groupBy(key).applyInPandas(run, f"{key} {types[key]}, {event} {types[event]}, {machine.output}")
+    dealt = df.select(key, event, ts_ms, ok).repartition(key).sortWithinPartitions(key, ts_ms, event)
+    return dealt.mapInArrow(run, f"{key} {types[key]}, {event} {types[event]}, {machine.output}")
 
 
 def fold_stream(df: DataFrame, machine, key: str, ts_ms: str, ok: str, event: str) -> DataFrame:

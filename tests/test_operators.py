@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from harvest.functions import html, text, url
 from harvest.operators import relational as R
 from harvest.sources.store import Store
-from harvest.streaming.folds import Breaker, TokenBucket, fold, fold_stream
+from harvest.streaming.folds import Breaker, TokenBucket, TtlCache, fold, fold_stream
 
 
 def _one(spark, value, f):
@@ -50,7 +50,33 @@ def test_limits():
     assert R.JobQuery(limit=0).bounded()[0] == 25
 
 
-@pytest.mark.parametrize("machine", [TokenBucket(2, 1000), Breaker(2, 1000, 2)])
+def _steps(machine, events):
+    state, out = machine.start(), []
+    for t, ok in events:
+        state, got = machine.step(state, t, ok)
+        out.append(got)
+    return out
+
+
+def test_token_bucket_refills_by_whole_intervals():
+    burst = [(0, True)] * 4
+    assert [x for (x,) in _steps(TokenBucket(3, 1000), [*burst, (999, True), (3000, True), (3000, True), (3000, True), (3000, True)])] == [True] * 3 + [False] * 2 + [True] * 3 + [False]
+    assert [x for (x,) in _steps(TokenBucket(10, 1000), [(0, True)] * 11)] == [True] * 10 + [False]
+    # a refused call before a whole interval doesn't move the clock; a refill does, and its fraction is lost
+    assert [x for (x,) in _steps(TokenBucket(1, 1000), [(0, True), (600, True), (1500, True), (2400, True), (2500, True)])] == [True, False, True, False, True]
+
+
+def test_breaker_transitions():
+    assert _steps(Breaker(3, 1000, 5), [(0, True)] * 3) == [("closed", True)] * 3
+    assert _steps(Breaker(2, 1000, 5), [(0, False), (0, False), (0, True)]) == [("closed", True), ("open", True), ("open", False)]
+    # half-open until enough successes, and it refuses none of them
+    assert _steps(Breaker(1, 50, 5), [(0, False), (50, True), *[(51 + k, True) for k in range(6)]]) == [("open", True), ("open", False)] + [("half-open", True)] * 4 + [("closed", True)] * 2
+    # a failure there opens at once while no success came between; after one, failures count from 0
+    assert _steps(Breaker(2, 50, 5), [(0, False), (0, False), (60, False), (100, True), (120, True)]) == [("closed", True), ("open", True), ("open", True), ("open", False), ("half-open", True)]
+    assert _steps(Breaker(2, 50, 5), [(0, False), (0, False), (60, True), (61, False), (62, False), (63, True)]) == [("closed", True), ("open", True), ("half-open", True), ("half-open", True), ("open", True), ("open", False)]
+
+
+@pytest.mark.parametrize("machine", [TokenBucket(2, 1000), Breaker(2, 1000, 2), TtlCache(1500)])
 def test_folds_batch_and_stream(spark, tmp_path, machine):
     rng = random.Random(1)
     rows = [(i % 5, i, rng.randrange(20_000), rng.random() < 0.5) for i in range(200)]
