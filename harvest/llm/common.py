@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel takes at once (one document at least, however long).
 CHUNK_BYTES = 1 << 20
+#: A key is hot when it has more than this share (one in HOT) of a join's rows.
+HOT = 4096
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,34 +29,39 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
+_LOCAL_DIRS: dict[str, str] = {}
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors and the driver share.
 
-    Only where that setting is absent (local tests) a temporary folder takes its place.
+    Where that setting is absent a temporary folder takes its place, on a local master only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="harvest-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL_DIRS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="harvest-")
+        _LOCAL_DIRS[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/harvest-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, path: str | None = None) -> DataFrame:
+def table(df: DataFrame) -> DataFrame:
     """Write ``df`` in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``table`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+    path = shared_dir(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_h_path"] = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of tables that ``table`` wrote and nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_h_path"])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -64,12 +71,21 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def whole_texts(df: DataFrame, *columns: str, rows: int = 1000) -> DataFrame:
-    """(doc_id long, text string, columns), sent to Python in batches of few rows, since texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > rows:
-        df.sparkSession.conf.set(key, rows)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+def whole_texts(df: DataFrame, *columns, key: str = "doc_id") -> DataFrame:
+    """(doc_id long, text string, columns) for Python, which gets them in batches that Spark bounds by bytes as by rows."""
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row a key and in ``_h_c`` how many of the rows are the key's.
+
+    Keys with over 1 / HOT of these rows (fewer than HOT keys) are broadcast, all others meet by a shuffle.
+    """
+    total = groups.agg(F.sum("_h_c")).first()[0] or 0
+    hot = F.col("_h_c") * HOT > total
+    often = groups.where(hot).drop("_h_c")
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(groups.where(~hot).drop("_h_c"), keys)
+    return rest.unionByName(rows.join(F.broadcast(often), keys))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -111,40 +127,46 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about ``limit`` bytes: first row, end row, bytes, offsets from 0."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of about ``limit`` bytes and at most ``rows``: first row, end row, bytes, offsets from 0."""
     data, offsets = text_buffer(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         end = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        end = min(max(end, first + 1), n)
+        end = min(max(end, first + 1), n, first + rows)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and where rows begin in them.
-
-    The hash is a polynomial of the word's bytes modulo 2**64, from prefix sums, and then splitmix64.
-    """
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words ``[^\\x20\\x09-\\x0D]+`` begin and end in the bytes, and where rows begin among the words."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~SEPARATORS[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1] | edge[1:-1]
+    ends = inside
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes after lower-casing A-Z: a polynomial modulo 2**64 by prefix sums, then splitmix64."""
+    n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers("up", n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers("down", n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets)
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``span_hashes`` of all words, and where rows begin in them."""
+    starts, ends, rows = word_spans(data, offsets)
+    return span_hashes(data, starts, ends), rows
 
 
 def one_hash(word: bytes) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
             further = step.select(F.col("id").alias("to"), F.col("to").alias("next")).where("to <> next")
             if step.join(further, "to", "left_semi").isEmpty():
                 break
+            done = step
             step = table(step.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+            drop(done)
         if chain is None:
             chain = step
         else:
             moved = chain.withColumnRenamed("to", "mid").join(step.withColumnRenamed("id", "mid"), "mid", "left")
             chain = table(moved.select("id", F.coalesce("to", "mid").alias("to")))
         left, right = (step.select(F.col("id").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
+        done = links
         links = table(links.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct())
+        drop(done)
     if chain is None:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return chain.select("id", F.col("to").alias("component"))

@@ -13,10 +13,11 @@ Documents with the same shingle set are one class; only classes join. Two classe
   is counted on the texts.
 * The boundary minimises the cost of both, from the histogram of class sizes.
 
-Large groups of near copies don't meet as pairs: first every class is verified against the smallest class
-of each of a few min-hashes; lists whose classes are then all in one component are done, and between two
-components the closest candidate goes first. What remains is verified without exception, so no link
-between components is lost.
+Large groups of near copies don't meet as pairs: first every class is verified against the most central class
+(that with the least share of shingles that are rare in the corpus) of each of a few min-hashes; lists whose
+classes are then all in one component are done, and between two components the closest candidate goes first.
+What remains is verified without exception, so no link between components is lost. Keys that hold many rows
+(sets, subsets, min-hashes) meet by broadcast, and a long list of classes in squares of blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop, mix, multipliers, shingle_hashes, table, tidy, whole_texts, word_hashes
+from .common import chunks, drop, join_groups, mix, multipliers, shingle_hashes, table, tidy, whole_texts, word_hashes
 from .components import components
 
 #: Size of the table of shingle frequencies, by hash; it only orders the lists.
@@ -39,6 +40,8 @@ MOST_LIGHT = 32
 #: What a listed shingle costs, in units of a subset.
 LIST_COST = 3.0
 MIN_HASHES = 4
+#: Classes of one list that meet in one task.
+LIST_BLOCK = 2048
 _K = multipliers(MIN_HASHES + 2)[2:]
 
 
@@ -109,7 +112,8 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def profiles(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Of each (doc_id, text): set size, 128-bit key of the set, prefix, min-hashes, bitmap, and whole set if it may be light."""
+    """Of each (doc_id, text): set size, 128-bit key of the set, prefix, min-hashes, bitmap, whole set if it may be light,
+    and how many in a thousand of its shingles are rare in the corpus."""
     weights = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))  # 16 MB at any size
 
     def run(batches):
@@ -117,7 +121,7 @@ def profiles(docs: DataFrame, percent: int, size: int) -> DataFrame:
 
         def batch():
             cols = list(zip(*out, strict=True))
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.binary(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for doc, s in _sets(batches, size):
@@ -125,20 +129,21 @@ def profiles(docs: DataFrame, percent: int, size: int) -> DataFrame:
             if n:
                 signed = s.view(np.int64)
                 keep = n - -(-percent * n // 100) + 1
-                prefix = signed[np.lexsort((s, rank[(s >> np.uint64(40)).astype(np.int64)]))[:keep]]
+                often = rank[(s >> np.uint64(40)).astype(np.int64)]
+                prefix = signed[np.lexsort((s, often))[:keep]]
                 least = np.array([mix(s * k).min() for k in _K[:MIN_HASHES]]).view(np.int64)
                 hi, lo = int(np.add.reduce(mix(s ^ _K[0])).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + _K[1])).view(np.int64))
-                out.append((doc, n, hi, lo, prefix, least, signed if n <= MOST_LIGHT else None, _bitmap(s)))
+                out.append((doc, n, hi, lo, prefix, least, signed if n <= MOST_LIGHT else None, _bitmap(s), int(1000 * np.count_nonzero(often == 0) / n)))
             else:
-                out.append((doc, 0, 0, 0, None, None, None, None))
+                out.append((doc, 0, 0, 0, None, None, None, None, 0))
             if len(out) >= 1000:
                 yield batch()
                 out.clear()
         if out:
             yield batch()
 
-    names = ["doc_id", "n", "hi", "lo", "prefix", "least", "small", "bits"]
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>, least array<long>, small array<long>, bits binary")
+    names = ["doc_id", "n", "hi", "lo", "prefix", "least", "small", "bits", "rare"]
+    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>, least array<long>, small array<long>, bits binary, rare int")
 
 
 def _light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
@@ -165,8 +170,10 @@ def _light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(key, pa.int64()), pa.array(less, pa.bool_())], names=["a", "low", "high", "key", "less"])
 
     subsets = table(classes.where(F.col("n") <= most).select("rep", "small").mapInArrow(run, "a long, low int, high int, key long, less boolean"))
-    least = subsets.groupBy("low", "high", "key").agg(F.min(F.when(F.col("less"), F.col("a"))).alias("b"), F.count("*").alias("c")).where("c > 1 AND b IS NOT NULL").drop("c")
-    return subsets.join(least, ["low", "high", "key"]).where("a <> b").select("a", "b").distinct()
+    least = table(subsets.groupBy("low", "high", "key").agg(F.min(F.when(F.col("less"), F.col("a"))).alias("b"), F.count("*").alias("_h_c")).where("_h_c > 1 AND b IS NOT NULL"))
+    links = table(join_groups(subsets, least, ["low", "high", "key"]).where("a <> b").select("a", "b").distinct())
+    drop(subsets, least)
+    return links
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -201,60 +208,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def ngram_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of (doc_id, text), whole texts.
+def _central(heavy: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class with the most central class of each of its min-hashes."""
+    hashed = heavy.select("rep", "rare", F.posexplode("least"))
+    first = table(hashed.groupBy("pos", "col").agg(F.min_by("rep", F.struct("rare", "rep")).alias("b"), F.count("*").alias("_h_c")).where("_h_c > 1"))
+    return join_groups(hashed.select("rep", "pos", "col"), first, ["pos", "col"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct runs of ``size`` words, the
-    whole sequence where there are fewer, empty without words. Empty sets (null text too) link with nothing:
-    their component is their own id. Sets are compared by 64-bit hashes of their shingles. doc_id names a
-    document: rows that repeat one keep their rows (same result); a null doc_id takes part in no link.
+
+def _met(lists: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that lie in one list (token) and that sizes and places admit.
+
+    lists: token, rep, n, component, pos. A list of more than LIST_BLOCK classes is dealt to squares of blocks: each class
+    goes to one row and one column of squares, and two classes meet in one square.
     """
+    long = F.broadcast(lists.groupBy("token").agg(F.count("*").alias("_h_c")).where(F.col("_h_c") > LIST_BLOCK))  # fewer than rows / LIST_BLOCK
+    marked = lists.join(long, "token", "left").withColumn("_h_n", F.ceil(F.coalesce("_h_c", F.lit(1)) / LIST_BLOCK).cast("int")).drop("_h_c")
+    own = F.pmod(F.xxhash64("rep"), F.col("_h_n")).cast("int")
+    left = marked.select("token", *(F.col(k).alias(f"{k}a") for k in ("rep", "n", "component", "pos")), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_h_n") - 1)).alias("j"))
+    right = marked.select("token", *(F.col(k).alias(f"{k}b") for k in ("rep", "n", "component", "pos")), F.explode(F.sequence(F.lit(0), F.col("_h_n") - 1)).alias("i"), own.alias("j"))
+    met = left.join(right, ["token", "i", "j"]).where((F.col("componenta") != F.col("componentb")) & (F.col("repa") < F.col("repb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (F.greatest("na", "nb") > most))
+    # of the first shingle that two linked classes share, neither has too few after it
+    rest = 1 + F.least(F.col("na") - F.col("posa") - 1, F.col("nb") - F.col("posb") - 1)
+    met = met.where(rest * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    return met.select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+
+
+def _components(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """(doc_id, n, component) of (doc_id, text), whose ids are there and unique."""
     spark = docs.sparkSession
-    own = whole_texts(docs).fillna("", ["text"])
-    named = own.where("doc_id is not null")
-    all_rows = table(profiles(named, percent, size))
-    grouped = all_rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"))
-    member = table(all_rows.select("doc_id", "n", "hi", "lo").join(grouped, ["n", "hi", "lo"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    classes = all_rows.where("n > 0").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    classes = table(classes.select("rep", "n", "prefix", "least", "small", "bits"))
-    drop(all_rows)
+    all_rows = table(profiles(docs, percent, size))
+    grouped = table(all_rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_h_c")))
+    member = table(join_groups(all_rows.select("doc_id", "n", "hi", "lo").where("n > 0"), grouped, ["n", "hi", "lo"]).select("doc_id", "n", "rep").unionByName(all_rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))))
+    classes = table(all_rows.join(grouped.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").select("rep", "n", "prefix", "least", "small", "bits", "rare"))
+    drop(all_rows, grouped)
     tidy(spark)
     sizes = {r[0]: r[1] for r in classes.groupBy(F.least("n", F.lit(2 * MOST_LIGHT)).alias("n")).count().collect()}
     most = boundary(sizes, percent)
     heavy = classes.where(F.col("n") * 100 >= percent * (most + 1))
 
-    light = table(_light_links(classes, most, percent))
-    hashed = heavy.select("rep", F.posexplode("least"))
-    first = hashed.groupBy("pos", "col").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = hashed.join(first, ["pos", "col"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-    links = light.unionByName(table(_verified(table(_possible(pairs, classes, percent)), named, percent, size)))
-
+    light = _light_links(classes, most, percent)
+    possible = table(_possible(_central(heavy), classes, percent))
+    near = table(_verified(possible, docs, percent, size))
+    drop(possible)
+    links = light.unionByName(near)
     known = components(links)
     tidy(spark)
     listed = heavy.select("rep", F.posexplode("prefix").alias("pos", "token"))
-    shared = table(listed.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token"))
+    shared = table(listed.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("_h_c")).where("lo < hi").select("token", "_h_c"))
     tidy(spark)
-    lists = table(listed.join(shared, "token", "left_semi"))
+    short = table(join_groups(listed, shared, ["token"]))
+    drop(shared)
     tidy(spark)
-    lists = table(lists.join(classes.select("rep", "n"), "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    mixed = lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    lists = lists.join(mixed, "token", "left_semi")
-    x, y = (lists.select("token", *(F.col(k).alias(f"{k}{c}") for k in ("rep", "n", "component", "pos"))) for c in "ab")
-    met = x.join(y, "token").where((F.col("componenta") != F.col("componentb")) & (F.col("repa") < F.col("repb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (F.greatest("na", "nb") > most))
-    # of the first shingle that two linked classes share, neither has too few after it
-    rest = 1 + F.least(F.col("na") - F.col("posa") - 1, F.col("nb") - F.col("posb") - 1)
-    met = met.where(rest * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    open_pairs = table(_possible(met.select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct(), classes, percent))
+    lists = table(short.join(classes.select("rep", "n"), "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    drop(short)
+    mixed = table(lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_h_c")).where("lo < hi").select("token", "_h_c"))
+    left = table(join_groups(lists, mixed, ["token"]))
+    drop(lists, mixed)
+    met = table(_met(left, most, percent))
+    drop(left)
+    open_pairs = table(_possible(met, classes, percent))
+    drop(met)
 
     first_turn = True
     while not open_pairs.isEmpty():
         tied = open_pairs.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         tied = tied.select("a", "b", "far", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
         tied = table(tied.select("a", "b", "far", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")))
+        drop(open_pairs)
         chosen = tied
         if first_turn:  # the closest pair of each two components may spare the others
             chosen = table(tied.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b"))
-        new = table(_verified(chosen, named, percent, size))
+        new = table(_verified(chosen, docs, percent, size))
         if not new.isEmpty():
             links = links.unionByName(new)
             known = components(links)
@@ -262,7 +286,26 @@ def ngram_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataF
             break
         open_pairs = table(tied.select("a", "b", "far").join(chosen.select("a", "b"), ["a", "b"], "left_anti"))
         first_turn = False
+    drop(classes)
+    return member.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def ngram_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of (doc_id, text), whole texts.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct runs of ``size`` words, the
+    whole sequence where there are fewer, empty without words. Empty sets (null text too) link with nothing:
+    their component is their own id. Sets are compared by 64-bit hashes of their shingles.
 
-    joined = member.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    nameless = own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return joined.unionByName(nameless)
+    Each row is a document. component_id is the smallest doc_id of the rows that links reach; where doc_id is null
+    or repeats, rows keep their own sets and links, and a component without any id has a null component_id.
+    """
+    own = whole_texts(docs).fillna("", ["text"])
+    names = own.groupBy("doc_id").agg(F.count("*").alias("c"))
+    if names.where("doc_id is null or c > 1").isEmpty():
+        return _components(own, percent, size).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    rows = table(own.withColumn("row", F.monotonically_increasing_id()))
+    got = table(_components(rows.select(F.col("row").alias("doc_id"), "text"), percent, size).withColumnRenamed("doc_id", "row"))
+    named = table(got.join(rows.select("row", "doc_id"), "row"))
+    least = table(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_h_c")))
+    return join_groups(named, least, ["component"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
-from harvest.llm import ann, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, queries, token_output, topk, url_filters  # noqa: E402
+from harvest.llm import ann, common, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, queries, token_output, topk, url_filters  # noqa: E402
 from harvest.llm.common import chunks, one_hash, word_hashes  # noqa: E402
 from harvest.llm.components import components  # noqa: E402
 
-ODD = [(900, None, None), (901, "", "en"), (902, "x", None), (903, "  \n ", "fr"), (904, "é ☃\x0bZ", "en"), (905, "a b c d e", "en"), (906, "A  b\tc d E", "en"), (None, "a b c d e", "en"), (907, "w" * 5000, "de"), (908, "the cat sat " * 3000, "en"), (908, "the cat sat " * 3000, "en")]
+ODD = [(900, None, None), (901, "", "en"), (902, "x", None), (903, "  \n ", "fr"), (904, "é ☃\x0bZ", "en"), (905, "a b c d e", "en"), (906, "A  b\tc d E", "en"), (None, "a b c d e", "en"), (907, "w" * 5000, "de"), (908, "the cat sat " * 3000, "en"), (908, "the cat sat " * 3000, "en"), (909, "one text of an id that has two", "en"), (909, "a b c d e f", "en")]
 
 
 @pytest.fixture(scope="module")
@@ -110,18 +110,39 @@ def _brute_components(rows, percent, size):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("percent", "size"), [(85, 4), (80, 5), (60, 2)])
-def test_ngram_components(docs, empty, percent, size):
+@pytest.mark.parametrize(("percent", "size"), [(85, 4), (60, 2)])
+def test_ngram_components(spark, docs, empty, percent, size):
+    def check(rows):
+        """By row; a component's id is the smallest of its rows' ids."""
+        by_row = _brute_components(list(enumerate(t for _, t in rows)), percent, size)
+        groups: dict = {}
+        for k, (i, _) in enumerate(rows):
+            groups.setdefault(by_row[k][1], []).append(i)
+        want = sorted(((i, by_row[k][0], min((x for x in groups[by_row[k][1]] if x is not None), default=None)) for k, (i, _) in enumerate(rows)), key=str)
+        df = spark.createDataFrame([(i, t, 7, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, n int, rep string, token int, component int, row int")
+        assert sorted((tuple(r) for r in ngram_join.ngram_components(df, percent, size).collect()), key=str) == want
+
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = _brute_components([r for r in rows if r[0] is not None], percent, size)
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs, percent, size).collect()]
-    assert len(got) == len(rows)
-    assert {i: (n, c) for i, n, c in got if i is not None} == want
+    check(rows)  # null and repeated ids, one of them with two texts
+    if size == 4:
+        check([(i, t) for i, t in dict(rows).items() if i is not None])
     assert ngram_join.ngram_components(empty).count() == 0
 
 
-@pytest.mark.parametrize(("percent", "common", "rare"), [(85, 6, 7), (80, 4, 5)])
-def test_ngram_light_classes_of_the_larger_size(spark, percent, common, rare):
+def test_ngram_components_of_hot_keys_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [" ".join(passage)] * 20 + [" ".join([*passage[:k], f"x{k}", *passage[k + 1 :]]) for k in range(30) for _ in (0, 1)]
+    texts += [" ".join([f"own{i}q{k}" for k in range(rng.randint(1, 9))] + passage[:6]) for i in range(60)]  # a list of many that don't link
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 80, 2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _brute_components(rows, 80, 2)
+
+
+def test_ngram_light_classes_of_the_larger_size(spark, percent=80, common=4, rare=5):
     rng = random.Random(percent)
     sets = [[f"own{i}w{k}" for k in range(common)] for i in range(60)]
     for k in range(4):  # two sets of the larger size share all but one, without and with a set of what they share
