@@ -154,11 +154,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes after lower-casing A-Z: a polynomial modulo 2**64 by prefix sums, then splitmix64."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of spans of bytes, after lower-casing A-Z: a polynomial modulo 2**64 by prefix sums, then splitmix64."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers("up", n), out=sums[1:])
+    np.cumsum(((LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * _powers("up", n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers("down", n)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

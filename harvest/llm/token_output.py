@@ -1,21 +1,18 @@
 """Token ids in training order, in binary shards of fixed stride.
 
-Documents become sequences of at most ``length`` tokens. A document has no more tokens than bytes and its
-end, so lengths in bytes, summed by input partition, give each sequence an index in a range that is known
-before anything is tokenised. A keyed Feistel network over the smallest even number of bits, with
-cycle-walking, permutes that range. The permuted indices in their order are the global slots: equal
-ranges of them are the shards, and within its shard a sequence's record lies by its rank, so slots have
-no gaps. One pass tokenises, shuffles by shard and writes.
+Documents become sequences of at most ``length`` tokens. A first pass counts each input partition's sequences, so
+that each has an index among all n; a second pass tokenises again and writes. A keyed Feistel network over the
+smallest even number of bits, with cycle-walking, permutes 0 .. n - 1: the image of a sequence's index is its global
+slot. Equal ranges of slots are the shards, so that slot s is record ``s % records`` of shard ``s // records``
+(only the last shard may be shorter), and a reader goes on anywhere by seeking.
 
 A record has the document's id (8 bytes), the piece, the number of ids (4 bytes each), ``length`` unsigned
 16-bit ids, padded with the end id, and a line feed; numbers are little-endian. Record r of a shard is at byte
-``r * stride``; a shard's first slot follows from the sizes of the files before it, so a reader goes on
-anywhere by seeking. Files are written by Spark's own committer to any file system that it knows.
+``r * stride``. Files are written by Spark's own committer to any file system that it knows.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -25,16 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, multipliers, partitions, shared_dir, table, whole_texts
+from .common import chunks, mix, multipliers, shared_dir, table, whole_texts
+from .span_ids import ByteIds
 
 LENGTH = 256
-#: Permuted indices that a shard's range has; about four in ten hold a sequence.
-RANGE = 1 << 14
+#: Records of a shard: what one task sorts and a reader loads at once (69 MB at 256 ids).
+RECORDS = 1 << 17
 END_ID = 50256
+#: Tasks that write at most; a task writes its shards one after the other.
+MOST_TASKS = 1 << 15
 #: The piece's top bit tells a null doc_id.
 _NULL = 1 << 31
 _HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4")])
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, ByteIds] = {}
 _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -56,21 +56,12 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 
 
 def _documents(batches, path: str, pattern: str, end_id: int):
-    """(doc_id, ids with the end id) of each row."""
+    """Runs of rows: doc_ids, all ids (each row's with the end id), and where rows begin."""
     if path not in _ENCODERS:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    encode = _ENCODERS[path].encode_ordinary
+        _ENCODERS[path] = ByteIds(path, pattern)
     for b in batches:
         for first, stop, data, offsets in chunks(b.column("text")):
-            raw, at = data.tobytes(), offsets.tolist()
-            for r, doc in enumerate(b.column("doc_id").slice(first, stop - first).to_pylist()):
-                ids = encode(raw[at[r] : at[r + 1]].decode("utf-8", "replace"))
-                ids.append(end_id)
-                yield doc, at[r + 1] - at[r], np.array(ids, "<u2")
+            yield (b.column("doc_id").slice(first, stop - first), *_ENCODERS[path].encode(data, offsets, end_id))
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -86,14 +77,13 @@ def stride(length: int = LENGTH) -> int:
     return _HEAD.itemsize + 2 * length + 1
 
 
-def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: int = 17, length: int = LENGTH, span: int = RANGE, end_id: int = END_ID) -> None:
-    """Write the shards of (doc_id, text) below ``path``.
+def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: int = 17, length: int = LENGTH, records: int = RECORDS, end_id: int = END_ID) -> int:
+    """Write the shards of (doc_id, text) below ``path``, which must not be there yet; how many sequences there are.
 
     A null or empty text is one sequence with the end id alone; repeated rows are written as often as they
-    occur; a null doc_id stays null; an empty table writes no shard. The vocabulary must fit 16 bits. The pass
-    over lengths and the pass that tokenises must see the same rows in the same partitions: file splits
-    are held fixed meanwhile, inputs that come from a shuffle are written first, and the job fails if a
-    partition's rows differ.
+    occur; a null doc_id stays null; an empty table writes no shard. The vocabulary must fit 16 bits. Both
+    passes must see the same rows in the same partitions: file splits are held fixed meanwhile, inputs that
+    come from a shuffle are written first, and the job fails if a partition's rows or sequences differ.
     """
     spark = docs.sparkSession
     own = whole_texts(docs)
@@ -102,36 +92,41 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: i
     try:
         if "Exchange" in own._jdf.queryExecution().executedPlan().toString():
             own = table(own)
-        most = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / F.lit(length))
-        per_part = own.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(most).alias("s"), F.count("*").alias("rows")).orderBy("part").collect()  # a row for each input partition
+
+        def count(batches):
+            rows = found = 0
+            for doc, _, begin in _documents(batches, tokenizer, pattern, end_id):
+                rows, found = rows + len(doc), found + int((-(-np.diff(begin) // length)).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([rows]), pa.array([found])], names=["part", "rows", "found"])
+
         base, total = {}, 0
-        for r in per_part:
-            base[r["part"]] = (total, r["s"], r["rows"])
-            total += r["s"]
+        for r in sorted(own.mapInArrow(count, "part long, rows long, found long").collect()):  # a row for each input partition
+            base[r["part"]] = (total, r["rows"], r["found"])
+            total += r["found"]
+        if not total:
+            return 0
+        known = spark.sparkContext.broadcast(base)
 
         def send(batches):
-            part, at, rows, out = TaskContext.get().partitionId(), 0, 0, []
-            begin, room, expected = base.get(part, (0, 0, 0))
-
-            def batch():
-                index, doc, piece, ids = (list(x) for x in zip(*out, strict=True))
-                place = feistel(np.array(index), total, key)
-                return pa.RecordBatch.from_arrays([pa.array(place), pa.array(place // span), pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(ids, pa.binary())], names=["place", "shard", "doc_id", "piece", "ids"])
-
-            for doc, size, ids in _documents(batches, tokenizer, pattern, end_id):
-                for piece in range(-(-len(ids) // length)):
-                    out.append((begin + at + piece, doc, piece, _pack(ids[piece * length : (piece + 1) * length])))
-                at += -(-(size + 1) // length)
-                rows += 1
-                if len(out) >= 4096:
-                    yield batch()
-                    out.clear()
-            if (at, rows) != (room, expected):
-                raise RuntimeError(f"partition {part} has {rows} rows and room {at}, and had {expected} and {room}")
-            if out:
-                yield batch()
-
-        def records(batches):
+            part = TaskContext.get().partitionId()
+            (at, rows, found), seen, sent = known.value.get(part, (0, 0, 0)), 0, 0
+            for doc, ids, begin in _documents(batches, tokenizer, pattern, end_id):
+                pieces = -(-np.diff(begin) // length)
+                row = np.repeat(np.arange(len(doc)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = begin[row] + piece * length
+                end = np.minimum(first + length, begin[row + 1])
+                place = feistel(at + sent + np.arange(len(row)), total, key)
+                seen, sent = seen + len(doc), sent + len(row)
+                if seen > rows or sent > found:
+                    break
+                short = ids.astype("<u2")
+                data = [_pack(short[i:j]) for i, j in zip(first.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(place // records), doc.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(data, pa.binary())], names=["place", "shard", "doc_id", "piece", "ids"])
+            if (seen, sent) != (rows, found):
+                raise RuntimeError(f"partition {part} has {seen} rows and {sent} sequences, and had {rows} and {found}")
+
+        def write(batches):
             for b in batches:
                 n = b.num_rows
                 rows = np.zeros(n, np.dtype([("head", _HEAD), ("ids", "<u2", (length,))]))
@@ -146,57 +141,49 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: i
                 offsets = np.arange(n + 1, dtype=np.int32) * rows.itemsize
                 yield pa.RecordBatch.from_arrays([b.column("shard"), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])], names=["shard", "value"])
 
-        shards = max(1, -(-total // span))
-        sent = own.mapInArrow(send, "place long, shard long, doc_id long, piece int, ids binary").repartition(min(shards, max(partitions(spark), shards // 8)), "shard").sortWithinPartitions("shard", "place")
-        sent.mapInArrow(records, "shard long, value binary").select("shard", F.col("value").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").text(path)
+        tasks = min(-(-total // records), MOST_TASKS)
+        sent = own.mapInArrow(send, "place long, shard long, doc_id long, piece int, ids binary")
+        sent = sent.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "place")
+        sent.mapInArrow(write, "shard long, value binary").select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+        return total
     finally:
         if least is None:
             spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
-def shard_index(spark: SparkSession, path: str, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(shard, first slot, records) of each shard, from the sizes of the files."""
-    out, first = [], 0
-    files = spark.read.format("binaryFile").load(path).groupBy("shard").agg(F.sum("length").alias("bytes")).orderBy("shard")
-    for r in files.collect():  # a row for each shard
-        out.append((int(r["shard"]), first, r["bytes"] // stride(length)))
-        first += out[-1][2]
-    return out
-
-
-def read_records(spark: SparkSession, path: str, first: int = 0, end: int | None = None, length: int = LENGTH) -> DataFrame:
+def read_records(spark: SparkSession, path: str, first: int = 0, end: int | None = None, length: int = LENGTH, records: int = RECORDS) -> DataFrame:
     """(slot, shard, offset, doc_id, piece, n_tokens, ids binary) of slots ``first`` to ``end``; only their shards are read."""
-    index = {s: a for s, a, n in shard_index(spark, path, length) if a + n > first and (end is None or a < end)}
     kind = np.dtype([("head", _HEAD), ("ids", "<u2", (length,)), ("line", "u1")])
+    last = 1 << 62 if end is None else end
 
     def run(batches):
         for b in batches:
             for shard, content in zip(b.column("shard").to_pylist(), b.column("content"), strict=True):
                 rows = np.frombuffer(content.as_buffer(), kind)
-                keep = np.flatnonzero((np.arange(len(rows)) + index[shard] >= first) & (np.arange(len(rows)) + index[shard] < (end if end is not None else 1 << 62)))
-                for i in range(0, len(keep), 4096):
-                    at = keep[i : i + 4096]
-                    own, head = rows[at], rows["head"][at]
+                base = shard * records
+                for i in range(max(0, first - base), min(len(rows), last - base), 4096):
+                    at = np.arange(i, min(i + 4096, len(rows), last - base))
+                    own = rows[at]
+                    head = own["head"]
                     none = head["piece"] >= _NULL
-                    cols = [pa.array(at + index[shard]), pa.array(np.full(len(at), shard)), pa.array(at * kind.itemsize), pa.array(head["doc_id"], mask=none), pa.array((head["piece"] & (_NULL - 1)).astype(np.int32)), pa.array(head["n"].astype(np.int64))]
+                    cols = [pa.array(at + base), pa.array(np.full(len(at), shard)), pa.array(at * kind.itemsize), pa.array(head["doc_id"], mask=none), pa.array((head["piece"] & (_NULL - 1)).astype(np.int32)), pa.array(head["n"].astype(np.int64))]
                     ids = [x[:n].tobytes() for x, n in zip(own["ids"], head["n"].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())], names=["slot", "shard", "offset", "doc_id", "piece", "n_tokens", "ids"])
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("shard").isin(list(index)))
+    files = spark.read.format("binaryFile").load(path).where(F.col("shard").cast("long").between(first // records, (last - 1) // records))
     return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(run, "slot long, shard long, offset long, doc_id long, piece int, n_tokens long, ids binary")
 
 
-def training_order(docs: DataFrame, tokenizer: str, pattern: str, path: str | None = None, key: int = 17, length: int = LENGTH, span: int = RANGE, end_id: int = END_ID) -> DataFrame:
+def training_order(docs: DataFrame, tokenizer: str, pattern: str, path: str | None = None, key: int = 17, length: int = LENGTH, records: int = RECORDS, end_id: int = END_ID) -> DataFrame:
     """Materialise, and read back (slot, shard, offset, doc_id, piece, n_tokens, ids_crc32) of each record."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/shards"
     schema = "slot long, shard long, offset long, doc_id long, piece int, n_tokens long, ids_crc32 long"
-    if docs.isEmpty():
+    if not materialise(docs, path, tokenizer, pattern, key, length, records, end_id):
         return spark.createDataFrame([], schema)
-    materialise(docs, path, tokenizer, pattern, key, length, span, end_id)
 
     def crc(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())], names=[*b.schema.names[:-1], "ids_crc32"])
 
-    return read_records(spark, path, length=length).mapInArrow(crc, schema)
+    return read_records(spark, path, length=length, records=records).mapInArrow(crc, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
-from harvest.llm import ann, common, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, queries, token_output, topk, url_filters  # noqa: E402
+from harvest.llm import ann, common, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, queries, span_ids, token_output, topk, url_filters  # noqa: E402
 from harvest.llm.common import chunks, one_hash, word_hashes  # noqa: E402
 from harvest.llm.components import components  # noqa: E402
 
@@ -200,9 +200,17 @@ def test_feistel_permutes(n):
 
 def test_training_order_round_trip(spark, docs, empty, tmp_path):
     args = (public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
-    got = token_output.training_order(docs, *args, path=str(tmp_path / "s"), length=16, span=64).collect()
+    got = token_output.training_order(docs, *args, path=str(tmp_path / "s"), length=16, records=64).collect()
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
-    records = token_output.read_records(spark, str(tmp_path / "s"), length=16).collect()
+    assert all((r["shard"], r["offset"]) == (r["slot"] // 64, r["slot"] % 64 * token_output.stride(16)) for r in got)
+    # slots are the images of the sequences' indices: those of one document follow one another in the input
+    place = token_output.feistel(np.arange(len(got)), len(got), 17)
+    index = np.argsort(place)
+    long = sorted((r["piece"], int(index[r["slot"]])) for r in got if r["doc_id"] == 907)
+    assert len(long) > 100 and [i for _, i in long] == list(range(long[0][1], long[0][1] + len(long)))
+    with pytest.raises(Exception, match="already exists"):
+        token_output.materialise(docs, str(tmp_path / "s"), *args)
+    records = token_output.read_records(spark, str(tmp_path / "s"), length=16, records=64).collect()
     parts: dict = {}
     for r in records:
         parts.setdefault(r["doc_id"], Counter())[(r["piece"], r["ids"])] += 1
@@ -219,7 +227,7 @@ def test_training_order_round_trip(spark, docs, empty, tmp_path):
         for k in range(-(-len(ids) // 16)):
             want.setdefault(r["doc_id"], Counter())[(k, ids[16 * k : 16 * k + 16].tobytes())] += 1
     assert {k: {(p, bytes(b)): n for (p, b), n in v.items()} for k, v in parts.items()} == want
-    assert [r["slot"] for r in token_output.read_records(spark, str(tmp_path / "s"), 5, 9, length=16).orderBy("slot").collect()] == [5, 6, 7, 8]
+    assert [r["slot"] for r in token_output.read_records(spark, str(tmp_path / "s"), 62, 66, length=16, records=64).orderBy("slot").collect()] == [62, 63, 64, 65]
     assert token_output.training_order(empty, *args).count() == 0
 
 
@@ -276,8 +284,9 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = packing.pack(docs, path).collect()
+    special = docs.limit(1).selectExpr("cast(950 as long) doc_id", "'a <|endoftext|> b<|STARTOFTEXT|>' text", "lang", "source", "_t")
+    docs = docs.unionByName(special)
+    rows = packing.pack(docs.selectExpr("*", "1 length", "2 _rank", "3 offset"), path).collect()
     want = Counter()
     for r in docs.collect():
         ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
@@ -293,9 +302,36 @@ def test_packing(docs, empty):
             assert offset == at
             at += n
         assert at <= 2048
+    assert len(bins) <= -(-sum(r["length"] for r in rows) // 2048) + 1
     assert packing.pack(empty, path).count() == 0
 
 
+def _strings(n):
+    rng = random.Random(17)
+    parts = list("abcXYZ019 \n\t\r\x0b\x0c.,!?'\"#%-()&<|>$") + ["é", "ß", "İ", "Σ", "ŉ", "\u0301", "\u0307", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "☃", "😀", "中", "한", "ᄒ", "ᅡ", "ड़", "\u093c", "Ⅷ", "²", "ﬁ", "\u212b", "\u200d", "\x00"]
+    parts += ["'s", "'ll", "'RE", "the", "and", "<|endoftext|>", "<|", "  ", "\n\n"]
+    out = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(n)]
+    out += ["".join(chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x2FFFF), rng.randrange(32, 127), 32])) for _ in range(rng.randint(1, 8))) for _ in range(n)]
+    return out + ["a" + chr(c) + "!!" for c in range(32, 0xD800)]
+
+
+def test_span_ids_are_the_tokenizers():
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = _strings(30_000)
+    words, path = public.path("word_bpe_49k.json"), public.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    t, e = Tokenizer.from_file(words), tiktoken.Encoding("t", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for own, ids in ((span_ids.WordIds(words, 5000), lambda x: t.encode(x, add_special_tokens=False).ids), (span_ids.ByteIds(path, public.PATTERN, 5000), e.encode_ordinary)):
+        for first, _, data, offsets in chunks(pa.array(texts), 20_000):
+            flat, begin = own.encode(data, offsets, 7)
+            assert all(flat[a:b].tolist() == [*ids(texts[first + r]), 7] for r, (a, b) in enumerate(zip(begin, begin[1:], strict=False)))
+
+
 def test_packing_plan_is_tight():
     rng = random.Random(1)
     lengths = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(50_000))
