@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/harvest-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> Iterator[None]:
+    """Jobs that run meanwhile send Python batches of at most ``limit`` bytes (a row at least); the setting is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_h_path"] = path
     return out

@@ -34,7 +34,7 @@ SMALL = 128
 #: Groups of equal cardinality for the large lengths.
 GROUPS = 1024
 #: Bytes of text that are encoded at once (one document at least).
-ENCODED_BYTES = 1 << 21
+ENCODED_BYTES = 1 << 19
 _RANK = 48
 
 

@@ -18,7 +18,7 @@ import numpy as np
 from .common import span_hashes, word_spans
 
 #: Distinct spans that a worker keeps (others are encoded again in each chunk), and the longest of them.
-CACHED, LONGEST = 400_000, 64
+CACHED, LONGEST = 700_000, 64
 _BITS = 20
 
 
@@ -28,25 +28,23 @@ class Spans:
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], fold: bool, cached: int = CACHED):
         self.encode, self.fold, self.room = encode, fold, cached
         self.keys = np.zeros((2, 1 << _BITS), np.uint64)
-        self.place = np.zeros((2, 1 << _BITS), np.int64)
-        self.size = np.zeros((2, 1 << _BITS), np.int64)
+        self.where = np.zeros((2, 1 << _BITS), np.int64)  # place in the pool and, in 16 bits, size
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     @staticmethod
     def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(64 - _BITS)).astype(np.int64), (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
 
-    def _keep(self, h: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+    def _keep(self, h: np.ndarray, where: np.ndarray) -> None:
         """A hash goes to a free slot in one of the two tables, and stays there; one that finds none is not kept."""
         for t in (0, 1):
             slot = self._slots(h)[t]
             free = np.flatnonzero(self.keys[t, slot] == 0)
             one = free[np.unique(slot[free], return_index=True)[1]]
-            for kept, new in ((self.keys, h), (self.place, place), (self.size, size)):
-                kept[t, slot[one]] = new[one]
+            self.keys[t, slot[one]], self.where[t, slot[one]] = h[one], where[one]
             left = np.ones(len(h), bool)
             left[one] = False
-            h, place, size = h[left], place[left], size[left]
+            h, where = h[left], where[left]
 
     def _encode(self, h: np.ndarray, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places in the pool and sizes of the ids of new spans; the kept ones' ids come first in the pool."""
@@ -63,28 +61,43 @@ class Spans:
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(end, np.uint32)])
         self.pool[self.used : end] = np.frombuffer(b"".join(got), "<u4")
         n = len(keep)
-        self._keep(h[keep], begins[:n], sizes[:n])
+        self._keep(h[keep], begins[:n] << 16 | sizes[:n])
         self.room -= n
         self.used += int(sizes[:n].sum())
         place, size = np.empty(len(spans), np.int64), np.empty(len(spans), np.int64)
         place[order], size[order] = begins, sizes
         return place, size
 
-    def ids(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each span has, and all ids in a row."""
+    def find(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each span has, and where they are in the pool until the next call."""
         h = span_hashes(data, starts, ends, self.fold)
         place, size = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
         for t, slot in enumerate(self._slots(h)):
             there = np.flatnonzero(self.keys[t, slot] == h)
-            place[there], size[there] = self.place[t, slot[there]], self.size[t, slot[there]]
+            where = self.where[t, slot[there]]
+            place[there], size[there] = where >> 16, where & 0xFFFF
         missing = np.flatnonzero(size < 0)
         if len(missing):
             new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
             at = missing[first]
             a, n = self._encode(new, [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             place[missing], size[missing] = a[back], n[back]
-        before = np.cumsum(size) - size
-        return size, self.pool[np.repeat(place - before, size) + np.arange(int(size.sum()))]
+        return size, place
+
+    def ids(self, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """All ids in a row."""
+        return self.pool[np.repeat(place - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def _split(starts: np.ndarray, cut: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans, each followed by what is cut off its end if anything is."""
+    marked = (cut < ends).astype(np.int64)
+    at = np.arange(len(starts)) + np.cumsum(marked) - marked
+    a, b, of = (np.empty(len(starts) + int(marked.sum()), np.int64) for _ in range(3))
+    a[at], b[at], of[at] = starts, cut, row
+    tail = np.flatnonzero(marked)
+    a[at[tail] + 1], b[at[tail] + 1], of[at[tail] + 1] = cut[tail], ends[tail], row[tail]
+    return a, b, of
 
 
 def _letters() -> np.ndarray:
@@ -188,15 +201,9 @@ class WordIds:
         if odd:
             keep = ~np.isin(row, odd)
             starts, ends, row = starts[keep], ends[keep], row[keep]
-        cut = _stems(data, starts, ends)
-        marked = (cut < ends).astype(np.int64)
-        at = np.arange(len(starts)) + np.cumsum(marked) - marked
-        a, b, of = (np.empty(len(starts) + int(marked.sum()), np.int64) for _ in range(3))
-        a[at], b[at], of[at] = starts, cut, row
-        tail = np.flatnonzero(marked)
-        a[at[tail] + 1], b[at[tail] + 1], of[at[tail] + 1] = cut[tail], ends[tail], row[tail]
-        size, flat = self.spans.ids(data, raw, a, b)
-        return _put_together(n, size, of, flat, whole, end_id)
+        a, b, of = _split(starts, _stems(data, starts, ends), ends, row)
+        size, place = self.spans.find(data, raw, a, b)
+        return _put_together(n, size, of, self.spans.ids(size, place), whole, end_id)
 
 
 class ByteIds:
@@ -214,8 +221,20 @@ class ByteIds:
         encode = self.encoder.encode_ordinary
         return [array("I", encode(x.decode())).tobytes() for x in spans]
 
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many ids each row has, without one for its end."""
+        n, whole, size, _, of = self._found(data, offsets)
+        out = np.bincount(of, size, n).astype(np.int64) if len(of) else np.zeros(n, np.int64)
+        out[list(whole)] = [len(x) // 4 for x in whole.values()]
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows (UTF-8), each with ``end_id`` last, and where rows begin."""
+        n, whole, size, place, of = self._found(data, offsets)
+        return _put_together(n, size, of, self.spans.ids(size, place), whole, end_id)
+
+    def _found(self, data: np.ndarray, offsets: np.ndarray) -> tuple[int, dict[int, bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, ids of rows encoded as wholes, and of all other rows' spans the sizes, places and rows."""
         raw, n = data.tobytes(), len(offsets) - 1
         odd = np.unique(np.searchsorted(offsets, _wide_spaces(data), "right") - 1).tolist()
         whole = dict(zip(odd, self._encode([raw[offsets[r] : offsets[r + 1]] for r in odd]), strict=True))
@@ -231,17 +250,17 @@ class ByteIds:
         full = np.flatnonzero(np.diff(offsets))
         tail_at, some = offsets[full].copy(), rows[full + 1] > rows[full]  # white space after a row's last word
         tail_at[some] = ends[rows[full + 1][some] - 1]
-        a = np.concatenate([before, last, gap, tail_at])
-        b = np.concatenate([last, gap, ends, offsets[full + 1]])
-        of = np.concatenate([row, row, row, full])
+        cut = _stems(data, starts, ends)
+        a = np.concatenate([before, last, gap, cut, tail_at])
+        b = np.concatenate([last, gap, cut, ends, offsets[full + 1]])
+        of = np.concatenate([row, row, row, row, full])
         keep = b > a
         if odd:
             keep &= ~np.isin(of, odd)
         a, b, of = a[keep], b[keep], of[keep]
         order = np.argsort(a, kind="stable")
         a, b, of = a[order], b[order], of[order]
-        size, flat = self.spans.ids(data, raw, a, b)
-        return _put_together(n, size, of, flat, whole, end_id)
+        return n, whole, *self.spans.find(data, raw, a, b), of
 
 
 def _wide_spaces(data: np.ndarray) -> np.ndarray:

@@ -6,14 +6,17 @@ smallest even number of bits, with cycle-walking, permutes 0 .. n - 1: the image
 slot. Equal ranges of slots are the shards, so that slot s is record ``s % records`` of shard ``s // records``
 (only the last shard may be shorter), and a reader goes on anywhere by seeking.
 
-A record has the document's id (8 bytes), the piece, the number of ids (4 bytes each), ``length`` unsigned
-16-bit ids, padded with the end id, and a line feed; numbers are little-endian. Record r of a shard is at byte
-``r * stride``. Files are written by Spark's own committer to any file system that it knows.
+A record has its slot, the document's id (8 bytes each), the piece, the number of ids (4 bytes each), ``length``
+unsigned 16-bit ids, padded with the end id, and a line feed; numbers are little-endian. Record r of a shard is at byte
+``r * stride``. Files are written by Spark's own committer to any file system that it knows, and read back in
+splits of whole records, so that no task has a shard in memory.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, multipliers, shared_dir, table, whole_texts
+from .common import chunks, mix, multipliers, shared_dir, small_batches, table, whole_texts
 from .span_ids import ByteIds
 
 LENGTH = 256
-#: Records of a shard: what one task sorts and a reader loads at once (69 MB at 256 ids).
+#: Records of a shard (70 MB at 256 ids): what one task sorts.
 RECORDS = 1 << 17
 END_ID = 50256
+#: Bytes of text that are encoded at once (one document at least).
+ENCODED_BYTES = 1 << 18
 #: Tasks that write at most; a task writes its shards one after the other.
 MOST_TASKS = 1 << 15
 #: The piece's top bit tells a null doc_id.
 _NULL = 1 << 31
-_HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4")])
+_HEAD = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4")])
 _ENCODERS: dict[str, ByteIds] = {}
 _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -55,13 +60,14 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _documents(batches, path: str, pattern: str, end_id: int):
-    """Runs of rows: doc_ids, all ids (each row's with the end id), and where rows begin."""
+def _documents(batches, path: str, pattern: str, end_id: int | None = None):
+    """Runs of rows: doc_ids, all ids (each row's with the end id) and where rows begin; without an end id the numbers of ids."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ByteIds(path, pattern)
     for b in batches:
-        for first, stop, data, offsets in chunks(b.column("text")):
-            yield (b.column("doc_id").slice(first, stop - first), *_ENCODERS[path].encode(data, offsets, end_id))
+        for first, stop, data, offsets in chunks(b.column("text"), ENCODED_BYTES):
+            doc = b.column("doc_id").slice(first, stop - first)
+            yield (doc, _ENCODERS[path].count(data, offsets)) if end_id is None else (doc, *_ENCODERS[path].encode(data, offsets, end_id))
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -77,6 +83,19 @@ def stride(length: int = LENGTH) -> int:
     return _HEAD.itemsize + 2 * length + 1
 
 
+@contextmanager
+def _fixed_splits(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile the number of cores, which may change, doesn't change how files are split."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, before or spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+
+
 def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: int = 17, length: int = LENGTH, records: int = RECORDS, end_id: int = END_ID) -> int:
     """Write the shards of (doc_id, text) below ``path``, which must not be there yet; how many sequences there are.
 
@@ -87,16 +106,14 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: i
     """
     spark = docs.sparkSession
     own = whole_texts(docs)
-    least = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    spark.conf.set("spark.sql.files.minPartitionNum", least or spark.sparkContext.defaultParallelism)
-    try:
+    with small_batches(spark), _fixed_splits(spark):
         if "Exchange" in own._jdf.queryExecution().executedPlan().toString():
             own = table(own)
 
         def count(batches):
             rows = found = 0
-            for doc, _, begin in _documents(batches, tokenizer, pattern, end_id):
-                rows, found = rows + len(doc), found + int((-(-np.diff(begin) // length)).sum())
+            for doc, per in _documents(batches, tokenizer, pattern):
+                rows, found = rows + len(doc), found + int((per // length + 1).sum())
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([rows]), pa.array([found])], names=["part", "rows", "found"])
 
         base, total = {}, 0
@@ -127,11 +144,13 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: i
                 raise RuntimeError(f"partition {part} has {seen} rows and {sent} sequences, and had {rows} and {found}")
 
         def write(batches):
+            _ENCODERS.clear()  # tokenising is over: its tables leave the worker
             for b in batches:
                 n = b.num_rows
                 rows = np.zeros(n, np.dtype([("head", _HEAD), ("ids", "<u2", (length,))]))
                 rows["ids"] = end_id
                 doc = b.column("doc_id")
+                rows["head"]["slot"] = b.column("place").to_numpy()
                 rows["head"]["doc_id"] = doc.fill_null(0).to_numpy()
                 rows["head"]["piece"] = b.column("piece").to_numpy() + np.where(doc.is_null().to_numpy(zero_copy_only=False), _NULL, 0)
                 for r, data in enumerate(b.column("ids").to_pylist()):
@@ -146,32 +165,28 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, pattern: str, key: i
         sent = sent.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "place")
         sent.mapInArrow(write, "shard long, value binary").select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
         return total
-    finally:
-        if least is None:
-            spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
 def read_records(spark: SparkSession, path: str, first: int = 0, end: int | None = None, length: int = LENGTH, records: int = RECORDS) -> DataFrame:
     """(slot, shard, offset, doc_id, piece, n_tokens, ids binary) of slots ``first`` to ``end``; only their shards are read."""
     kind = np.dtype([("head", _HEAD), ("ids", "<u2", (length,)), ("line", "u1")])
-    last = 1 << 62 if end is None else end
 
     def run(batches):
         for b in batches:
-            for shard, content in zip(b.column("shard").to_pylist(), b.column("content"), strict=True):
-                rows = np.frombuffer(content.as_buffer(), kind)
-                base = shard * records
-                for i in range(max(0, first - base), min(len(rows), last - base), 4096):
-                    at = np.arange(i, min(i + 4096, len(rows), last - base))
-                    own = rows[at]
-                    head = own["head"]
-                    none = head["piece"] >= _NULL
-                    cols = [pa.array(at + base), pa.array(np.full(len(at), shard)), pa.array(at * kind.itemsize), pa.array(head["doc_id"], mask=none), pa.array((head["piece"] & (_NULL - 1)).astype(np.int32)), pa.array(head["n"].astype(np.int64))]
-                    ids = [x[:n].tobytes() for x, n in zip(own["ids"], head["n"].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())], names=["slot", "shard", "offset", "doc_id", "piece", "n_tokens", "ids"])
-
-    files = spark.read.format("binaryFile").load(path).where(F.col("shard").cast("long").between(first // records, (last - 1) // records))
-    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(run, "slot long, shard long, offset long, doc_id long, piece int, n_tokens long, ids binary")
+            value = b.column("value")
+            rows = np.frombuffer(value.buffers()[2], kind, len(value), value.offset * kind.itemsize)
+            slot = rows["head"]["slot"]
+            rows = rows[(slot >= first) & (slot < (1 << 62 if end is None else end))]
+            head, slot = rows["head"], rows["head"]["slot"]
+            none = head["piece"] >= _NULL
+            cols = [pa.array(slot), pa.array(slot // records), pa.array(slot % records * kind.itemsize), pa.array(head["doc_id"], mask=none), pa.array((head["piece"] & (_NULL - 1)).astype(np.int32)), pa.array(head["n"].astype(np.int64))]
+            ids = [x[:n].tobytes() for x, n in zip(rows["ids"], head["n"].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())], names=["slot", "shard", "offset", "doc_id", "piece", "n_tokens", "ids"])
+
+    shards = "*" if end is None else "{" + ",".join(str(k) for k in range(first // records, (end - 1) // records + 1)) + "}"
+    found = spark.sparkContext._jsc.binaryRecords(f"{path}/shard={shards}", kind.itemsize)
+    values = DataFrame(spark._jsparkSession.createDataset(found.rdd(), spark._jvm.org.apache.spark.sql.Encoders.BINARY()), spark)
+    return values.mapInArrow(run, "slot long, shard long, offset long, doc_id long, piece int, n_tokens long, ids binary")
 
 
 def training_order(docs: DataFrame, tokenizer: str, pattern: str, path: str | None = None, key: int = 17, length: int = LENGTH, records: int = RECORDS, end_id: int = END_ID) -> DataFrame:
