@@ -1,19 +1,24 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Classes are the end, the commonest words (one
-each) and groups of all other words by their last two bytes, so that unknown words have one too. The
-class softmax sums rows of a hashed weight table: one for the bigram (previous word), one for the skip
-(the word before it) and one for the trigram (both). The word within a class is a smoothed share of counts.
-
-Counts come from every training document. Weights are trained over all training documents, split into
-rounds: each input partition makes gradient steps from the common weights over its share, and changes are
-averaged by weight row, over the partitions that touched the row, in levels of bounded fan-in.
-Counts of the commonest words, in bounded number, are broadcast; all others meet by a shuffle join.
+P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf). The commonest words and the
+end of a text are leaves of their own, dealt to CLASSES classes so that these hold about equal shares of the tokens; each
+class has one more leaf for the rest: all other words, known or not, by their last two bytes. Both softmax factors are
+trained. Their scores are the logarithm of the unigram share and hashed weights of the history: of the previous word
+(bigram), the word before it (skip) and, for the class, both (trigram); a leaf's weights are hashed with its class.
+A rest leaf's word is a smoothed share of counts, so that without weights the model is the unigram model.
+
+Counts come from every training document. The weight tables grow with the number of distinct words, up to what a
+worker should hold. Weights are trained over all training documents, split into rounds: each task makes
+gradient steps from the common weights over its share, and changes are averaged by weight row, over the tasks that
+touched the row, in levels of bounded fan-in. Counts of the commonest words, in bounded number, are broadcast; all
+others meet by a shuffle join.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEPARATORS, chunks, key_crc32, mix, multipliers, table, whole_texts, word_hashes
+from .common import LOWER, SEPARATORS, chunks, drop, key_crc32, mix, multipliers, table, tree_sums, whole_texts, word_hashes
 
 CLASSES = 32
-#: Classes of one word each, the end among them.
-SINGLE = 16
-#: Rows of the weight table: a half for bigrams, a quarter each for skips and trigrams.
-ROWS = 1 << 15
+#: Leaves of a class, the first of them for the rest.
+LEAVES = 32
+#: Greatest numbers of weight rows for each feature of the class and of the leaf, as powers of two (23 MB in all).
+MOST_CLASS_ROWS, MOST_LEAF_ROWS = 1 << 14, 1 << 16
 ROUNDS = 3
 BATCH = 4096
-#: Words whose counts are broadcast (16 bytes each).
+#: Words whose counts are broadcast (24 bytes each), at most.
 COMMON = 1 << 18
-#: Weight changes that one task sums.
-FAN_IN = 64
+#: Input partitions that one training task takes.
+SHARE = 4
 _BLOCK = 256
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
@@ -41,7 +46,7 @@ _K = multipliers(6)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then an end, of each row), their group by last bytes, and where rows begin."""
+    """Hashes of all tokens (words, then an end, of each row), their class by last bytes, and where rows begin."""
     words, rows = word_hashes(data, offsets)
     group = np.zeros(len(words), np.int64)
     if len(words):
@@ -51,7 +56,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         edge[offsets] = True
         at = np.flatnonzero(~blank[:-1] & (blank[1:] | edge[1:]))
         before = np.where((at > 0) & ~edge[at] & ~blank[at - 1], LOWER[data[at - 1]], 0)
-        group = (mix(LOWER[data[at]].astype(np.uint64) * np.uint64(256) + before.astype(np.uint64)) % np.uint64(CLASSES - SINGLE)).astype(np.int64)
+        group = (mix(LOWER[data[at]].astype(np.uint64) * np.uint64(256) + before.astype(np.uint64)) % np.uint64(CLASSES)).astype(np.int64)
     n = len(rows) - 1
     ends = rows[1:] + np.arange(n)
     out, groups = np.empty(len(words) + n, np.uint64), np.zeros(len(words) + n, np.int64)
@@ -61,19 +66,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, groups, rows + np.arange(n + 1)
 
 
-def features(t: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Rows of the weight table (tokens x 3): bigram, skip, trigram; a row's start stands in for missing history."""
-    one = np.concatenate([[_START], t[:-1]])
-    one[begin[:-1]] = _START
-    two = np.concatenate([[_START], one[:-1]])
-    two[begin[:-1]] = _START
-    out = np.empty((len(t), 3), np.int64)
-    out[:, 0] = mix(one * _K[0]) & np.uint64(ROWS // 2 - 1)
-    out[:, 1] = (mix(two * _K[1]) & np.uint64(ROWS // 4 - 1)) + np.uint64(ROWS // 2)
-    out[:, 2] = (mix(one * _K[2] + two * _K[3]) & np.uint64(ROWS // 4 - 1)) + np.uint64(3 * ROWS // 4)
-    return out
-
-
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
@@ -81,42 +73,116 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def class_of(t: np.ndarray, groups: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """0 the end, 1 .. SINGLE - 1 the commonest words (sorted hashes), then the groups."""
-    at, there = find(single, t)
-    return np.where(t == _END, 0, np.where(there, at + 1, groups + SINGLE))
-
-
-def log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[:, 0]]
-    z += w[f[:, 1]]
-    z += w[f[:, 2]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def steps(w: np.ndarray, past: np.ndarray, f: np.ndarray, c: np.ndarray, touched: np.ndarray, rate: float = 0.3) -> None:
-    """Gradient steps over batches of tokens, in place; ``past`` holds each row's mean squared gradients."""
-    for i in range(0, len(c), BATCH):
-        rows, own = f[i : i + BATCH], c[i : i + BATCH]
-        g = -np.exp(log_softmax(w, rows))
-        g[np.arange(len(own)), own] += 1
-        for k in range(3):
-            order = np.argsort(rows[:, k], kind="stable")
-            at, first = np.unique(rows[order, k], return_index=True)
-            sums = np.add.reduceat(g[order], first, axis=0)
-            past[at] += np.square(sums).mean(axis=1)
-            w[at] += rate * sums / (np.sqrt(past[at]) + 1.0)[:, None]
-            touched[at] += np.diff(np.append(first, len(own)))
-
-
-def _rows(docs: DataFrame, held) -> DataFrame:
-    return whole_texts(docs, held.alias("held"))
+def _power(n: float, most: int) -> int:
+    return min(most, 1 << max(8, math.ceil(math.log2(max(n, 1)))))
+
+
+@dataclass
+class Model:
+    """Listed words (sorted hashes) with class and leaf, unigram scores of both factors, denominators of the rests, weights."""
+
+    words: np.ndarray
+    cls: np.ndarray
+    leaf: np.ndarray
+    class_bias: np.ndarray
+    leaf_bias: np.ndarray
+    #: log10 of what the count of a word of a rest is divided by.
+    rest: np.ndarray
+    class_rows: int
+    leaf_rows: int
+    w: np.ndarray
+
+    @classmethod
+    def start(cls, words: np.ndarray, counts: np.ndarray, groups: np.ndarray, masses: np.ndarray, kinds: np.ndarray, distinct: int) -> Model:
+        """From words to list (with counts and own rest classes), and all words' tokens and numbers by rest class."""
+        order = np.lexsort((words, -counts))[: CLASSES * (LEAVES - 1)]
+        words, counts, groups = words[order], counts[order], groups[order]
+        mass = masses - np.bincount(groups, counts, CLASSES) + 0.1 * (kinds - np.bincount(groups, minlength=CLASSES) + 1)
+        bias = np.full((CLASSES, LEAVES), -1e9)
+        bias[:, 0] = np.log(mass)
+        heap, used = [(m, k) for k, m in enumerate(mass.tolist())], [1] * CLASSES
+        heapq.heapify(heap)
+        own, leaf = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for i, n in enumerate(counts.tolist()):  # the commonest first, each to the lightest class with a free leaf
+            m, k = heapq.heappop(heap)
+            own[i], leaf[i] = k, used[k]
+            bias[k, used[k]] = math.log(n + 0.1)
+            used[k] += 1
+            if used[k] < LEAVES:
+                heapq.heappush(heap, (m + n, k))
+        totals = np.log(np.exp(bias).sum(axis=1))
+        at = np.argsort(words)
+        rows = _power(distinct / 32, MOST_CLASS_ROWS), _power(distinct / 8, MOST_LEAF_ROWS)
+        class_bias = (totals - np.log(np.exp(totals).sum())).astype(np.float32)
+        return cls(words[at], own[at], leaf[at], class_bias, (bias - totals[:, None]).astype(np.float32), np.log10(mass), *rows, np.zeros((3 * rows[0] + 2 * rows[1], CLASSES), np.float32))
+
+    def labels(self, t: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and leaf of each token."""
+        at, there = find(self.words, t)
+        return (np.where(there, self.cls[at], groups), np.where(there, self.leaf[at], 0)) if len(self.words) else (groups, np.zeros(len(t), np.int64))
+
+    def features(self, t: np.ndarray, begin: np.ndarray, cls: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(first weight row, row of each token) of the class's three features and the leaf's two; a row's start stands in for missing history."""
+        one = np.concatenate([[_START], t[:-1]])
+        one[begin[:-1]] = _START
+        two = np.concatenate([[_START], one[:-1]])
+        two[begin[:-1]] = _START
+        of = (cls.astype(np.uint64) + np.uint64(1)) * _K[4]
+        a, b = np.uint64(self.class_rows - 1), np.uint64(self.leaf_rows - 1)
+        keys = [one * _K[0], two * _K[1], one * _K[2] + two * _K[3]]
+        places = [mix(k) & a for k in keys] + [mix(k + of) & b for k in keys[:2]]
+        begins = [0, self.class_rows, 2 * self.class_rows, 3 * self.class_rows, 3 * self.class_rows + self.leaf_rows]
+        return [(first, p.astype(np.uint16)) for first, p in zip(begins, places, strict=True)]
+
+    def factors(self, features: list[tuple[int, np.ndarray]], cls: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all classes, and of all leaves of the token's class, of some tokens."""
+        out = []
+        for own, bias in ((features[:3], self.class_bias), (features[3:], self.leaf_bias[cls[part]])):
+            z = sum(self.w[first : first + (1 << 16)].take(p[part], axis=0) for first, p in own)
+            z += bias
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+            out.append(z)
+        return out[0], out[1]
+
+    def steps(self, t: np.ndarray, groups: np.ndarray, begin: np.ndarray, past: np.ndarray, touched: np.ndarray, rate: float = 0.3) -> None:
+        """Gradient steps over batches of tokens, in place; ``past`` holds each weight row's mean squared gradients."""
+        cls, leaf = self.labels(t, groups)
+        features = self.features(t, begin, cls)
+        for i in range(0, len(t), BATCH):
+            part = slice(i, i + BATCH)
+            for own, g, truth in zip((features[:3], features[3:]), self.factors(features, cls, part), (cls[part], leaf[part]), strict=True):
+                np.negative(g, out=g)
+                g[np.arange(len(truth)), truth] += 1
+                for first, places in own:
+                    order = np.argsort(places[part], kind="stable")
+                    p = places[part][order]
+                    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+                    at = p[cut].astype(np.int64) + first
+                    sums = np.add.reduceat(g.take(order, axis=0), cut, axis=0)
+                    past[at] += np.einsum("ij,ij->i", sums, sums) / CLASSES
+                    self.w[at] += rate * sums / (np.sqrt(past[at]) + 1)[:, None]
+                    touched[at] += np.diff(np.append(cut, len(p)))
+
+    def values(self, t: np.ndarray, groups: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each token's leaf (less the denominator of a rest), and whether the leaf is a rest."""
+        cls, leaf = self.labels(t, groups)
+        features, out = self.features(t, begin, cls), np.empty(len(t))
+        for i in range(0, len(t), BATCH):
+            part = slice(i, i + BATCH)
+            p, q = self.factors(features, cls, part)
+            at = np.arange(len(p))
+            out[part] = np.log10(np.maximum(p[at, cls[part]], 1e-30)) + np.log10(np.maximum(q[at, leaf[part]], 1e-30))
+        out -= np.where(leaf == 0, self.rest[cls], 0.0)
+        return out, leaf == 0
+
+
+assert CLASSES == LEAVES, "both factors share a table"
 
 
 def counts(training: DataFrame) -> DataFrame:
-    """(h, g, c): hash, group and count of every distinct word of the training rows."""
+    """(h, g, c): hash, class by last bytes and count of every distinct word of the training rows."""
 
     def run(batches):
         for b in batches:
@@ -129,53 +195,51 @@ def counts(training: DataFrame) -> DataFrame:
     return table(training.select("text").mapInArrow(run, "h long, g int, c long").groupBy("h", "g").agg(F.sum("c").alias("c")))
 
 
-def _averaged(parts: DataFrame, n: int) -> DataFrame:
-    """Sums of (level key, block, weighted changes, touches), at most FAN_IN of them at a time."""
-
-    def add(group: pa.Table) -> pa.Table:
-        change = sum(np.frombuffer(x, np.float32) for x in group.column("change").to_pylist())
-        touched = sum(np.frombuffer(x, np.float32) for x in group.column("touched").to_pylist())
-        return pa.table([pa.array([group.column("part")[0].as_py()], pa.int64()), group.column("block")[:1], pa.array([np.asarray(change, np.float32).tobytes()], pa.binary()), pa.array([np.asarray(touched, np.float32).tobytes()], pa.binary())], names=["part", "block", "change", "touched"])
+def commonest(seen: DataFrame, most: int) -> pa.Table:
+    """At most ``most`` words, all that are commoner than a bound, which a histogram of counts (sixteenths of powers of two) gives."""
+    scale = F.floor(16 * F.log2("c"))
+    sizes = sorted((r[0], r[1]) for r in seen.groupBy(scale.alias("k")).count().collect())
+    bound = 0
+    for k, n in reversed(sizes):
+        if most < n:
+            bound = k + 1
+            break
+        most -= n
+    return seen.where(scale >= bound).toArrow()
 
-    while True:
-        n = -(-n // FAN_IN)
-        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "block").applyInArrow(add, "part long, block int, change binary, touched binary")
-        if n <= 1:
-            return parts
 
-
-def train(training: DataFrame, single: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The weight table, from all training rows: each round takes another share of them."""
+def train(training: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
+    """Fit the weights on all training rows: each round takes another share of them."""
     sc = training.sparkSession.sparkContext
-    w = np.zeros((ROWS, CLASSES), np.float32)
     share = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds))
     own = training.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("doc_id"), "text")
-    n = own.rdd.getNumPartitions()
+    tasks = max(1, -(-own.rdd.getNumPartitions() // SHARE))
+    size = len(model.w)
     for turn in range(rounds):
-        now = sc.broadcast(w)  # 4 MB at any size
+        now = sc.broadcast(model)  # 23 MB at most
 
         def run(batches, now=now):
-            base = now.value
-            local, past, touched = base.copy(), np.zeros(ROWS), np.zeros(ROWS, np.float32)
+            m = Model(**{**vars(now.value), "w": now.value.w.copy()})
+            past, touched = np.zeros(size, np.float32), np.zeros(size, np.float32)
             for b in batches:
                 for _, _, data, offsets in chunks(b.column("text")):
-                    t, g, begin = tokens(data, offsets)
-                    steps(local, past, features(t, begin), class_of(t, g, single), touched)
-            if not touched.any():
-                return
-            change = ((local - base) * touched[:, None]).astype(np.float32)
-            blocks = [k for k in range(ROWS // _BLOCK) if touched[k * _BLOCK : (k + 1) * _BLOCK].any()]
-            cut = lambda x, k: x[k * _BLOCK : (k + 1) * _BLOCK].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int64()), pa.array(blocks, pa.int32()), pa.array([cut(change, k) for k in blocks], pa.binary()), pa.array([cut(touched, k) for k in blocks], pa.binary())], names=["part", "block", "change", "touched"])
-
-        parts = own.where(share == turn).select("text").mapInArrow(run, "part long, block int, change binary, touched binary")
-        got = table(_averaged(parts, n)).toArrow()
-        w = w.copy()
-        for k, change, touched in zip(got.column("block").to_pylist(), got.column("change").to_pylist(), got.column("touched").to_pylist(), strict=True):
-            n_k = np.frombuffer(touched, np.float32)[:, None]
-            w[k * _BLOCK : (k + 1) * _BLOCK] += np.frombuffer(change, np.float32).reshape(_BLOCK, CLASSES) / np.maximum(n_k, 1)
+                    m.steps(*tokens(data, offsets), past, touched)
+            change = (m.w - now.value.w) * touched[:, None]
+            for k in np.flatnonzero(np.add.reduceat(touched, np.arange(0, size, _BLOCK))).tolist():
+                rows = slice(k * _BLOCK, (k + 1) * _BLOCK)
+                value = np.concatenate([change[rows].ravel(), touched[rows]])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([k], pa.int64()), pa.array([value.tobytes()], pa.binary())], names=["part", "block", "value"])
+
+        parts = own.where(share == turn).select("text").coalesce(tasks).mapInArrow(run, "part long, block long, value binary")
+        summed = table(tree_sums(parts, tasks, np.float32))
+        got = summed.toArrow()
+        w = model.w.copy()
+        for k, value in zip(got.column("block").to_pylist(), got.column("value").to_pylist(), strict=True):
+            value = np.frombuffer(value, np.float32)
+            w[k * _BLOCK : (k + 1) * _BLOCK] += value[: -_BLOCK].reshape(_BLOCK, CLASSES) / np.maximum(value[-_BLOCK:, None], 1)
+        model.w = w
+        drop(summed)
         now.unpersist()
-    return w
 
 
 def score(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
@@ -185,50 +249,52 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
     ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end; a null or empty text has the end alone. Words
     are told apart by 64-bit hashes. ``base_score`` is the add-0.1 unigram log10-probability, ``score`` the
     model's. A null doc_id is not held out. Repeated rows count, and are returned, as often as they occur.
-    Without training rows base_score is 0 and the model is uniform over classes.
+    Without training rows base_score is 0 for each token and the model is uniform over classes.
     """
     held = F.coalesce(key_crc32() % folds == 0, F.lit(False))
-    rows = _rows(docs, held)
+    rows = whole_texts(docs, held.alias("held"))
     training = rows.where(~F.col("held"))
+    return score_with(rows, *fit(training, rounds))
+
+
+def fit(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame, pa.Table, dict[str, int]]:
+    """The model, all words' counts, the commonest words', and totals, from the training rows (doc_id, text)."""
     seen = counts(training)
-    common = seen.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()  # a bounded number of rows
-    order = np.argsort(common.column("h").to_numpy().view(np.uint64))
-    keys = common.column("h").to_numpy().view(np.uint64)[order]
-    often = common.column("c").to_numpy()[order]
-    top = np.lexsort((common.column("h").to_numpy(), -common.column("c").to_numpy()))[: SINGLE - 1]
-    single = np.sort(common.column("h").to_numpy().view(np.uint64)[top])
-    signed = [int(x) for x in single.view(np.int64)]
+    common = commonest(seen, COMMON)
     ends = training.count()
-    by_group = {r["g"]: (r["n"], r["v"]) for r in seen.where(~F.col("h").isin(signed) if signed else F.lit(True)).groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    total = sum(n for n, _ in by_group.values()) + ends + int(often[np.isin(keys, single)].sum())
-    distinct = sum(v for _, v in by_group.values()) + len(single) + (1 if ends else 0)
-    whole = total + 0.1 * (distinct + 1)
-    share = np.zeros(CLASSES)  # log10 of what a word's count is divided by; words alone in a class have all of it
-    for g in range(CLASSES - SINGLE):
-        n, v = by_group.get(g, (0, 0))
-        share[SINGLE + g] = math.log10(n + 0.1 * (v + 1))
-    w = train(training, single, rounds)
-    model = docs.sparkSession.sparkContext.broadcast((w, single, share, keys, np.log10(often + 0.1)))
+    by_group = {r["g"]: (r["n"], r["v"]) for r in seen.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    masses, kinds = (np.array([by_group.get(g, (0, 0))[k] for g in range(CLASSES)], np.float64) for k in (0, 1))
+    total, distinct = int(masses.sum()) + ends, int(kinds.sum()) + (ends > 0)
+    words, often, groups = (common.column(c).to_numpy() for c in ("h", "c", "g"))
+    words = words.view(np.uint64)
+    if ends:  # the end counts as a word of class 0
+        words, often, groups = np.append(words, _END), np.append(often, ends), np.append(groups, 0)
+        masses[0], kinds[0] = masses[0] + ends, kinds[0] + 1
+    model = Model.start(words, often, groups, masses, kinds, distinct)
+    train(training, model, rounds)
+    return model, seen, common, {"tokens": total, "distinct": distinct, "ends": ends}
+
+
+def score_with(rows: DataFrame, model: Model, seen: DataFrame, common: pa.Table, totals: dict[str, int]) -> DataFrame:
+    """The result of ``score`` for rows (doc_id, text, held)."""
+    ends, whole = totals["ends"], totals["tokens"] + 0.1 * (totals["distinct"] + 1)
+    order = np.argsort(common.column("h").to_numpy().view(np.uint64))
+    keys, logs = common.column("h").to_numpy().view(np.uint64)[order], np.log10(common.column("c").to_numpy()[order] + 0.1)
+    shared = rows.sparkSession.sparkContext.broadcast((model, keys, logs))
 
     def run(batches):
-        w, single, share, keys, logs = model.value
+        model, keys, logs = shared.value
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            held = b.column("held").to_pylist()
+            held = b.column("held")
             for first, end, data, offsets in chunks(b.column("text")):
                 t, g, begin = tokens(data, offsets)
-                c = class_of(t, g, single)
-                f, value = features(t, begin), np.empty(len(t))
-                for i in range(0, len(t), BATCH):
-                    value[i : i + BATCH] = log_softmax(w, f[i : i + BATCH])[np.arange(min(BATCH, len(t) - i)), c[i : i + BATCH]]
-                value /= math.log(10)
-                grouped = c >= SINGLE
-                value[grouped] -= share[c[grouped]]
+                value, in_rest = model.values(t, g, begin)
                 place, there = find(keys, t)
                 log = np.where(there, logs[place] if len(logs) else 0.0, 0.0)
-                value[grouped] += log[grouped]
                 is_end = t == _END
                 log[is_end] = math.log10(ends + 0.1)
+                value[in_rest] += log[in_rest]
                 rest = ~there & ~is_end
                 add = lambda x: np.add.reduceat(x, begin[:-1])
                 row = np.repeat(np.arange(end - first), np.diff(begin))[rest]
@@ -236,7 +302,8 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(t[rest].view(np.int64)))
                 key = (part << 40) + at + np.arange(end - first)
                 at += end - first
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").slice(first, end - first), pa.array(held[first:end]), pa.array(np.diff(begin)), pa.array(add((there | (is_end & (ends > 0))).astype(np.int64))), pa.array(add(log)), pa.array(add(value)), lists], names=["key", "doc_id", "held_out", "n_tokens", "n_known", "logs", "value", "rest"])
+                cut = lambda c: c.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([pa.array(key), cut(b.column("doc_id")), cut(held), pa.array(np.diff(begin)), pa.array(add((there | (is_end & (ends > 0))).astype(np.int64))), pa.array(add(log)), pa.array(add(value)), lists], names=["key", "doc_id", "held_out", "n_tokens", "n_known", "logs", "value", "rest"])
 
     done = table(rows.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, value double, rest array<long>"))
     rare = done.select("key", F.explode("rest").alias("h"))
@@ -248,7 +315,7 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("_h_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
+        F.lit(totals["tokens"]).cast("long").alias("train_tokens"),
         (F.col("logs") + extra - F.col("n_tokens") * F.lit(math.log10(whole))).alias("base_score"),
         (F.col("value") + extra).alias("score"),
     )

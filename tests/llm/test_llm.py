@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
-from harvest.llm import ann, common, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, queries, span_ids, token_output, topk, url_filters  # noqa: E402
+from harvest.llm import ann, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, queries, span_ids, token_output, topk, url_filters  # noqa: E402
+from harvest.llm import common as llm_common  # noqa: E402
 from harvest.llm.common import chunks, one_hash, word_hashes  # noqa: E402
 from harvest.llm.components import components  # noqa: E402
 
@@ -130,7 +131,7 @@ def test_ngram_components(spark, docs, empty, percent, size):
 
 
 def test_ngram_components_of_hot_keys_and_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT", 8)
+    monkeypatch.setattr(llm_common, "HOT", 8)
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
     rng = random.Random(11)
     passage = [f"p{k}" for k in range(30)]
@@ -360,10 +361,58 @@ def test_lm(docs, empty, monkeypatch):
     assert maxent_lm.score(empty).count() == 0
 
 
-def test_lm_classes_sum_to_one():
-    w = np.random.default_rng(1).normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32)
-    z = maxent_lm.log_softmax(w, np.array([[1, 20000, 30000], [5, 17000, 25000]]))
-    assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-5)
+def test_lm_score_by_brute_force(docs):
+    rows = docs.where("doc_id < 60 or _t = 1").select("doc_id", "text")
+    model, seen, common, totals = maxent_lm.fit(rows)
+    assert np.abs(model.w).max() > 0.01
+    counts = {r["h"] % 2**64: r["c"] for r in seen.collect()}
+    group = lambda w: int(maxent_lm.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[1][0])
+    k, at = maxent_lm._K, {int(h): i for i, h in enumerate(model.words)}
+    mixed = lambda x: int(llm_common.mix(np.array([x % 2**64], np.uint64))[0])
+
+    def soft(z):
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def probability(h, g, one, two):
+        c, leaf = (int(model.cls[at[h]]), int(model.leaf[at[h]])) if h in at else (g, 0)
+        keys = [one * int(k[0]), two * int(k[1]), one * int(k[2]) + two * int(k[3])]
+        a, b = model.class_rows, model.leaf_rows
+        z = model.class_bias + sum(model.w[i * a + mixed(x) % a] for i, x in enumerate(keys))
+        y = model.leaf_bias[c] + sum(model.w[3 * a + i * b + mixed(x + (c + 1) * int(k[4])) % b] for i, x in enumerate(keys[:2]))
+        p = soft(z)[c] * soft(y)[leaf]
+        n = totals["ends"] if h == int(maxent_lm._END) else counts.get(h, 0)
+        return p if leaf else p * (n + 0.1) / 10 ** model.rest[c]
+
+    start, end = int(maxent_lm._START), int(maxent_lm._END)
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in maxent_lm.score_with(rows.withColumn("held", F.lit(False)), model, seen, common, totals).collect()}
+    for i, text in rows.collect()[:25]:
+        one = two = start
+        total = 0.0
+        for h, g in [*((one_hash(w.encode()), group(w)) for w in _words(text)), (end, 0)]:
+            total += math.log10(probability(h, g, one, two))
+            one, two = h, one
+        assert got[(i, len(_words(text)) + 1)] == pytest.approx(total, abs=1e-3 * (len(_words(text)) + 1))
+    # all known words, the end and one unknown word of each class make one
+    known = {one_hash(w.encode()): group(w) for _, t in rows.collect() for w in _words(t)}
+    assert known.keys() == counts.keys()
+    for one, two in ((start, start), (next(iter(known)), start), (12345, 678)):
+        mass = sum(probability(h, g, one, two) for h, g in known.items()) + probability(end, 0, one, two)
+        mass += sum(probability(-1 - c, c, one, two) for c in range(maxent_lm.CLASSES))
+        assert mass == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_commonest_keeps_its_bound(spark):
+    seen = spark.createDataFrame([(i, 0, c) for i, c in enumerate([1] * 50 + [2] * 9 + [100, 101, 5000])], "h long, g int, c long")
+    assert [maxent_lm.commonest(seen, n).num_rows for n in (0, 1, 3, 11, 12, 61, 62)] == [0, 1, 3, 3, 12, 12, 62]
+
+
+def test_lm_learns_from_the_history(spark):
+    rng = random.Random(5)
+    pairs = {f"w{k}": f"v{k}" for k in range(30)}
+    text = lambda: " ".join(x for w in rng.choices(list(pairs), k=40) for x in (w, pairs[w] if rng.random() < 0.9 else "z"))
+    got = maxent_lm.score(spark.createDataFrame([(i, text()) for i in range(2000)], "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.4
 
 
 def test_quality(spark, docs, empty):
