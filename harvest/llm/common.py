@@ -197,6 +197,29 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(data, starts, ends), rows
 
 
+class Lookup:
+    """Places in a sorted array of hashes: the top bits lead to the few that share them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(64 - max(8, min(20, int(len(keys)).bit_length() + 3)))
+        top = (keys >> self.shift).astype(np.int64)
+        size = np.bincount(top, minlength=1 << int(64 - self.shift))
+        self.first, self.most = (np.cumsum(size) - size).astype(np.int32), int(size.max()) if len(keys) else 0
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each (0 where it isn't there), and whether it is there."""
+        place, there = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        if not len(self.keys):
+            return place, there
+        base, last = self.first[(wanted >> self.shift).astype(np.int64)].astype(np.int64), len(self.keys) - 1
+        for k in range(self.most):
+            at = np.minimum(base + k, last)
+            hit = self.keys[at] == wanted
+            np.copyto(place, at, where=hit)
+            there |= hit
+        return place, there
+
+
 def one_hash(word: bytes) -> int:
     """``word_hashes`` of one word."""
     return int(word_hashes(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0][0])

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEPARATORS, chunks, drop, key_crc32, mix, multipliers, table, tree_sums, whole_texts, word_hashes
+from .common import LOWER, SEPARATORS, Lookup, chunks, drop, key_crc32, mix, multipliers, table, tree_sums, whole_texts, word_hashes
 
 CLASSES = 32
 #: Leaves of a class, the first of them for the rest.
@@ -66,17 +66,32 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, groups, rows + np.arange(n + 1)
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
 def _power(n: float, most: int) -> int:
     return min(most, 1 << max(8, math.ceil(math.log2(max(n, 1)))))
 
 
+_ONES = np.ones(CLASSES, np.float32)
+_FEW = 4
+
+
+def _summed(g: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the rows of g by group, of which most are small: ``order`` sorts by group, ``cut`` is where groups begin."""
+    size = np.diff(np.append(cut, len(order)))
+    out = g.take(order[cut], axis=0)
+    for k in range(1, _FEW):
+        more = np.flatnonzero(size > k)
+        out[more] += g.take(order[cut[more] + k], axis=0)
+    large = np.flatnonzero(size > _FEW)
+    if len(large):
+        rest = size[large] - _FEW
+        of = np.repeat(np.arange(len(large)), rest)
+        at = np.arange(len(of))
+        picks = np.zeros((len(large), len(of)), np.float32)
+        picks[of, at] = 1
+        out[large] += picks @ g.take(order[np.repeat(cut[large] + _FEW - (np.cumsum(rest) - rest), rest) + at], axis=0)
+    return out
+
+
 @dataclass
 class Model:
     """Listed words (sorted hashes) with class and leaf, unigram scores of both factors, denominators of the rests, weights."""
@@ -92,6 +107,9 @@ class Model:
     leaf_rows: int
     w: np.ndarray
 
+    def __post_init__(self):
+        self.lookup = Lookup(self.words)
+
     @classmethod
     def start(cls, words: np.ndarray, counts: np.ndarray, groups: np.ndarray, masses: np.ndarray, kinds: np.ndarray, distinct: int) -> Model:
         """From words to list (with counts and own rest classes), and all words' tokens and numbers by rest class."""
@@ -118,7 +136,7 @@ class Model:
 
     def labels(self, t: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and leaf of each token."""
-        at, there = find(self.words, t)
+        at, there = self.lookup.find(t)
         return (np.where(there, self.cls[at], groups), np.where(there, self.leaf[at], 0)) if len(self.words) else (groups, np.zeros(len(t), np.int64))
 
     def features(self, t: np.ndarray, begin: np.ndarray, cls: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -138,11 +156,12 @@ class Model:
         """Probabilities of all classes, and of all leaves of the token's class, of some tokens."""
         out = []
         for own, bias in ((features[:3], self.class_bias), (features[3:], self.leaf_bias[cls[part]])):
-            z = sum(self.w[first : first + (1 << 16)].take(p[part], axis=0) for first, p in own)
-            z += bias
-            z -= z.max(axis=1, keepdims=True)
+            z = bias + self.w[own[0][0] : own[0][0] + (1 << 16)].take(own[0][1][part], axis=0)
+            for first, p in own[1:]:
+                z += self.w[first : first + (1 << 16)].take(p[part], axis=0)
+            np.minimum(z, 60, out=z)
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
+            z *= (1 / (z @ _ONES))[:, None]
             out.append(z)
         return out[0], out[1]
 
@@ -160,7 +179,7 @@ class Model:
                     p = places[part][order]
                     cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
                     at = p[cut].astype(np.int64) + first
-                    sums = np.add.reduceat(g.take(order, axis=0), cut, axis=0)
+                    sums = _summed(g, order, cut)
                     past[at] += np.einsum("ij,ij->i", sums, sums) / CLASSES
                     self.w[at] += rate * sums / (np.sqrt(past[at]) + 1)[:, None]
                     touched[at] += np.diff(np.append(cut, len(p)))
@@ -186,7 +205,7 @@ def counts(training: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for _, _, data, offsets in chunks(b.column("text"), 1 << 23):
+            for _, _, data, offsets in chunks(b.column("text"), 1 << 22):
                 t, g, _ = tokens(data, offsets)
                 own = t != _END
                 h, at, n = np.unique(t[own], return_index=True, return_counts=True)
@@ -219,7 +238,7 @@ def train(training: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
         now = sc.broadcast(model)  # 23 MB at most
 
         def run(batches, now=now):
-            m = Model(**{**vars(now.value), "w": now.value.w.copy()})
+            m = replace(now.value, w=now.value.w.copy())
             past, touched = np.zeros(size, np.float32), np.zeros(size, np.float32)
             for b in batches:
                 for _, _, data, offsets in chunks(b.column("text")):
@@ -280,7 +299,7 @@ def score_with(rows: DataFrame, model: Model, seen: DataFrame, common: pa.Table,
     ends, whole = totals["ends"], totals["tokens"] + 0.1 * (totals["distinct"] + 1)
     order = np.argsort(common.column("h").to_numpy().view(np.uint64))
     keys, logs = common.column("h").to_numpy().view(np.uint64)[order], np.log10(common.column("c").to_numpy()[order] + 0.1)
-    shared = rows.sparkSession.sparkContext.broadcast((model, keys, logs))
+    shared = rows.sparkSession.sparkContext.broadcast((model, Lookup(keys), logs))
 
     def run(batches):
         model, keys, logs = shared.value
@@ -290,7 +309,7 @@ def score_with(rows: DataFrame, model: Model, seen: DataFrame, common: pa.Table,
             for first, end, data, offsets in chunks(b.column("text")):
                 t, g, begin = tokens(data, offsets)
                 value, in_rest = model.values(t, g, begin)
-                place, there = find(keys, t)
+                place, there = keys.find(t)
                 log = np.where(there, logs[place] if len(logs) else 0.0, 0.0)
                 is_end = t == _END
                 log[is_end] = math.log10(ends + 0.1)
