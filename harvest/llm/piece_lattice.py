@@ -10,14 +10,15 @@ past a word, so the piece lattice of a text is a chain of its words' lattices:
   the word's segmentations best first;
 * the lists of these words are merged into the text's n best.
 
-A character without a piece is spelled in byte pieces, at a penalty below the worst score. Equal scores:
-the longer last piece first, then the earlier word's change.
+A character without a piece is spelled in byte pieces, at a penalty below the worst score. Of equal scores the best
+segmentation has the longest last pieces; others come as the search meets them, and an earlier word's change first.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -163,25 +164,47 @@ class Pieces:
         return best, cost, out
 
     def best_paths(self, word: np.ndarray, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a word, by A-star from its end; the forward scores tell the exact rest."""
-        ids, score = (x[:, :, 0] for x in self.edges(word[None]))
-        size = len(word)
+        """The n best segmentations of a word, by A-star from its end; the forward scores tell the exact rest.
+
+        A state is a place and the piece that led there, with a pointer to the state before, and its cost is what it has
+        lost against the best path. An edge off the best continuation stands for one more whole segmentation of that
+        cost, so states that cost more than the n - 1 cheapest of these are not kept, and a place is left n times at most.
+        """
+        ids, score = (x[:, :, 0].tolist() for x in self.edges(word[None]))
+        size, most = len(word), len(ids[0])
         ahead = [0.0] + [-np.inf] * size
         for i in range(1, size + 1):
-            for k in range(1, min(i, ids.shape[1]) + 1):
-                ahead[i] = max(ahead[i], ahead[i - k] + score[i - 1, k - 1])
-        heap: list[tuple] = [(-ahead[size], (), size, 0.0, ())]
-        found = []
+            row = score[i - 1]
+            ahead[i] = max(ahead[i - k] + row[k - 1] for k in range(1, min(i, most) + 1))
+        states: list[tuple[int, int, int]] = [(-1, size, -1)]
+        heap: list[tuple[float, int]] = [(0.0, 0)]
+        cheapest: list[float] = []  # costs of the n - 1 cheapest other paths so far, negative
+        found, left = [], Counter()
         while heap and len(found) < n:
-            _, order, at, behind, path = heapq.heappop(heap)
-            if at == 0:
-                own = [p for i, piece in path for p in (self.spell(int(word[i])) if piece == -2 else [piece])]
-                found.append((behind, np.array(own, "<u4").tobytes()))
+            cost, at = heapq.heappop(heap)
+            at = -at
+            place = states[at][1]
+            if place == 0:
+                own: list[int] = []
+                while at:
+                    before, begin, piece = states[at]
+                    own += self.spell(int(word[begin])) if piece == -2 else [piece]
+                    at = before
+                found.append((ahead[size] - cost, np.array(own, "<u4").tobytes()))
+                continue
+            left[place] += 1
+            if left[place] > n:
                 continue
-            for k in range(1, min(at, ids.shape[1]) + 1):
-                if ids[at - 1, k - 1] != -1 and np.isfinite(ahead[at - k]):
-                    total = behind + float(score[at - 1, k - 1])
-                    heapq.heappush(heap, (-(ahead[at - k] + total), (*order, -k), at - k, total, ((at - k, int(ids[at - 1, k - 1])), *path)))
+            row, edges = score[place - 1], ids[place - 1]
+            lost = [(ahead[place] - (ahead[place - k] + row[k - 1]), k) for k in range(1, min(place, most) + 1) if edges[k - 1] != -1 and ahead[place - k] > -np.inf]
+            main = max(k for x, k in lost if x == 0)
+            for x, k in lost:  # of equals the last one in, the longest piece, comes out first
+                if k != main:
+                    if len(cheapest) == n - 1 and (n == 1 or cost + x > -cheapest[0]):
+                        continue
+                    (heapq.heappush if len(cheapest) < n - 1 else heapq.heappushpop)(cheapest, -(cost + x))
+                states.append((at, place - k, edges[k - 1]))
+                heapq.heappush(heap, (cost + x, 1 - len(states)))
         return found
 
     def decode(self, ids) -> str:
@@ -283,13 +306,14 @@ def segment(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, n: int) -> li
 def encode_nbest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     """(doc_id, rank, score, ids array<int>) of the n best segmentations of each (doc_id, text), whole texts.
 
-    A null or empty text has one segmentation without pieces, score 0. Rows that repeat keep their rows.
+    A null or empty text has one segmentation without pieces, score 0. Rows that repeat keep their rows. Time and
+    memory grow as the length of a text, also where it is one word.
     """
 
     def run(batches):
         pieces = load(model)
         for b in batches:
-            for first, end, data, offsets in chunks(b.column("text"), 1 << 23):
+            for first, end, data, offsets in chunks(b.column("text"), 1 << 22):
                 got = segment(pieces, data, offsets, n)
                 doc = b.column("doc_id").slice(first, end - first).to_pylist()
                 rows = [(d, k + 1, s, i) for d, g in zip(doc, got, strict=True) for k, (s, i) in enumerate(g)]
@@ -328,7 +352,7 @@ def digest_nbest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
         pieces = load(model)
         table = [bytes([pieces.byte_of[i]]) if i in pieces.byte_of else t.replace("▁", " ").encode() for i, t in enumerate(pieces.text)]
         for b in batches:
-            for first, end, data, offsets in chunks(b.column("text"), 1 << 23):
+            for first, end, data, offsets in chunks(b.column("text"), 1 << 22):
                 raw, at = data.tobytes(), offsets.tolist()
                 doc = b.column("doc_id").slice(first, end - first).to_pylist()
                 rows = []

@@ -232,29 +232,30 @@ def test_training_order_round_trip(spark, docs, empty, tmp_path):
     assert token_output.training_order(empty, *args).count() == 0
 
 
-def test_nbest(docs, empty):
-    m = piece_lattice.load(public.path("piece_bpe_32k.model"))
+def brute_nbest(m, t, n):
+    s, found = "▁" + t.replace(" ", "▁"), []
+
+    def walk(i, total):
+        if i == len(s):
+            found.append(total)
+        for k in range(1, min(m.longest, len(s) - i) + 1):
+            p = s[i : i + k]
+            if p in m.index:
+                walk(i + k, total + m.score[m.index[p]])
+            elif k == 1:
+                walk(i + 1, total + m.unknown * len(p.encode()))
 
-    def brute(t, n):
-        s, found = "▁" + t.replace(" ", "▁"), []
+    walk(0, 0.0)
+    return sorted(found, reverse=True)[:n]
 
-        def walk(i, total):
-            if i == len(s):
-                found.append(total)
-            for k in range(1, min(m.longest, len(s) - i) + 1):
-                p = s[i : i + k]
-                if p in m.index:
-                    walk(i + k, total + m.score[m.index[p]])
-                elif k == 1:
-                    walk(i + 1, total + m.unknown * len(p.encode()))
 
-        walk(0, 0.0)
-        return sorted(found, reverse=True)[:n]
+def test_nbest(docs, empty):
+    m = piece_lattice.load(public.path("piece_bpe_32k.model"))
 
     texts = ["the cat", "a  b", "é☃x\nyz", "hello", "x", "to be or"]
     ((_, _, data, offsets),) = chunks(pa.array(texts))
     for t, got in zip(texts, piece_lattice.segment(m, data, offsets, 4), strict=True):
-        assert np.allclose([s for s, _ in got], brute(t, 4))
+        assert np.allclose([s for s, _ in got], brute_nbest(m, t, 4))
         assert all(m.decode(np.frombuffer(i, "<u4").tolist()) == t for _, i in got)
     rows = piece_lattice.digest_nbest(docs, public.path("piece_bpe_32k.model")).collect()
     assert all(r["decoded"] for r in rows)
@@ -264,6 +265,37 @@ def test_nbest(docs, empty):
     assert piece_lattice.digest_nbest(empty, public.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_nbest_of_ties_and_long_words():
+    import time
+    import tracemalloc
+
+    m = piece_lattice.load(public.path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    kinds = {"mixed": "".join(rng.choices("ABCDEFabcdefghij0123456789+/", k=20_000)), "one letter": "w" * 20_000}
+    for word in kinds.values():
+        seconds = []
+        for n in (5_000, 20_000):
+            ((_, _, data, offsets),) = chunks(pa.array([word[:n]]))
+            tracemalloc.start()
+            began = time.process_time()
+            (got,) = piece_lattice.segment(m, data, offsets, 4)
+            seconds.append(time.process_time() - began)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < n * 8000  # bytes a character
+            assert len({i for _, i in got}) == 4 and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+            assert all(m.decode(np.frombuffer(i, "<u4").tolist()) == word[:n] for _, i in got)
+            assert all(sum(m.score[k] for k in np.frombuffer(i, "<u4")) == pytest.approx(s) for s, i in got)
+        assert seconds[1] < 9 * seconds[0]
+    for _ in range(300):  # every segmentation of short words, ties among them
+        word = "".join(rng.choices(rng.choice(["ab", "aw", "the "]), k=rng.randint(1, 9)))
+        ((_, _, data, offsets),) = chunks(pa.array([word]))
+        (got,) = piece_lattice.segment(m, data, offsets, 7)
+        assert len({i for _, i in got}) == len(got)
+        want = brute_nbest(m, word, 7)
+        assert np.allclose([s for s, _ in got], want)
+
+
 def test_nbest_decodes_every_rank(spark):
     path = public.path("piece_bpe_32k.model")
     m = piece_lattice.load(path)
