@@ -3,14 +3,16 @@
 Fitting, on a bounded sample: the exact neighbour graph of the sample is cut into balanced partitions
 (few edges cross, no partition exceeds its share by more than a slack), then a small softmax classifier
 learns to tell a vector's partition. Indexing, over every row: the classifier assigns each vector to its
-most probable partition. Search: each query goes to its most probable partitions, as many as ``mass`` of
-the probability and ``probes`` ask for, and all their vectors are reranked by the exact inner product.
-Large partitions are split into blocks by a hash of the id, so no task holds an unbounded one.
+most probable partition. Search: each query goes to its most probable partitions, and all their vectors are
+reranked by the exact inner product. How much probability the visited partitions must hold is measured on sample rows
+kept from fitting, for a wanted recall. Partitions grow in number with the rows, and large ones are split into cells
+by a hash of the row, so no task holds an unbounded one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .vectors import BLOCK, frame, matrix, merged, top_rows, valid
-
-#: Vectors that the index is fitted on.
-SAMPLE = 4096
-PARTITIONS = 16
+from .vectors import FOUND, blocks_for, found, frame, matrix, merged, valid
+
+#: Rows of a partition, about, and the least and greatest number of partitions.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 16, 256
+#: Vectors that the index is fitted on, for each partition, about, and of these the share that only measures (one in).
+SAMPLE, ASIDE = 256, 8
+#: Of most of the sample's neighbours this share must be found.
+RECALL = 0.95
 NEIGHBOURS = 12
-#: A query visits at least this many partitions ...
-PROBES = 8
-#: ... and more until they hold this share of the classifier's probability.
-MASS = 0.98
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -37,7 +38,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for i in range(0, len(x), 1024):
         s = x[i : i + 1024] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out[i : i + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else out[i : i + 1024]
+        out[i : i + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else 0
     return out
 
 
@@ -70,7 +71,7 @@ def balanced_partition(graph: np.ndarray, x: np.ndarray, parts: int, rounds: int
         np.add.at(votes, (rows, labels[graph.ravel()]), 1)
         np.add.at(votes, (graph.ravel(), labels[rows]), 1)
         mean = np.stack([x[labels == p].mean(axis=0) if (labels == p).any() else x[rng.integers(n)] for p in range(parts)])
-        score = votes / graph.shape[1] + 0.5 * x @ mean.T / max(1e-12, np.abs(x @ mean.T).max())
+        score = votes / max(1, graph.shape[1]) + 0.5 * x @ mean.T / max(1e-12, np.abs(x @ mean.T).max())
     return labels
 
 
@@ -109,69 +110,103 @@ class Router:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(base: DataFrame, rows: int, sample: int = SAMPLE, parts: int = PARTITIONS) -> Router:
-    """The index, from about ``sample`` of the rows (vec_id, v), chosen by a hash of the id."""
-    u = F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30)) / float(1 << 30)
-    got = base.where(u < sample / max(rows, 1)).select("vec_id", "v").orderBy("vec_id").toPandas()
-    if len(got) < 2 * parts:
-        d = len(base.first()["v"]) if rows else 1
-        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))  # one partition: exact search
-    x = matrix(got["v"])
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fit(base: DataFrame, dimension: int, rows: int, parts: int, k: int, recall: float = RECALL, sample: int | None = None) -> tuple[Router, float]:
+    """The router, and the probability that visited partitions must hold together, from about ``sample`` rows by a hash.
+
+    There are at most half as many partitions as rows to fit on. Without rows kept aside all partitions are visited.
+    """
+    u = F.pmod(F.xxhash64("row", F.lit("ann")), F.lit(1 << 30)) / float(1 << 30)
+    got = base.where(u < (sample or SAMPLE * parts) / max(rows, 1)).select("row", "v").toArrow().sort_by("row")
+    x = unit(matrix(got.column("v"), dimension))
+    aside = np.arange(len(x)) % ASIDE == ASIDE - 1
+    x, kept = x[~aside], x[aside]
+    parts = max(1, min(parts, len(x) // 2))
+    if not len(x):
+        return Router(np.zeros((dimension, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), np.inf
     graph = neighbour_graph(x, NEIGHBOURS)
     labels = balanced_partition(graph, x, parts)
     soft = np.zeros((len(x), parts))  # a row's own partition and where its neighbours lie
     soft[np.arange(len(x)), labels] = 0.5
-    np.add.at(soft, (np.repeat(np.arange(len(x)), graph.shape[1]), labels[graph.ravel()]), 0.5 / graph.shape[1])
-    return Router.fit(x, soft)
-
-
-def ann_search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int = PARTITIONS, probes: int = PROBES, mass: float = MASS, block: int = BLOCK) -> DataFrame:
+    np.add.at(soft, (np.repeat(np.arange(len(x)), graph.shape[1]), labels[graph.ravel()]), 0.5 / max(1, graph.shape[1]))
+    router = Router.fit(x, soft / soft.sum(axis=1, keepdims=True))
+    if not len(kept) or recall >= 1:
+        return router, np.inf
+    p = router.probabilities(kept)
+    order = np.argsort(-p, axis=1, kind="stable")
+    ranked = np.take_along_axis(p, order, axis=1)
+    before = np.empty_like(p)  # what a query has seen before it comes to a partition
+    np.put_along_axis(before, order, np.cumsum(ranked, axis=1) - ranked, axis=1)
+    near = np.argsort(-(kept @ x.T), axis=1, kind="stable")[:, :k]
+    home = router.probabilities(x).argmax(axis=1)
+    return router, float(np.quantile(np.take_along_axis(before, home[near], axis=1), recall)) + 1e-9
+
+
+def ann_search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL, parts: int | None = None, block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score double): the k found candidates of largest inner product of each query.
 
-    Queries are the rows whose id ``every`` divides, candidates all rows but those with the query's own id.
-    Scores are the exact inner products of the original vectors in double precision; ties go to the smaller
-    id. Vectors null, zero, or with null or non-finite components take no part. Where the visited
+    Queries are the rows whose id ``every`` divides, candidates all rows but the query's own. Scores are the
+    exact inner products of the original vectors in double precision; ties go to the smaller id. Vectors
+    null, zero, or with null or non-finite components, and rows without an id, take no part. A repeated vec_id is a
+    candidate, and has a list, as often as it occurs. Vectors meet those of their own dimension. Where the visited
     partitions hold fewer than k candidates but others exist, the query visits all partitions.
     """
-    base = table(valid(vectors, vec_id, embedding, zeros=False))
-    n = base.count()
-    router = fit(base, n, sample, parts)
+    base, sizes = valid(vectors, vec_id, embedding, zeros=False)
+    cores, lists = base.sparkSession.sparkContext.defaultParallelism, []
+    for dimension, n in sorted(sizes.items()):
+        wanted = parts or max(LEAST_PARTS, min(MOST_PARTS, n // PART_ROWS))
+        lists.append(_searched(base.where(F.size("v") == dimension), dimension, n, wanted, k, every, recall, block, cores))
+    if not lists:
+        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return merged(reduce(DataFrame.unionByName, lists), k)
+
+
+def _searched(base: DataFrame, dimension: int, n: int, parts: int, k: int, every: int, recall: float, block: int | None, cores: int) -> DataFrame:
+    """Partial lists (FOUND) of the vectors of one dimension."""
+    router, mass = fit(base, dimension, n, parts, k, recall)
 
     def assign(batches):
         for b in batches:
-            x = matrix(b.column("v").to_pandas())
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            p = router.probabilities(x)
+            p = router.probabilities(unit(matrix(pa.chunked_array([b.column("v")]), dimension)))
             order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
-            held = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-            visits = np.minimum(np.maximum((held < mass).sum(axis=1) + 1, probes), p.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(list(order), pa.list_(pa.int32())), pa.array(visits.astype(np.int32))], names=["vec_id", "v", "_h_order", "_h_visits"])
-
-    routed = table(base.mapInArrow(assign, "vec_id long, v array<double>, _h_order array<int>, _h_visits int"))
-    index = routed.select("vec_id", "v", F.col("_h_order")[0].alias("_h_p"))
+            ranked = np.take_along_axis(p, order, axis=1)
+            visits = ((np.cumsum(ranked, axis=1) - ranked) < mass).sum(axis=1)
+            queries = b.column("vec_id").to_numpy() % every == 0
+            visited = [o[: v if q else 1] for o, v, q in zip(order, visits, queries, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(visited, pa.list_(pa.int32()))], names=["row", "vec_id", "v", "_h_visited"])
+
+    routed = table(base.mapInArrow(assign, "row long, vec_id long, v array<double>, _h_visited array<int>"))
+    index = routed.select("row", "vec_id", "v", F.col("_h_visited")[0].alias("_h_p"))
     sizes = {r[0]: r[1] for r in index.groupBy("_h_p").count().collect()}  # at most `parts` rows
-    split = F.coalesce(F.create_map(*[F.lit(x) for p, c in sizes.items() for x in (p, -(-c // block))])[F.col("_h_p")], F.lit(1)) if sizes else F.lit(1)
-    index = index.withColumn("_h_b", F.pmod(F.xxhash64("vec_id"), split).cast("int"))
-    queries = routed.where(F.col("vec_id") % every == 0)
-    held = F.create_map(*[F.lit(x) for p, c in sizes.items() for x in (p, c)]) if sizes else F.create_map(F.lit(0), F.lit(0))
-    reach = F.aggregate(F.slice("_h_order", 1, F.col("_h_visits")), F.lit(0).cast("long"), lambda a, p: a + F.coalesce(held[p], F.lit(0)))
-    visits = F.when(reach > k, F.col("_h_visits")).otherwise(F.size("_h_order"))
-    queries = queries.select("vec_id", "v", F.explode(F.slice("_h_order", 1, visits)).alias("_h_p"))
-    queries = queries.withColumn("_h_b", F.explode(F.sequence(F.lit(0), (split - 1).cast("int")))).withColumn("_h_q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-n // every // block)))).cast("int"))
-    index = index.withColumn("_h_q", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // every // block)) - 1))))
+    number = lambda of: F.coalesce(F.create_map(*[F.lit(x) for p, c in of.items() for x in (p, c)])[F.col("_h_p")], F.lit(0))
+    held = F.create_map(*[F.lit(x) for p, c in sizes.items() for x in (p, c)])
+    every_part = F.array(*[F.lit(p) for p in sorted(sizes)])
+    reach = F.aggregate("_h_visited", F.lit(0).cast("long"), lambda a, p: a + F.coalesce(held[p], F.lit(0)))
+    queries = routed.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", F.explode(F.when(reach > k, F.col("_h_visited")).otherwise(every_part)).alias("_h_p"))
+    visitors = {r[0]: r[1] for r in queries.groupBy("_h_p").count().collect()}
+    q_cells = {p: blocks_for(c, dimension, 1, block) for p, c in visitors.items()}
+    cells = {p: blocks_for(c, dimension, -(-2 * cores // parts), block) for p, c in sizes.items()}
+    if not q_cells:
+        return base.sparkSession.createDataFrame([], FOUND.format("double"))
+    spread, to = F.xxhash64("row"), lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    queries = queries.withColumn("_h_q", F.pmod(spread, number(q_cells)).cast("int")).withColumn("_h_n", number(cells)).where("_h_n > 0").withColumn("_h_b", to(F.col("_h_n"))).drop("_h_n")
+    index = index.withColumn("_h_b", F.pmod(spread, number(cells)).cast("int")).withColumn("_h_n", number(q_cells)).where("_h_n > 0").withColumn("_h_q", to(F.col("_h_n"))).drop("_h_n")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list = []
         if left.num_rows and right.num_rows:
-            q_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            q, x = matrix(left.column("v").to_pandas()), matrix(right.column("v").to_pandas())
+            (q_rows, q_ids), (rows, ids) = [[x.column(c).to_numpy() for c in ("row", "vec_id")] for x in (left, right)]
+            q, x = (matrix(t.column("v"), dimension) for t in (left, right))
+            slack = 1e-12 * dimension * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
             for i in range(0, len(q), 256):
-                # the sum over components in order, so that a score never depends on what is in the block
-                for j, s in enumerate(np.einsum("qd,nd->qn", q[i : i + 256], x)):
-                    top_rows(q_ids[i + j], ids, s, k, out)
-        return pa.Table.from_batches([frame(out, pa.float64())])
+                for j, s in enumerate(q[i : i + 256] @ x.T, i):
+                    # the product of matrices may round by what else is in the block; what it lets pass is summed again by itself
+                    at = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1] - slack[j]) if len(s) > k + 1 else np.arange(len(s))
+                    found(q_rows[j], q_ids[j], ids[at], rows[at], np.einsum("nd,d->n", x[at], q[j]), k, out)
+        return frame(out, pa.float64())
 
     key = ["_h_p", "_h_b", "_h_q"]
-    parts_found = queries.groupBy(key).cogroup(index.groupBy(key)).applyInArrow(cell, "query_id long, vec_id long, score double")
-    return merged(parts_found, k)
+    return queries.groupBy(key).cogroup(index.groupBy(key)).applyInArrow(cell, FOUND.format("double"))

@@ -166,32 +166,73 @@ def test_components_chain(spark):
 def vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)) / 3)]
-    rows += [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] + [1.0] * 7), (1060, [None] + [1.0] * 7), (1080, rows[0][1]), (1081, rows[0][1])]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] + [1.0] * 7), (1060, [None] + [1.0] * 7), (1080, rows[0][1]), (1081, rows[0][1]), (1100, []), (None, rows[0][1])]
+    rows += [(20, rows[20][1]), (20, rows[21][1]), (14, rows[20][1])]  # ids that repeat, as query and as candidate
+    rows += [(2000 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(30, 3)))]  # another dimension
+    rows += [(3000 + i, [float(i % 4), 1.0, 0.0, 0.5, 0.0]) for i in range(60)]  # ties
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 row", "2 score", "'x' rank")
 
 
 def _searched(vectors, zeros, f):
-    rows = [(r[0], np.array(r[1], float)) for r in vectors.collect() if r[1] is not None and None not in r[1] and np.isfinite(r[1]).all() and (zeros or any(r[1]))]
-    out = {}
-    for q, v in rows:
+    """Of each query row its list of (score, id); rows of one id are listed in any order."""
+    rows = [(r[0], np.array(r[1], float)) for r in vectors.collect() if r[0] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and (zeros or any(r[1]))]
+    out = []
+    for n, (q, v) in enumerate(rows):
         if q % 20 == 0:
-            out[q] = sorted(((-f(v, w), i) for i, w in rows if i != q))[:20]
+            out.append((q, [(-s, i) for s, i in sorted((-f(v, w), i) for m, (i, w) in enumerate(rows) if m != n and len(v) == len(w))[:20]]))
+    return out
+
+
+def _lists(rows):
+    """The same from a result: a list ends where ranks begin again."""
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((r["score"], r["vec_id"]))
+    assert all(sorted(by_rank) == list(range(1, len(by_rank) + 1)) for by_rank in out.values())
+    return out
+
+
+def _by_rank(lists):
+    out: dict = {}
+    for q, found in lists:
+        for k, x in enumerate(found, 1):
+            out.setdefault(q, {}).setdefault(k, []).append(x)
     return out
 
 
 def test_exact_topk(vectors):
-    want = _searched(vectors, True, lambda a, b: int(np.floor(64 * a) @ np.floor(64 * b)))
-    got = topk.exact_topk(vectors, block=100).orderBy("query_id", "rank").collect()
-    assert {q: [(-s, i) for s, i in [(r["score"], r["vec_id"]) for r in got if r["query_id"] == q]] for q in want} == want
+    want = _by_rank(_searched(vectors, True, lambda a, b: int(np.floor(64 * a) @ np.floor(64 * b))))
+    for block in (None, 100):
+        got = _lists(topk.exact_topk(vectors, block=block).collect())
+        assert {q: {k: sorted(x) for k, x in y.items()} for q, y in got.items()} == {q: {k: sorted(x) for k, x in y.items()} for q, y in want.items()}
     assert topk.exact_topk(vectors.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="63 bits"):
+        topk.exact_topk(vectors.selectExpr("vec_id", "transform(embedding, x -> x * 1e9) embedding"))
 
 
-def test_ann_recall(vectors):
-    want = _searched(vectors, False, lambda a, b: float(a @ b))
-    got = ann.ann_search(vectors, block=100, parts=8, probes=5).collect()
-    found = sum(len({i for _, i in want[q]} & {r["vec_id"] for r in got if r["query_id"] == q}) for q in want)
-    assert found / sum(map(len, want.values())) >= 0.9
+def test_ann_of_all_partitions_is_exact(vectors):
+    want = _by_rank(_searched(vectors, False, lambda a, b: float(np.einsum("nd,d->n", b[None], a)[0])))
+    got = _lists(ann.ann_search(vectors, block=100, parts=8, recall=1.0).collect())
+    assert {q: {k: sorted(x) for k, x in y.items()} for q, y in got.items()} == {q: {k: sorted(x) for k, x in y.items()} for q, y in want.items()}
     assert ann.ann_search(vectors.limit(0)).count() == 0
+    assert {r["vec_id"] for r in ann.ann_search(vectors.where("vec_id in (0, 1)")).collect()} == {1}
+    assert ann.ann_search(vectors.where("vec_id = 1")).count() == 0
+
+
+def test_ann_recall_at_the_registered_parameters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+    got: dict = {}
+    for r in ann.ann_search(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for n in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[n]
+        s[n] = -np.inf
+        near = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        hits, total = hits + len(near & got[ids[n]]), total + len(near)
+    assert hits / total >= 0.9
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
