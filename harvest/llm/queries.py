@@ -100,6 +100,9 @@ QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_
 
 _ENTRY_ROWS = ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', make_timestamp({(_DAY0 + 86400 * day) * 1000000}))" for a, b, c, d, e, day in ENTRIES)
 
+#: Of an authority what comes after the last @, without a port and without dots at the end.
+_HOST = "lower(rtrim(regexp_replace(list_last(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '@')), ':[0-9]*$', ''), '.'))"
+
 ORACLES = {
     "op1_url_filters": f"""
 WITH entries(list_name, scope, pattern, verdict, action, since) AS (VALUES {_ENTRY_ROWS}),
@@ -111,8 +114,8 @@ spans AS (
 valid AS (SELECT * FROM spans WHERE action = 'add' AND (valid_to IS NULL OR valid_to > valid_from)),
 captures AS (
   SELECT page_id, url, make_timestamp((((page_id * 7919) % 525600) * 60 + {_DAY0}) * 1000000) AS fetched_at,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS place
+         {_HOST} AS host,
+         {_HOST} || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS place
   FROM pages
 ),
 held AS (

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 #: The intervals are broadcast only while both hold, as counted; beyond, the join shuffles and AQE splits hot keys.
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 8 << 20
+#: Keys that a capture offers (by the deepest path and domain of the list) while it meets the list key by key.
+BROADCAST_KEYS = 32
 SCOPES = ["domain", "host", "path", "url"]
 
 
@@ -30,8 +32,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host_of(url: Column) -> Column:
-    """Lower-cased host without port; '' for what has none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    """Lower-cased host without user info, port and dots at its end; '' for what has none. An IPv6 address keeps its brackets."""
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""), r"\.+$", ""))
 
 
 def place_of(url: Column) -> Column:
@@ -39,29 +42,52 @@ def place_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
 
 
+def _keys(depth: int, labels: int) -> list[tuple[str, Column]]:
+    """(scope, pattern) of what a capture offers: URL, host, its path prefixes and its parent domains."""
+    url = F.col("url")
+    host, place = host_of(url), place_of(url)
+    parts, names = F.size(F.split(place, "/")), F.size(F.split(host, r"\."))
+    keys = [("url", F.regexp_replace(url, "#.*$", "")), ("host", host)]
+    keys += [("path", F.when(parts > d, F.substring_index(place, "/", d + 1))) for d in range(depth + 1)]
+    return keys + [("domain", F.when(names >= n, F.substring_index(host, ".", -n))) for n in range(1, labels + 1)]
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per capture (page_id, url, fetched_at): host, decision and the entry that decides.
 
     ``decision`` is block, allow or none (no entry holds: null list_name, scope, pattern, valid_from), and
     ``n_active`` counts the entries that hold. A null url or fetch time matches nothing. Repeated captures
-    keep their rows.
+    keep their rows. While the list is broadcast a capture meets it key by key and is never shuffled; a larger list is
+    joined by shuffle, and each capture's matches meet by row.
     """
     valid = intervals(entries)
-    size = valid.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.when(F.col("scope") == "path", F.size(F.split("pattern", "/")) - 1)), F.lit(0)).alias("depth"), F.coalesce(F.max(F.when(F.col("scope") == "domain", F.size(F.split("pattern", r"\.")))), F.lit(0)).alias("labels")).first()
-    own = captures.select("page_id", "url", "fetched_at")
-    host, place = host_of(F.col("url")), place_of(F.col("url"))
-    key = lambda scope, c: F.struct(F.lit(scope).alias("scope"), c.alias("pattern"))
-    keys = [key("url", F.regexp_replace("url", "#.*$", "")), key("host", host)]
-    keys += [key("path", F.substring_index(place, "/", d + 1)) for d in range(1, size["depth"] + 1)]
-    keys += [key("domain", F.substring_index(host, ".", -n)) for n in range(1, size["labels"] + 1)]
-    offered = own.where(F.col("url").isNotNull() & F.col("fetched_at").isNotNull()).distinct().withColumn("_h_key", F.explode(F.array_distinct(F.array(*keys))))
-    offered = offered.select("page_id", "url", "fetched_at", "_h_key.scope", "_h_key.pattern")
-    if size["n"] <= broadcast_rows and size["bytes"] <= BROADCAST_BYTES:
-        valid = F.broadcast(valid)
-    held = offered.join(valid, ["scope", "pattern"]).where((F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
-    rank = F.struct(F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope")), F.length("pattern"), (F.col("verdict") == "allow").cast("int"), F.col("valid_from"), F.col("list_name"))
-    best = held.groupBy("page_id", "url", "fetched_at").agg(F.max_by(F.struct("verdict", "list_name", "scope", "pattern", "valid_from"), rank).alias("_h_best"), F.count("*").alias("n_active"))
-    best = best.select(*(F.col(c).alias(f"_h_{c}") for c in ("page_id", "url", "fetched_at")), "_h_best", "n_active")
-    same = [own[c].eqNullSafe(best[f"_h_{c}"]) for c in ("page_id", "url", "fetched_at")]
-    out = own.join(best, same[0] & same[1] & same[2], "left")
-    return out.select("page_id", "url", host.alias("host"), "fetched_at", F.coalesce("_h_best.verdict", F.lit("none")).alias("decision"), "_h_best.list_name", "_h_best.scope", "_h_best.pattern", "_h_best.valid_from", F.coalesce("n_active", F.lit(0)).alias("n_active"))
+    size = valid.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("bytes"),
+        F.coalesce(F.max(F.when(F.col("scope") == "path", F.size(F.split("pattern", "/")) - 1)), F.lit(-1)).alias("depth"),
+        F.coalesce(F.max(F.when(F.col("scope") == "domain", F.size(F.split("pattern", r"\.")))), F.lit(0)).alias("labels"),
+    ).first()
+    own = captures.select("page_id", "url", "fetched_at", host_of(F.col("url")).alias("host"))
+    keys = _keys(size["depth"], size["labels"])
+    holds = lambda x, at: (at >= x["valid_from"]) & (x["valid_to"].isNull() | (at < x["valid_to"]))
+    rank = lambda x: F.struct(F.array_position(F.array(*map(F.lit, SCOPES)), x["scope"]).alias("a"), F.length(x["pattern"]).alias("b"), (x["verdict"] == "allow").cast("int").alias("c"), x["valid_from"].alias("d"), x["list_name"].alias("e"))
+    entry = F.struct("verdict", "list_name", "scope", "pattern", "valid_from", "valid_to")
+    if size["n"] <= broadcast_rows and size["bytes"] <= BROADCAST_BYTES and len(keys) <= BROADCAST_KEYS:
+        spans = valid.groupBy("scope", F.col("pattern").alias("_h_key")).agg(F.collect_list(entry).alias("_h_spans"))
+        empty = F.array().cast("array<struct<verdict: string, list_name: string, scope: string, pattern: string, valid_from: timestamp, valid_to: timestamp>>")
+        out, met = own, []
+        for k, (scope, key) in enumerate(keys):
+            side = spans.where(F.col("scope") == scope).select(F.col("_h_key").alias(f"_h_k{k}"), F.col("_h_spans").alias(f"_h_s{k}"))
+            out = out.withColumn(f"_h_k{k}", key).join(F.broadcast(side), f"_h_k{k}", "left")
+            met.append(F.coalesce(f"_h_s{k}", empty))
+        out = out.withColumn("_h_met", F.coalesce(F.filter(F.concat(*met), lambda x: holds(x, F.col("fetched_at"))), empty))
+        best = F.array_max(F.transform("_h_met", lambda x: F.struct(rank(x).alias("rank"), x.alias("entry"))))["entry"]
+        out = out.select("page_id", "url", "host", "fetched_at", best.alias("_h_best"), F.size("_h_met").cast("long").alias("n_active"))
+    else:
+        offered = own.withColumn("_h_row", F.monotonically_increasing_id())
+        offered = offered.withColumn("_h_key", F.explode_outer(F.filter(F.array(*[F.struct(F.lit(s).alias("scope"), k.alias("pattern")) for s, k in keys]), lambda x: x["pattern"].isNotNull())))
+        held = offered.select("*", "_h_key.*").drop("_h_key").join(valid, ["scope", "pattern"], "left").withColumn("_h_holds", F.coalesce(holds({c: F.col(c) for c in ("valid_from", "valid_to")}, F.col("fetched_at")), F.lit(False)))
+        columns = {c: F.col(c) for c in ("verdict", "list_name", "scope", "pattern", "valid_from", "valid_to")}
+        best = F.max_by(F.when(F.col("_h_holds"), entry), F.when(F.col("_h_holds"), rank(columns)))
+        out = held.groupBy("_h_row").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "host", "fetched_at")), best.alias("_h_best"), F.count_if("_h_holds").alias("n_active"))
+    return out.select("page_id", "url", "host", "fetched_at", F.coalesce("_h_best.verdict", F.lit("none")).alias("decision"), "_h_best.list_name", "_h_best.scope", "_h_best.pattern", "_h_best.valid_from", "n_active")

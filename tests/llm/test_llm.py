@@ -60,12 +60,20 @@ def test_words_match_the_pattern():
 
 
 def test_url_filters_odd_cases(spark):
-    captures = spark.createDataFrame([(1, None, 5), (2, "http://a.example/x", None), (3, "nonsense", 5), (4, "https://A.example:80/p/q?z#f", 5), (4, "https://A.example:80/p/q?z#f", 5)], "page_id long, url string, t long").withColumn("fetched_at", F.timestamp_seconds("t"))
-    entries = spark.sql("SELECT * FROM VALUES ('l', 'host', 'a.example', 'block', 'add', timestamp_seconds(1)), ('l', 'path', 'a.example/p', 'allow', 'add', timestamp_seconds(5)), ('l', 'host', 'a.example', 'block', 'remove', timestamp_seconds(9)), (NULL, NULL, NULL, NULL, NULL, NULL) AS t(list_name, scope, pattern, verdict, action, at)")
+    captures = [(1, None, 5), (2, "http://a.example/x", None), (3, "nonsense", 5), (4, "https://A.example:80/p/q?z#f", 5), (4, "https://A.example:80/p/q?z#f", 5)]
+    captures += [(5, "http://user:pw@spam.example/x", 5), (6, "http://a.example@spam.example/", 5), (7, "http://spam.example./x", 5), (8, "http://[2001:DB8::1]:8080/x", 5), (9, "http://x.y.spam.example", 5), (10, "", 5), (None, "http://b.example/" + "d/" * 2000, 5)]
+    captures = spark.createDataFrame(captures, "page_id long, url string, t long").withColumn("fetched_at", F.timestamp_seconds("t")).selectExpr("*", "'q' host", "1 scope", "2 pattern", "3 decision")
+    lists = [("l", "host", "a.example", "block", "add", 1), ("l", "path", "a.example/p", "allow", "add", 5), ("l", "host", "a.example", "block", "remove", 9), (None,) * 6, ("l", "domain", "spam.example", "block", "add", 2), ("k", "domain", "spam.example", "block", "add", 2), ("l", "host", "[2001:db8::1]", "block", "add", 2), ("l", "path", "b.example", "block", "add", 2), ("l", "path", "b.example/d/d", "allow", "add", 2)]
+    entries = spark.createDataFrame(lists, "list_name string, scope string, pattern string, verdict string, action string, t long").withColumn("at", F.timestamp_seconds("t"))
+    want = [(None, "allow", 2, "l"), (1, "none", 0, None), (2, "none", 0, None), (3, "none", 0, None), (4, "allow", 2, "l"), (4, "allow", 2, "l"), (5, "block", 2, "l"), (6, "block", 2, "l"), (7, "block", 2, "l"), (8, "block", 1, "l"), (9, "block", 2, "l"), (10, "none", 0, None)]
     for most in (0, 1000):  # by shuffle and by broadcast
-        got = sorted((r["page_id"], r["decision"], r["n_active"]) for r in url_filters.filter_urls(captures, entries, broadcast_rows=most).collect())
-        assert got == [(1, "none", 0), (2, "none", 0), (3, "none", 0), (4, "allow", 2), (4, "allow", 2)]
-    assert url_filters.filter_urls(captures.limit(0), entries).count() == 0
+        got = url_filters.filter_urls(captures, entries, broadcast_rows=most)
+        assert sorted(((r["page_id"], r["decision"], r["n_active"], r["list_name"]) for r in got.collect()), key=str) == sorted(want, key=str)
+        none = url_filters.filter_urls(captures, entries.limit(0), broadcast_rows=most)
+        assert {(r["decision"], r["n_active"]) for r in none.collect()} == {("none", 0)} and none.count() == captures.count()
+        assert url_filters.filter_urls(captures.limit(0), entries, broadcast_rows=most).count() == 0
+    plan = url_filters.filter_urls(captures, entries)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "_h_row" not in plan
 
 
 def test_language(spark, docs, empty):
