@@ -90,6 +90,21 @@ def whole_texts(df: DataFrame, *columns, key: str = "doc_id") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
+def kept(docs: DataFrame, decide) -> DataFrame:
+    """The rows of docs, with all their columns, for which ``decide`` (a record batch to booleans) says so; no shuffle."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(decide(b), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column as strings, nulls where there is none of that name."""
+    return batch.column(name).cast(pa.string()) if name in batch.schema.names else pa.nulls(batch.num_rows, pa.string())
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` joined with ``groups``, which has one row a key and in ``_h_c`` how many of the rows are the key's.
 

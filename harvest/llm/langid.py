@@ -5,7 +5,8 @@ n-gram hashes; a row holds the n-gram's log-probability in each language, with i
 training, so scoring is one binary search for most characters and a back-off path for the rest. The
 language with the lowest cross-entropy per character wins. Rejection is calibrated on rows kept from counting.
 
-Counting uses a bounded sample of labelled rows: about ``rows`` per language, chosen by a hash of doc_id.
+Counting uses a bounded sample of labelled rows: about ``rows`` per language, chosen by a hash of doc_id, of the
+``most`` commonest languages.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, key_crc32, mix, multipliers, whole_texts
+from .common import chunks, column_of, kept, key_crc32, mix, multipliers, whole_texts
 
 ORDER = 4
 #: Labelled rows counted per language, and half as many to calibrate, about.
 TRAIN_ROWS = 2000
+#: Languages that are learned at most, and rows of a language from which on some of them only calibrate.
+MOST_LANGS, ENOUGH = 256, 30
 _TABLES: list[np.ndarray] = []
 _K = multipliers(8)
 
@@ -207,20 +210,22 @@ class KneserNey:
                 self.limit[g] = 1.2 * np.quantile(own, 0.999)
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = ORDER, learn=None) -> KneserNey:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = ORDER, learn=None, most: int = MOST_LANGS) -> KneserNey:
     """Fit on rows of (doc_id, text, lang) that ``learn`` (a condition) admits; two thirds count, one third calibrates.
 
-    Rows without text or lang teach nothing. Without any such row the model knows no language.
+    All rows of a language with fewer than ENOUGH count. Rows without text or lang teach nothing. Without any such row
+    the model knows no language. Rows without an id are one to the hash, and repeated ones all count or none.
     """
     own = docs.select(F.col("doc_id").cast("string").alias("_h_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("_h_learn"))
     own = own.where(F.col("_h_learn") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     langs = sorted(counts)
     if not langs:
         return KneserNey([], order)
     u = F.pmod(F.xxhash64("_h_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(1.5 * rows / counts[g]))]), F.col("lang"))
-    sample = own.withColumn("_h_u", u).where(F.col("_h_u") < share).withColumn("_h_cal", F.pmod(F.xxhash64("_h_id", F.lit("calibrate")), F.lit(3)) == 0)
+    many = F.col("lang").isin([g for g in langs if counts[g] >= ENOUGH])
+    sample = own.where(F.col("lang").isin(langs)).withColumn("_h_u", u).where(F.col("_h_u") < share).withColumn("_h_cal", many & (F.pmod(F.xxhash64("_h_id", F.lit("calibrate")), F.lit(3)) == 0))
     index = {g: i for i, g in enumerate(langs)}
 
     def count(batches):
@@ -285,6 +290,19 @@ def identify(docs: DataFrame, model: KneserNey) -> DataFrame:
     return whole_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, entropy double")
 
 
+def identified(docs: DataFrame, model: KneserNey) -> DataFrame:
+    """The rows, with all their columns, that ``identify`` doesn't reject."""
+    model_b = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide(batch):
+        m, out = model_b.value, [np.zeros(0, bool)]
+        for first, end, data, offsets in chunks(column_of(batch, "text")):
+            out.append(~m.decide(*m.entropies(data, offsets))[2] if m.langs else np.zeros(end - first, bool))
+        return np.concatenate(out)
+
+    return kept(docs, decide)
+
+
 def held_out(docs: DataFrame, folds: int = 5):
     """The condition that puts a row in the held-out fold."""
     return F.coalesce(key_crc32() % folds == 0, F.lit(False))

@@ -3,11 +3,13 @@
 * Text view: hashed byte 4-grams and statistics of the words (repetition, marks, case, lengths).
 * Metadata view: source, language, size and layout (lines, their lengths, blanks) of the page.
 
-Both are logistic models. In each round each labels the pool's rows that it is surest of, in the
-proportion of the classes, for the other, and both are fitted again. On labelled rows kept aside each
-view is calibrated and a logistic model combines the calibrated views. It scores every document.
+Both are logistic models. In each round each view scores every unlabelled document and labels those that it is sure of
+for the other view. These go to the other view's next fit as prototypes: the mean features of the documents of
+one label and one of BUCKETS hashes, summed over all partitions, so that every document counts and what meets on the
+driver doesn't grow. On labelled rows kept aside each view is calibrated and a logistic model combines the calibrated
+views. It scores every document.
 
-Fitting uses bounded samples, chosen by a hash of doc_id: ``labelled`` labelled rows and ``pool`` others.
+The labelled rows that fitting uses are a bounded sample, chosen by a hash of doc_id: about ``labelled``.
 """
 
 from __future__ import annotations
@@ -16,14 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, one_hash, whole_texts, word_hashes
+from .common import chunks, column_of, drop, kept, mix, one_hash, table, tree_sums, whole_texts, word_hashes
 
 LABELLED = 4000
-POOL = 4000
-ROUNDS = 4
+ROUNDS = 3
+#: Prototypes of one label and view.
+BUCKETS = 32
+#: Probability that makes a view sure of a label.
+SURE = 0.95
+#: Weight of all prototypes of a label in the last round, in units of the labelled rows'.
+TRUST = 1.0
 BINS = 2048
 _TEXT_STATS = 12
 _SOURCES = 64
@@ -109,23 +117,20 @@ class QualityModel:
     joint: np.ndarray
 
     @classmethod
-    def fit(cls, text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS) -> QualityModel:
-        """``y`` is 0, 1, or -1 for the pool; ``aside`` marks the labelled rows that only calibrate."""
-        views = (text, meta)
-        labels = [np.where(aside, -1, y).astype(int) for _ in views]
-        w = [fit_logistic(x[own >= 0], own[own >= 0]) for x, own in zip(views, labels, strict=True)]
-        known = y[(y >= 0) & ~aside]
-        for _ in range(rounds):
-            for k, x in enumerate(views):
-                other = labels[1 - k]
-                free = np.flatnonzero((y < 0) & (other < 0))
-                p = _sigmoid(x[free] @ w[k][:-1] + w[k][-1])
+    def fit(cls, text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, prototypes, rounds: int = ROUNDS) -> QualityModel:
+        """From labelled rows, of which ``aside`` marks those that only calibrate. ``prototypes`` takes the weights of both
+        views and gives, for each view, (mean features, labels, numbers of documents) of what the other one is sure of."""
+        views, own = (text, meta), y[~aside]
+        w = [fit_logistic(x[~aside], own) for x in views]
+        for turn in range(rounds):
+            fresh = []
+            for x, (means, labels, n) in zip(views, prototypes(w), strict=True):
+                weight = n.astype(float)
                 for label in (0, 1):
-                    take = max(1, int(0.05 * len(free) * (known == label).mean()))
-                    order = np.argsort(p if label == 0 else -p, kind="stable")[:take]
-                    sure = order[(p[order] < 0.05) if label == 0 else (p[order] > 0.95)]
-                    other[free[sure]] = label
-            w = [fit_logistic(x[own >= 0], own[own >= 0]) for x, own in zip(views, labels, strict=True)]
+                    of = labels == label
+                    weight[of] *= TRUST * (turn + 1) / rounds * (own == label).sum() / max(n[of].sum(), 1)
+                fresh.append(fit_logistic(np.vstack([x[~aside], means.astype(x.dtype)]), np.append(own, labels), np.append(np.ones(len(own)), weight)))
+            w = fresh
         z = [x[aside] @ v[:-1] + v[-1] for x, v in zip(views, w, strict=True)]
         own = y[aside]
         plain = np.array([0.0, 1.0])
@@ -141,22 +146,54 @@ class QualityModel:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(z[0] * self.joint[0] + z[1] * self.joint[1] + self.joint[2])
 
 
+def _views(batch: pa.RecordBatch):
+    source, lang = (column_of(batch, c).to_pylist() for c in ("source", "lang"))
+    for first, end, data, offsets in chunks(column_of(batch, "text"), rows=1000):
+        yield first, end, text_view(data, offsets), meta_view(data, offsets, source[first:end], lang[first:end]), np.diff(offsets)
+
+
 def _own(docs: DataFrame) -> DataFrame:
-    have = set(docs.columns)
-    extra = [(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in ("source", "lang")]
-    return whole_texts(docs, *extra)
+    return whole_texts(docs, *(F.col(c).cast("string").alias(c) for c in ("source", "lang") if c in docs.columns))
 
 
-def _views(batch):
-    for first, end, data, offsets in chunks(batch.column("text")):
-        source, lang = (batch.column(c).slice(first, end - first).to_pylist() for c in ("source", "lang"))
-        yield first, end, text_view(data, offsets), meta_view(data, offsets, source, lang)
+def _prototypes(docs: DataFrame, w: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What each view gets from the other, summed over all rows of docs; a document's bucket is a hash of its size."""
+    w = [x.astype(np.float32) for x in w]
+    n_text, n_meta = len(w[0]) - 1, len(w[1]) - 1
+
+    def run(batches):
+        sums = [np.zeros((2 * BUCKETS, n + 1)) for n in (n_text, n_meta)]
+        for b in batches:
+            for _, _, text, meta, size in _views(b):
+                views = (text, meta)
+                for k, other in ((0, 1), (1, 0)):
+                    p = _sigmoid(views[other] @ w[other][:-1] + w[other][-1])
+                    sure = np.flatnonzero((p >= SURE) | (p <= 1 - SURE))
+                    picks = np.zeros((2 * BUCKETS, len(sure)), np.float32)
+                    bucket = (mix(size[sure].astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+                    picks[(p[sure] >= SURE) * BUCKETS + bucket, np.arange(len(sure))] = 1
+                    sums[k][:, :-1] += picks @ views[k][sure]
+                    sums[k][:, -1] += picks.sum(axis=1)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part, part]), pa.array([0, 1]), pa.array([x.tobytes() for x in sums], pa.binary())], names=["part", "block", "value"])
+
+    parts = _own(docs).mapInArrow(run, "part long, block long, value binary")
+    summed = table(parts)
+    got = {r["block"]: np.frombuffer(r["value"]).reshape(2 * BUCKETS, -1) for r in tree_sums(summed, summed.select(F.max("part")).first()[0] + 1, float).collect()} if not summed.isEmpty() else {}
+    drop(summed)
+    out = []
+    for k, n in ((0, n_text), (1, n_meta)):
+        x = got.get(k, np.zeros((2 * BUCKETS, n + 1)))
+        there = np.flatnonzero(x[:, -1])
+        out.append((x[there, :-1] / x[there, -1:], there // BUCKETS, x[there, -1]))
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> QualityModel | None:
-    """Fit on about ``labelled`` rows of ``labels`` (doc_id, quality) and ``pool`` documents without a label.
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> QualityModel | None:
+    """Fit on about ``labelled`` rows of ``labels`` (doc_id, quality), and on all documents besides them.
 
-    Null or contradicting labels don't count. None where labels don't hold both classes.
+    Null or contradicting labels don't count. None where labels don't hold both classes. Documents without an id, and all
+    rows of a table without labels for them, are unlabelled; repeated rows count as often as they occur.
     """
     quality = F.col("quality").cast("int")
     known = labels.where(quality.isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(quality).alias("y"), F.max(quality).alias("_h_y")).where("y = _h_y").select("doc_id", "y")
@@ -164,23 +201,23 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if len(sizes) < 2:
         return None
     u = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
-    n = docs.count()
-    chosen = known.where(u < labelled / sum(sizes.values()))
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (u < pool / max(n, 1))).join(known, "doc_id", "left_anti").withColumn("y", F.lit(-1))
-    sample = F.broadcast(chosen.unionByName(others).withColumn("aside", (F.col("y") >= 0) & (F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)) == 0)).distinct())  # about labelled + pool rows
+    chosen = known.where(u < labelled / sum(sizes.values())).withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)) == 0)
+    sample = F.broadcast(table(chosen))  # about `labelled` rows
 
     def run(batches):
         for b in batches:
-            for first, end, text, meta in _views(b):
+            for first, end, text, meta, _ in _views(b):
                 cut = lambda c, a=first, z=end: b.column(c).slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([cut("doc_id"), cut("y"), cut("aside"), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["doc_id", "y", "aside", "t", "m"])
 
     got = _own(docs).join(sample, "doc_id").mapInArrow(run, "doc_id long, y int, aside boolean, t binary, m binary").toArrow().sort_by("doc_id")
     y, aside = got.column("y").to_numpy(), got.column("aside").to_numpy(zero_copy_only=False)
-    if len({*y[(y >= 0) & ~aside].tolist()}) < 2:
+    if len({*y[~aside].tolist()}) < 2:
         return None
     text, meta = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(len(y), -1) for c in "tm")
-    return QualityModel.fit(text, meta, y, aside)
+    del got
+    rest = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(sample.select("doc_id"), "doc_id", "left_anti")
+    return QualityModel.fit(text, meta, y, aside, lambda w: _prototypes(rest, w), rounds)
 
 
 def classify(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:
@@ -192,9 +229,16 @@ def classify(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5
 
     def run(batches):
         for b in batches:
-            for first, end, text, meta in _views(b):
+            for first, end, text, meta, _ in _views(b):
                 got = model.scores(text, meta) if model else [np.full(end - first, np.nan)] * 3
                 cols = [pa.array(x.astype(float), mask=np.isnan(x)) for x in got]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, end - first), *cols, pa.array(got[2] >= threshold if model else np.ones(end - first, bool))], names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
     return _own(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+
+
+def accepted(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that ``classify`` keeps."""
+    if model is None:
+        return docs
+    return kept(docs, lambda b: np.concatenate([[], *(model.scores(text, meta)[2] >= threshold for _, _, text, meta, _ in _views(b))]).astype(bool))

@@ -88,6 +88,44 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(empty)).collect()} == {"und"}
 
 
+def test_language_with_few_rows_keeps_them(spark):
+    rows = [(i, "the cat sat on the mat and that", "en") for i in range(60)] + [(100, "zxq zxq qxz", "one"), (101, "zxq", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "qxz zxq"), (2, "that cat")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, model).collect()} == {1: "one", 2: "en"}
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=1).langs == ["en"]
+
+
+def test_kneser_ney_by_brute_force():
+    """Interpolated Kneser-Ney of order 3 with one discount a level, from the definition."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcd ", k=40)) for _ in range(12)]
+    order, pad = 3, [0, 0]
+    ids = lambda t: [*pad, *(0 if c == " " else ord(c) for c in re.sub(" +", " ", t).lstrip() + " ")]
+    counts = Counter(tuple(s[k : k + order]) for s in map(ids, texts) for k in range(len(s) - order + 1))
+    m = langid.KneserNey.fit(["x"], np.array(list(counts), np.uint32), np.zeros(len(counts), np.int64), np.array(list(counts.values())), order)
+    levels = {3: counts}
+    for size in (2, 1):
+        levels[size] = Counter(g[1:] for g in levels[size + 1])
+
+    def p(g):
+        size = len(g)
+        if not size:
+            return 1 / (len(levels[1]) + 2)
+        level, context = levels[size], g[:-1]
+        n1, n2 = (sum(v == k for v in level.values()) for k in (1, 2))
+        discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        total = sum(v for h, v in level.items() if h[:-1] == context)
+        if not total:
+            return p(g[1:])
+        types = sum(h[:-1] == context for h in level)
+        return max(level.get(g, 0) - discount, 0) / total + discount * types / total * p(g[1:])
+
+    for _ in range(200):
+        g = tuple(rng.choice([0, 97, 98, 99, 100, 101]) for _ in range(3))
+        assert m.char_scores(np.array(g, np.uint32))[0, 0] == pytest.approx(math.log(p(g)), abs=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     cells = np.array([[0, 1, 2], [0, 1, 3], [1, 2, 3], [0, 2, 1]], np.uint32)
     m = langid.KneserNey.fit(["x"], cells, np.zeros(4, np.int64), np.array([3, 1, 2, 1]), 3)
@@ -500,14 +538,41 @@ def test_quality(spark, docs, empty):
     rng = random.Random(4)
     good = [(i, " ".join(f"word{rng.randrange(500)}" for _ in range(60)) + ".", "a", "en") for i in range(300)]
     bad = [(1000 + i, ("SPAM!! " * 40) + str(i), "a", "en") for i in range(100)]
-    d = spark.createDataFrame(good + bad, "doc_id long, text string, source string, lang string")
+    d = spark.createDataFrame([*good, *bad, (None, None, None, None), (2000, "", "a", "en")], "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, *_ in good[::2] + bad[::2]] + [(1, None), (3, 0), (3, 1)], "doc_id long, quality int")
-    got = {r["doc_id"]: r["keep"] for r in quality.classify(d, quality.train(d, labels)).collect()}
+    model = quality.train(d, labels)
+    rows = quality.classify(d, model).collect()
+    got = {r["doc_id"]: r["keep"] for r in rows if r["doc_id"] is not None and r["doc_id"] < 2000}
     assert sum(got[i] == (i < 1000) for i in got) / len(got) > 0.97
-    assert quality.classify(docs, quality.train(d, labels)).count() == docs.count()
-    assert quality.train(d, labels.limit(0)) is None
+    wide = d.selectExpr("*", "1 score", "'x' keep", "array(doc_id) y", "2 aside")
+    assert sorted(map(str, quality.accepted(wide, model).collect())) == sorted(str(r) for r, k in zip(wide.collect(), rows, strict=True) if k["keep"])
+    assert quality.classify(docs, model).count() == docs.count()
+    assert quality.train(d, labels.limit(0)) is None and quality.train(d.limit(0), labels) is None
     assert {r["keep"] for r in quality.classify(docs, None).collect()} == {True}
-    assert quality.classify(empty, None).count() == 0
+    assert quality.classify(empty, None).count() == 0 and quality.accepted(empty, model).count() == 0
+
+
+def test_quality_prototypes_count_every_document(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["SPAM!! " * 20, "some plain words of a text "]) * rng.randint(1, 3), rng.choice("ab"), "en") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    data = [quality.text_view(x, o) for _, _, x, o in chunks(pa.array([r[1] for r in rows]))][0]
+    meta = [quality.meta_view(x, o, [r[2] for r in rows], ["en"] * len(rows)) for _, _, x, o in chunks(pa.array([r[1] for r in rows]))][0]
+    noise = np.random.default_rng(3)
+    w = [noise.normal(size=v.shape[1] + 1) * 3 for v in (data, meta)]
+    for k, (means, labels, n) in enumerate(quality._prototypes(d, w)):
+        other, own = ((meta, w[1]), data) if k == 0 else ((data, w[0]), meta)
+        p = 1 / (1 + np.exp(-np.clip(other[0] @ other[1][:-1].astype(np.float32) + other[1][-1], -30, 30)))
+        for label, sure in ((1, p >= quality.SURE), (0, p <= 1 - quality.SURE)):
+            assert n[labels == label].sum() == sure.sum()
+            if sure.any():
+                assert np.allclose((means * n[:, None])[labels == label].sum(axis=0), own[sure].sum(axis=0), rtol=1e-3, atol=1e-3)
+
+
+def test_quality_on_labels_kept_from_it(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(d, quality.train(d, labels.where("doc_id % 4 <> 0"))).join(labels.where("doc_id % 4 = 0"), "doc_id").agg(*(F.avg((F.col(c) == (F.col("quality") == 1)).cast("int")) for c in ("keep",)), F.count("*")).first()
+    assert got[0] > 0.97 and got[1] > 300
 
 
 def test_names():
