@@ -1,6 +1,8 @@
 """The corpus pipeline: quality classifier, language ID, n-gram near duplicates, best-fit packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of docs. Every row is
+decided by itself, also where doc_id is null or repeats; a null text is an empty one; an empty table gives an empty
+result; columns besides doc_id, text, source and lang go along as they are.
 """
 
 from __future__ import annotations
@@ -16,42 +18,27 @@ from harvest.llm.queries import tokenizer
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, written so that the key holds; doc_id may be null or repeat."""
-    return table(docs.withColumn("_h_row", F.monotonically_increasing_id()))
-
-
-def _by_row(rows: DataFrame) -> DataFrame:
-    """The rows under their keys as doc_id, so that an operator decides on each by itself."""
-    return rows.withColumn("doc_id", F.col("_h_row")).drop("_h_row")
-
-
-def _kept(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key is among the keys (doc_id), without the key."""
-    return rows.join(keys.select(F.col("doc_id").alias("_h_row")), "_h_row", "left_semi").drop("_h_row")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the co-trained quality classifier accepts."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = _rows(docs)
-    return _kept(rows, quality.classify(_by_row(rows), model).where("keep"))
+    """Rows that the co-trained quality classifier accepts; all of them where ``labels`` doesn't hold both classes."""
+    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is identified; those that the calibrated limit or ``und`` rejects go."""
-    model = langid.train(docs)
-    rows = _rows(docs)
-    return _kept(rows, langid.identify(_by_row(rows), model).where("not rejected"))
+    """Rows whose language is identified; those that the calibrated limit or ``und`` (no letter) rejects go."""
+    return langid.identified(docs, langid.train(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: of the smallest doc_id, one without an id only if none has one."""
-    rows = _rows(docs)
-    groups = ngram_join.ngram_components(_by_row(rows), NEAR_PERCENT, NEAR_WORDS).select(F.col("doc_id").alias("_h_row"), "component_id")
+    """One row of each group of near duplicates: of the smallest doc_id, one without an id only if none has one.
+
+    Rows get a key, written with them, by which the operator and the choice tell them apart; texts without words stay.
+    """
+    rows = table(docs.withColumn("_h_row", F.monotonically_increasing_id()))
+    groups = ngram_join.ngram_components(rows.select(F.col("_h_row").alias("doc_id"), "text"), NEAR_PERCENT, NEAR_WORDS)
+    named = groups.select(F.col("doc_id").alias("_h_row"), "component_id").join(rows.select("_h_row", "doc_id"), "_h_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_h_row"))
-    chosen = rows.select("doc_id", "_h_row").join(groups, "_h_row").groupBy("component_id").agg(first.alias("m"))
-    return _kept(rows, chosen.select(F.col("m._h_row").alias("doc_id")))
+    chosen = table(named.groupBy("component_id").agg(first.alias("m")).select(F.col("m._h_row").alias("_h_row")))
+    return rows.join(chosen, "_h_row", "left_semi").drop("_h_row")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
