@@ -193,7 +193,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, counted on the whole texts."""
+    """A table of those of the pairs (a, b) that link, counted on the whole texts; only the texts that pairs need are moved."""
 
     def run(batches):
         for batch in batches:
@@ -204,8 +204,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
                 keep.append(100 * both >= percent * (len(a[i]) + len(b[i]) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    needed = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = table(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text"))
+    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    linked = table(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    drop(needed, texts)
+    return linked
 
 
 def _central(heavy: DataFrame) -> DataFrame:
@@ -248,7 +252,7 @@ def _components(docs: DataFrame, percent: int, size: int) -> DataFrame:
 
     light = _light_links(classes, most, percent)
     possible = table(_possible(_central(heavy), classes, percent))
-    near = table(_verified(possible, docs, percent, size))
+    near = _verified(possible, docs, percent, size)
     drop(possible)
     links = light.unionByName(near)
     known = components(links)
@@ -278,7 +282,7 @@ def _components(docs: DataFrame, percent: int, size: int) -> DataFrame:
         chosen = tied
         if first_turn:  # the closest pair of each two components may spare the others
             chosen = table(tied.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b"))
-        new = table(_verified(chosen, docs, percent, size))
+        new = _verified(chosen, docs, percent, size)
         if not new.isEmpty():
             links = links.unionByName(new)
             known = components(links)
