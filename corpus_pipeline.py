@@ -16,6 +16,8 @@ from harvest.llm.queries import tokenizer
 
 #: Word runs of five and a similarity of 0.8, as near-duplicate stages take.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Row keys (8 bytes each) that are broadcast at most, as counted; more meet the rows by a shuffle.
+BROADCAST_KEYS = 1 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = groups.select(F.col("doc_id").alias("_h_row"), "component_id").join(rows.select("_h_row", "doc_id"), "_h_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_h_row"))
     chosen = table(named.groupBy("component_id").agg(first.alias("m")).select(F.col("m._h_row").alias("_h_row")))
-    return rows.join(chosen, "_h_row", "left_semi").drop("_h_row")
+    few = chosen.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(chosen) if few else chosen, "_h_row", "left_semi").drop("_h_row")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
