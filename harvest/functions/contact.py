@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
+# What an address and a number look like.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"[\+]?[0-9]{1,4}[\s\-\.]?[0-9]{1,4}[\s\-\.]?[0-9]{1,9}"
 # What announces an address, by priority.

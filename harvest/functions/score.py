@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once: an expression in several places is computed in each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hits(t: Column, words: Column) -> Column:
     return F.size(F.filter(t, lambda x: F.array_contains(words, x)))
 
@@ -25,15 +32,26 @@ def _share(t: Column, good: Column) -> Column:
 
 def keyword_score(text: Column, good: Column, bad: Column) -> Column:
     """0.65 * good tokens / tokens + 0.35 * share of the good set - at most 0.6 at 0.15 a bad token, within [0, 1]."""
-    t = tokens(text)
-    s = F.lit(0.65) * _hits(t, good) / F.size(t) + F.lit(0.35) * _share(t, good) - F.least(F.lit(0.60), F.lit(0.15) * _hits(t, bad))
-    return F.when(F.size(t) > 0, clamp(s)).otherwise(F.lit(0.0))
+
+    def scored(t: Column) -> Column:
+        s = F.lit(0.65) * _hits(t, good) / F.size(t) + F.lit(0.35) * _share(t, good) - F.least(F.lit(0.60), F.lit(0.15) * _hits(t, bad))
+        return F.when(F.size(t) > 0, clamp(s)).otherwise(F.lit(0.0))
+
+    return F.coalesce(_let(tokens(text), scored), F.lit(0.0))
 
 
 def mode_score(text: Column, mode: str, good: Column, bad: Column) -> Column:
     """The same with precision over distinct tokens, shaped by mode (any other name is a description)."""
+    return F.coalesce(_let(tokens(text), lambda t: _mode_score(t, mode, good, bad)), F.lit(0.0))
+
+
+def mode_scores(text: Column, good: Column, bad: Column) -> Column:
+    """struct of the scores of all modes, from tokens made once."""
+    return _let(tokens(text), lambda t: F.struct(*(F.coalesce(_mode_score(t, m, good, bad), F.lit(0.0)).alias(m) for m in MODES)))
+
+
+def _mode_score(t: Column, mode: str, good: Column, bad: Column) -> Column:
     p, r, factor, most = MODES.get(mode, MODES["description"])
-    t = tokens(text)
     recall = F.when(F.size(good) > 0, _share(t, good)).otherwise(F.lit(0.0))
     base = F.lit(p) * _hits(t, good) / F.size(F.array_distinct(t)) + F.lit(r) * recall
     return F.when(F.size(t) > 0, clamp(base * F.lit(factor) - F.least(F.lit(most), F.lit(0.15) * _hits(t, bad)))).otherwise(F.lit(0.0))

@@ -48,7 +48,8 @@ def slug(s: Column) -> Column:
 def title_case(s: Column) -> Column:
     """Each run of letters capitalised, also after a hyphen."""
     parts = F.regexp_extract_all(s, F.lit(r"([\p{L}\p{Nd}']+|[^\p{L}\p{Nd}']+)"), 1)
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), "")
+    first = lambda w: F.when(F.substring(w, 1, 1) == "ß", "Ss").otherwise(F.upper(F.substring(w, 1, 1)))
+    return F.array_join(F.transform(parts, lambda w: F.concat(first(w), F.lower(w.substr(F.lit(2), F.length(w))))), "")
 
 
 def slug_to_title(path: Column) -> Column:
@@ -93,6 +94,35 @@ def first_bytes(s: Column, n: int) -> Column:
     return F.when(F.octet_length(s) > n, F.concat(F.left(s, F.lit(n)), F.lit("…"))).otherwise(s)
 
 
+def has_any(s: Column, words: list[str]) -> Column:
+    """Whether any of the words occurs anywhere."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(s, w)), F.lit(False)) if words else F.lit(False)
+
+
+def trim_lines(s: Column, most: int = 400) -> Column:
+    """Lines without white space around them, joined by spaces, blank ones left out; cut with dots behind ``most`` characters."""
+    lines = F.filter(F.transform(F.split(s, r"\r?\n"), strip), lambda x: x != "")
+    joined_ = F.array_join(lines, " ")
+    return F.when(F.length(joined_) > most, F.concat(F.left(joined_, F.lit(most)), F.lit("..."))).otherwise(joined_)
+
+
+def decode_entities(s: Column) -> Column:
+    """The entities of ENTITIES, ``&amp;`` last, so that none is made by another."""
+    for entity, char in sorted(ENTITIES, key=lambda e: e[0] == "&amp;"):
+        s = F.replace(s, F.lit(entity), F.lit(char))
+    return s
+
+
+def etag(s: Column) -> Column:
+    """The content's MD5 in hexadecimal digits, in quotes."""
+    return F.concat(F.lit('"'), F.md5(s.cast("binary")), F.lit('"'))
+
+
+def key_id(*parts: Column) -> Column:
+    """An id of 32 hexadecimal digits from a row's key: the same again when a task runs again, unlike a random one."""
+    return F.left(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(32))
+
+
 def pick_list(s: Column, fallback: list[str]) -> Column:
     items = F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), r"[\n\r,;\t]+"), strip), lambda x: x != "")
     return F.when(F.size(items) > 0, items).otherwise(F.array(*map(F.lit, fallback)))

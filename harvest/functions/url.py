@@ -109,6 +109,12 @@ def bad_href(h: Column) -> Column:
     return test
 
 
+def skip_href(h: Column) -> Column:
+    """The older, shorter guard: nothing, the bare mark ``#``, and addresses of mail, phone and script."""
+    low = F.lower(strip(h))
+    return F.coalesce((low == "") | (low == "#") | low.startswith("mailto:") | low.startswith("tel:") | low.startswith("javascript:"), F.lit(True))
+
+
 def is_portal(h: Column) -> Column:
     test = F.lit(False)
     for p in PORTALS:
@@ -214,6 +220,17 @@ def site_path(u: Column, site: str) -> Column:
     return path(u).rlike(SITE_PATHS[site])
 
 
+def host_contains(u: Column, part: str) -> Column:
+    """Whether the host holds a text, in any case."""
+    return F.contains(host(u), F.lit(part.lower()))
+
+
+def source_kind(kind: Column) -> Column:
+    """Which source a registry entry's type asks for, in any case; anything else is read as a company's own site."""
+    k = F.lower(strip(kind))
+    return F.when(k == "rss_feed", "feed").when(k == "scraper", "board").otherwise("company")
+
+
 def board_host(u: Column) -> Column:
     """The host as boards are matched by it: without www. and then jobs."""
     return F.regexp_replace(F.regexp_replace(host(u), r"^www\.", ""), r"^jobs\.", "")

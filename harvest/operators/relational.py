@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import like_ascii, phrase, strip, tokens
+from ..functions.errors import rate_limited
+from ..functions.text import key_id, like_ascii, normalize, phrase, sha16, strip, tokens
 from ..functions.url import board_host
 
 DEFAULT_LIMIT, MOST_LIMIT = 25, 200
@@ -121,8 +123,140 @@ def retry_actions(queue: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def recent(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The last n rows, newest first."""
-    return df.orderBy(F.desc(order)).limit(n)
+    """The last n rows, newest first; all of them where n isn't positive."""
+    rows = df.orderBy(F.desc(order))
+    return rows.limit(n) if n > 0 else rows
+
+
+def bounded_updates(n: int, default: int = 20, most: int = 100) -> int:
+    """How many updates a request gets: a number out of range is the default."""
+    return n if 0 < n <= most else default
+
+
+def active_sorted(df: DataFrame, active: Column, name: str) -> DataFrame:
+    return df.where(active).orderBy(name)
+
+
+def multi_get(df: DataFrame, ids: list, key: str, columns: list[str]) -> DataFrame:
+    """Some columns of the rows with these ids; no ids, no rows and no scan."""
+    return df.where(F.col(key).isin(ids)).select(*columns) if ids else df.select(*columns).limit(0)
+
+
+def having(df: DataFrame, other: DataFrame, on: Column | str | list[str], there: bool = True) -> DataFrame:
+    """Rows that have a match, or that have none."""
+    return df.join(other, on, "left_semi" if there else "left_anti")
+
+
+def affected(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows a change of these ids touches."""
+    return having(df, ids.select(key).distinct(), key).agg(F.count("*").alias("affected"))
+
+
+def postpone(queue: DataFrame, ids: DataFrame, until: Column) -> DataFrame:
+    return update_by(queue, ids, "job_id", {"retry_after": until})
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percents; 0 of nothing."""
+    return F.when(total > 0, F.floor(done * 100 / total)).otherwise(F.lit(0).cast("long"))
+
+
+def page_info(total: Column, limit: Column, offset: Column) -> Column:
+    """struct(page, pages, has_next)."""
+    return F.struct((F.floor(offset / limit) + 1).alias("page"), F.greatest(F.lit(1), F.ceil(total / limit)).alias("pages"), (offset + limit < total).alias("has_next"))
+
+
+def envelope(rows: DataFrame, total: DataFrame, limit: int, offset: int) -> DataFrame:
+    """One row with the JSON {items, total, limit, offset} of a page, whose order stays, and of its total (one row, one column)."""
+    items = rows.select(F.monotonically_increasing_id().alias("_n"), F.struct(*rows.columns).alias("_i")).agg(F.sort_array(F.collect_list(F.struct("_n", "_i"))).alias("_l"))
+    joined = items.join(F.broadcast(total.toDF("total")))  # one row each
+    return joined.select(F.to_json(F.struct(F.transform("_l", lambda x: x["_i"]).alias("items"), "total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"))).alias("json"))
+
+
+def decode(df: DataFrame, body: str, schema: str) -> DataFrame:
+    """Fields of JSON requests; ``bad`` marks a body that is none, whose fields are null."""
+    parsed = F.from_json(body, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return df.withColumn("_p", parsed).select(*df.columns, "_p.*").withColumn("bad", F.col("_bad").isNotNull() | F.col(body).isNull()).drop("_bad")
+
+
+def frame(event: Column, data: Column) -> Column:
+    """A server-sent event: its name and its data as JSON (a struct), closed by an empty line."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))
+
+
+def by_title_and_url(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The first row of each title and address, in any case and without blanks around them."""
+    return first_by(df, [F.lower(strip(F.col("title"))), F.lower(strip(F.col("url")))], order)
+
+
+def by_normal_text(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The first row of each normalised title and address; rows without either meet by a hash of both as they are."""
+    title, address = (normalize(F.coalesce(c, F.lit(""))) for c in ("title", "url"))
+    bare = (title == "") & (address == "")
+    other = F.when(bare, sha16(F.concat_ws(" | ", strip(F.coalesce("title", F.lit(""))), strip(F.coalesce("url", F.lit(""))))))
+    return first_by(df, [title, address, F.coalesce(other, F.lit(""))], order)
+
+
+def named(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(kind, name) of several sources, one after the other."""
+    parts = [df.select(F.lit(kind).alias("kind"), F.col(column).alias("name")) for kind, (df, column) in frames.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def first_key(df: DataFrame, candidates: list[tuple[str, DataFrame, str, str]], out: str) -> DataFrame:
+    """Rows with the first key that one of the candidates (own column, dimension, its column, its key) leads to; others go."""
+    found = []
+    for n, (own, dimension, column, key) in enumerate(candidates):
+        side = dimension.groupBy(F.col(column).alias(f"_m{n}")).agg(F.min(key).alias(f"_k{n}"))
+        df = df.join(side, F.col(own) == F.col(f"_m{n}"), "left")
+        found.append(F.col(f"_k{n}"))
+    columns = [c for c in df.columns if not c.startswith(("_m", "_k"))]
+    return df.select(*columns, F.coalesce(*found).alias(out)).where(F.col(out).isNotNull())
+
+
+def lookup_or_create(df: DataFrame, dimension: DataFrame, name: str, fallback: Column, make: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``id`` of the dimension, the dimension with what it lacked). A row without a name takes the fallback.
+
+    dimension: id, name, and the columns of ``make``, which are expressions over (name, and the row that is first by
+    address). A new id comes from the name, so that a second run makes the same.
+    """
+    rows = df.withColumn("_name", F.coalesce(F.nullif(F.col(name), F.lit("")), fallback))
+    asked = rows.groupBy(F.col("_name").alias("name")).agg(*(F.min(v).alias(c) for c, v in make.items()))
+    new = having(asked, dimension.select("name"), "name", there=False).withColumn("id", key_id(F.lit("company"), F.col("name")))
+    whole = dimension.unionByName(new.select(*dimension.columns))
+    return rows.join(whole.select(F.col("name").alias("_name"), "id"), "_name").drop("_name"), whole
+
+
+def poll_counts(found: DataFrame, before: DataFrame, feed: str, keys: list[str]) -> DataFrame:
+    """(feed, found, new, updated) of a poll: what the feed gave, and of its distinct keys what the store lacked or had."""
+    known = found.join(before.select(*keys).distinct().withColumn("_there", F.lit(True)), keys, "left")
+    per_key = known.groupBy(feed, *keys).agg(F.count("*").alias("n"), F.max("_there").alias("there"))
+    return per_key.groupBy(feed).agg(F.sum("n").alias("found"), F.count_if(F.col("there").isNull()).alias("new"), F.count_if("there").alias("updated"))
+
+
+def feed_status(registry: DataFrame) -> DataFrame:
+    """One row: enabled, total_feeds, enabled_feeds of the registry's feeds."""
+    feeds = registry.where(F.lower(strip(F.col("type"))) == "rss_feed")
+    return feeds.agg((F.count_if("active") > 0).alias("enabled"), F.count("*").alias("total_feeds"), F.count_if("active").alias("enabled_feeds"))
+
+
+def cache_sizes(df: DataFrame, cache: str, key: str) -> DataFrame:
+    return df.select(F.col(cache).alias("cache"), key).distinct().groupBy("cache").agg(F.count("*").alias("keys"))
+
+
+def intern_stats(df: DataFrame, text: str) -> DataFrame:
+    """One row: hits and misses of a pool of strings; the empty string is never pooled."""
+    return df.where(F.col(text) != "").groupBy(text).count().agg((F.coalesce(F.sum("count"), F.lit(0)) - F.count("*")).alias("hits"), F.count("*").alias("misses"))
+
+
+def pool_stats(df: DataFrame, pool: str, done: Column) -> DataFrame:
+    """(pool, submitted, completed, rejected): what isn't done, or unknown, was rejected."""
+    return df.groupBy(pool).agg(F.count("*").alias("submitted"), F.count_if(done).alias("completed"), F.count_if(~F.coalesce(done, F.lit(False))).alias("rejected"))
+
+
+def message(parts: list[Column]) -> Column:
+    """Lines of a message, those that are null left out."""
+    return F.concat_ws("\n", *parts)
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -130,9 +264,32 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def rate(df: DataFrame, key: list[str], ts: str, seconds: int = 300) -> DataFrame:
-    """Events per second over the time before each event, by key."""
-    w = Window.partitionBy(*key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("rate", F.count("*").over(w) / F.lit(float(seconds)))
+    """Events per second over the time up to each event, ends included, by key.
+
+    Rows are dealt by key and by stretch of time: each also goes to the next stretch, where it only counts, so that no task
+    holds a key's whole log.
+    """
+    at, span = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    own = F.floor(at / span).cast("long")
+    dealt = df.withColumn("_at", at).withColumn("_to", F.explode(F.array(own, own + 1))).withColumn("_own", F.col("_to") == own)
+    w = Window.partitionBy(*key, "_to").orderBy("_at").rangeBetween(-span, 0)
+    return dealt.withColumn("rate", F.count("*").over(w) / F.lit(float(seconds))).where("_own").drop("_at", "_to", "_own")
+
+
+def retry_run(queue: DataFrame, jobs: DataFrame, outcomes: DataFrame, now: Column, hours: int) -> tuple[DataFrame, DataFrame]:
+    """(actions, the queue after them) of one run of the retry worker.
+
+    Of due entries those of missing or applied jobs leave the queue; of the others ``outcomes`` (job_id, error) tells
+    how the new attempt ended: without an error the entry goes, behind a limit it waits again, with any other error it stays.
+    An entry without an outcome stays too.
+    """
+    due_ones = retry_actions(queue, jobs, now).select("job_id", "action")
+    tried = due_ones.join(outcomes.select("job_id", "error", F.lit(True).alias("_tried")), "job_id", "left")
+    limited = rate_limited(F.col("error"))
+    done = F.when(F.col("action") != "reapply", F.col("action")).when(F.col("_tried").isNull(), "keep").when(F.coalesce("error", F.lit("")) == "", "applied").when(limited, "requeue").otherwise("keep")
+    actions = tried.select("job_id", done.alias("action"))
+    after = queue.join(actions, "job_id", "left").where(F.coalesce("action", F.lit("keep")).isin("keep", "requeue"))
+    return actions, after.withColumn("retry_after", F.when(F.col("action") == "requeue", now + F.make_interval(hours=F.lit(hours))).otherwise(F.col("retry_after"))).drop("action")
 
 
 def board_by_host(df: DataFrame, registry: DataFrame, u: str = "url") -> DataFrame:

@@ -66,16 +66,6 @@ def board_crawl(spark, d):
     return crawl.crawl_boards(literal(spark, "url, html", FETCHED), seeds.select("url"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS u, min(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS n FROM orders),
-r AS (SELECT u AS seed, u, 0 AS depth FROM e WHERE u % 50 = 1 UNION ALL SELECT r.seed, e.n, r.depth + 1 FROM r JOIN e ON e.u = r.u WHERE e.n IS NOT NULL)
-SELECT seed, u AS url, depth FROM r""")
-def crawl_reach(spark, d):
-    from pyspark.sql.window import Window
-
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("url"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("next"))
-    return crawl.reach(o, o.where("url % 50 = 1"))
-
-
 DETAIL = (
     '<h1 class="elementor-heading-title">Backend  Developer (March 2024)</h1><a href="mailto:office@b.example">us</a><div class="elementor-widget-theme-post-content"><div class="elementor-widget-container">'
     "<p>We build.</p><p> </p><p>Send CV to: hr@b.example. Tel: 052-123-4567</p></div></div>"

@@ -1,49 +1,36 @@
-"""The scan as one set-oriented plan: pages, anchors, score, anti-join, keys, dedupe, merge."""
+"""The scan as one set-oriented plan: pages, anchors, decision, anti-join, first of each key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import score, text, url
+from ..functions import url
 from ..operators import relational as R
+from ..sources import links
 from .common import table
-from .store import CHECKED, _AUTH, _HOST, _SCHEME, ANCHORS
+from .store import _HOST, ANCHORS, CHECKED
+from .whole import _HREF_OK, _TARGET, _TEXT, _WORDS, RULES, _scored
 
 Q: dict = {}
 O: dict[str, str] = {}
-GOOD, BAD = ["the", "and", "attion"], ["idiot"]
 
 
-def discover(pages: DataFrame) -> DataFrame:
-    """Candidate links of all pages: (page_id, pos, title, target, company, score)."""
-    a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(<a href="[^"]*">[^<]*</a>)'), 1)).alias("pos", "a"))
-    a = a.select("page_id", "url", "pos", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), text.compact(F.regexp_extract("a", ">([^<]*)<", 1)).alias("title"))
-    full = url.resolve(F.col("href"), F.col("url"))
-    a = a.where(~url.bad_href(F.col("href"))).withColumn("full", full).where(url.in_scope(F.col("full"), F.col("url")))
-    s = score.keyword_score(F.col("title"), F.array(*map(F.lit, GOOD)), F.array(*map(F.lit, BAD)))
-    return a.select("page_id", "pos", "title", url.canonical_checked(F.col("full")).alias("target"), url.host(F.col("url")).alias("company"), s.alias("score"))
-
-
-def scan(pages: DataFrame, stored: DataFrame, threshold: float = 0.1) -> DataFrame:
+def scan(pages: DataFrame, stored: DataFrame, rules: links.LinkRules) -> DataFrame:
     """New postings (target, title, company): what the store has goes before anything costly; the first of a target wins."""
-    found = discover(pages).where(F.col("score") >= threshold)
-    return R.first_by(found.join(stored.select("target").distinct(), "target", "left_anti"), ["target"], ["page_id", "pos"]).select("target", "title", "company")
-
-
-_TARGET = f"{_SCHEME} || '://' || {_AUTH} || CASE WHEN href = '/' THEN '/' ELSE regexp_replace(href, '/$', '') END"
+    a = links.anchors(pages.select("page_id", "url", "html"))
+    found = a.select("page_id", "pos", F.col("text").alias("title"), rules.decide(F.col("text"), F.col("href"), F.col("url")).alias("target"), url.host(F.col("url")).alias("company")).where("target is not null")
+    return R.first_by(R.having(found, stored.select("target").distinct(), "target", there=False), ["target"], ["page_id", "pos"]).select("target", "title", "company")
 
 
 def scan_pipeline(spark, d):
     pages = table(spark, d, "pages")
-    return scan(pages, pages.select(url.canonical_checked(F.col("url")).alias("target")))
+    return scan(pages, pages.select(url.canonical_checked(F.col("url")).alias("target")), RULES)
 
 
 Q["scan_pipeline"] = scan_pipeline
 O["scan_pipeline"] = f"""
-WITH found AS (SELECT page_id, pos, trim(text) AS title, {_TARGET} AS target, {_HOST} AS company FROM {ANCHORS}
-  WHERE NOT (trim(href) = '' OR starts_with(href, '#'))
-  AND len(list_filter(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> ''), lambda x: list_contains(['the', 'and', 'attion'], x))) > 0)
-SELECT target, title, company FROM found WHERE target NOT IN (SELECT {CHECKED} FROM pages)
+WITH found AS (SELECT *, {_WORDS} AS w, text AS title FROM (SELECT page_id, pos, href, {_TEXT} AS text, {_TARGET} AS target, {_HOST} AS company FROM {ANCHORS}))
+SELECT target, title, company FROM found WHERE {_HREF_OK} AND href LIKE '/%' AND {_scored(0.1, 'und')} AND target NOT IN (SELECT {CHECKED} FROM pages)
 QUALIFY row_number() OVER (PARTITION BY target ORDER BY page_id, pos) = 1
 """

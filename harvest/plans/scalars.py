@@ -181,7 +181,8 @@ def _mode(mode: str) -> str:
 
 @query(f"SELECT doc_id, {_mode('title')} AS title, {_mode('href')} AS href, {_mode('description')} AS description FROM {_T}")
 def score_modes(spark, d):
-    return table(spark, d, "documents").select("doc_id", *(F.round(score.mode_score(F.col("text"), m, *_sets()), 9).alias(m) for m in score.MODES))
+    x = table(spark, d, "documents").select("doc_id", score.mode_scores(F.col("text"), *_sets()).alias("x"))
+    return x.select("doc_id", *(F.round(f"x.{m}", 9).alias(m) for m in score.MODES))
 
 
 @query(f"SELECT doc_id, CASE WHEN s >= 0.8 THEN 'yes' WHEN s <= 0.2 THEN 'no' ELSE '' END AS label, round(CAST(CASE WHEN s >= 0.8 THEN s WHEN s <= 0.2 THEN 1 - s ELSE 0 END AS DOUBLE), 9) AS confidence FROM (SELECT doc_id, {SCORE} AS s FROM {_T})")
@@ -199,13 +200,6 @@ def should_consider(spark, d):
 PROFILES = [(0, "brass", "a.pdf"), (1, "steel", "b.pdf"), (2, "polished", "")]
 
 
-@query(f"SELECT p_partkey, coalesce(nullif(arg_max(path, points * 10 - n), ''), 'default.pdf') AS cv FROM (SELECT p_partkey, v.n, v.path, CASE WHEN regexp_matches(lower(p_type), v.word) THEN 3 ELSE 0 END AS points FROM part, {values('n, word, path', PROFILES)} v) GROUP BY p_partkey")
-def best_profile(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", "p_type")
-    ranked = [F.struct(F.when(F.col("p_type").rlike(rf"(?i){w}"), 3).otherwise(0).alias("points"), F.lit(-n).alias("n"), F.lit(path).alias("path")) for n, w, path in PROFILES]
-    return parts.select("p_partkey", F.coalesce(F.nullif(F.greatest(*ranked)["path"], F.lit("")), F.lit("default.pdf")).alias("cv"))
-
-
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, contains(html, '<h1>') AS has_heading FROM pages")
 def page_title(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.contains("html", F.lit("<h1>")).alias("has_heading"))
@@ -270,5 +264,3 @@ def path_prefix(spark, d):
     from ..functions import url
 
     return literal(spark, "p, x, ok", PREFIXES).select("p", "x", url.path_prefix(F.col("p"), F.col("x")).alias("ok"))
-
-

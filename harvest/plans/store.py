@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, url
 from ..operators import relational as R
+from ..sources import links
 from .common import ASCII, COMPANIES, JOBS, QUEUE, companies, jobs, literal, queue, table, values
 
 Q: dict = {}
@@ -62,22 +63,6 @@ def filter_or_null_flag(spark, d):
     return jobs(spark, d).where(~F.coalesce("banned", F.lit(False))).select("id")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_name")
-def list_active_sorted(spark, d):
-    return table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_name").orderBy("s_name")
-
-
-@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey IN (1, 3, 7, 999, 99999999)")
-def multi_get_projection(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderkey").isin(1, 3, 7, 999, 99999999)).select("o_orderkey", "o_custkey", "o_orderdate")
-
-
-@query("SELECT o_custkey, count(*) AS total, CAST(floor(50 / 25) + 1 AS BIGINT) AS page, CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) AS pages, count(*) > 75 AS has_next FROM orders GROUP BY o_custkey")
-def page_math(spark, d):
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"))
-    return g.select("o_custkey", "total", (F.floor(F.lit(50 / 25)) + 1).alias("page"), F.greatest(F.lit(1), F.ceil(F.col("total") / 25)).alias("pages"), (F.col("total") > 75).alias("has_next"))
-
-
 @query("SELECT event_id AS job_id, ts AS retry_after FROM events WHERE ts <= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts, event_id")
 def due_queue(spark, d):
     q = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("retry_after"))
@@ -91,14 +76,6 @@ SELECT coalesce(t.user_id, s.user_id) AS user_id, coalesce(t.event_type, s.event
 FROM t FULL JOIN s ON t.user_id = s.user_id AND t.event_type = s.event_type"""
 
 
-@query(_MERGED)
-def upsert_job(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type", "value", F.col("event_id").alias("id"), F.col("event_id").alias("pos"))
-    empty = e.drop("pos").limit(0)
-    stored = R.upsert(empty, e.where("id % 3 <> 0"), ["user_id", "event_type"], ["value"], order="pos")
-    return R.upsert(stored, e.where("id % 3 = 0 and user_id % 2 = 0"), ["user_id", "event_type"], ["value"], order="pos")
-
-
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 10000000, 'new ' || c_name, c_acctbal FROM customer WHERE c_custkey % 50 = 0")
 def upsert_company_by_name(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
@@ -133,12 +110,6 @@ def hard_delete_cascade(spark, d):
     return R.delete_by(o, gone, "id").agg(F.lit("job").alias("kind"), F.count("*").alias("n")).unionByName(R.delete_by(li, gone, "id").agg(F.lit("queue").alias("kind"), F.count("*").alias("n")))
 
 
-@query("SELECT count(*) AS affected FROM orders WHERE o_orderkey % 9 = 0")
-def rows_affected(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey")
-    return o.join(o.where("o_orderkey % 9 = 0"), "o_orderkey", "left_semi").agg(F.count("*").alias("affected"))
-
-
 @query("SELECT event_id AS job_id, CASE WHEN event_id % 6 = 0 THEN ts + INTERVAL 2 HOUR ELSE ts END AS retry_after, ts AS created_at FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, ts + INTERVAL 2 HOUR, ts + INTERVAL 1 DAY FROM events WHERE event_id % 6 = 3")
 def queue_enqueue(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("retry_after"), F.col("ts").alias("created_at"))
@@ -152,38 +123,14 @@ def queue_dequeue(spark, d):
     return R.delete_by(e, e.where("job_id = 42"), "job_id")
 
 
-@query("SELECT event_id AS job_id, CASE WHEN event_id = 42 THEN ts + INTERVAL 2 HOUR ELSE ts END AS retry_after FROM events")
-def queue_postpone(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("event_id") == 42, F.col("ts") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts")).alias("retry_after"))
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
 def fk_rejects(spark, d):
     return R.rejects(table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").where("c_custkey % 5 <> 0"), "o_custkey", "c_custkey")
 
 
-@query("SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = p.page_id * 3)")
-def exists_semi(spark, d):
-    p, docs = table(spark, d, "pages").select("page_id"), table(spark, d, "documents").select(F.col("doc_id"))
-    return p.join(docs, F.col("page_id") * 3 == F.col("doc_id"), "left_semi")
-
-
-@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
-def existing_anti(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url")
-    return p.join(p.where("page_id % 2 = 0").select("url").distinct(), "url", "left_anti").select("page_id", "url")
-
-
 _FIRST = "SELECT {out} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS pos FROM {src}) WHERE pos = 1"
 
 
-@query(_FIRST.format(out="page_id, url", key="lower(trim(split_part(url, '/', 3))), lower(trim(split_part(url, '/', 4)))", order="page_id", src="pages"))
-def dedupe_title_url(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url")
-    part = lambda n: F.lower(F.trim(F.split_part("url", F.lit("/"), F.lit(n))))
-    return R.first_by(p, [part(3), part(4)], ["page_id"])
-
-
 _HOST = "lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':[0-9]*$', ''))"
 _AUTH = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
@@ -213,26 +160,12 @@ def dedupe_casefold_url(spark, d):
     return R.first_by(table(spark, d, "pages").select("page_id", "url"), [F.lower(url.canonical_checked(F.col("url")))], ["page_id"])
 
 
-@query(_FIRST.format(out="doc_id", key="lower(trim(regexp_replace(text, '[\\s]+', ' ', 'g')))", order="doc_id", src="documents"))
-def dedupe_normalized(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5(text.normalize(F.col("text")).cast("binary")).alias("key"))
-    return R.first_by(docs, ["key"], ["doc_id"]).select("doc_id")
-
-
 @query(_FIRST.format(out="p_partkey, p_name", key="trim(p_name)", order="p_partkey", src="(SELECT * FROM part WHERE trim(p_name) <> '')"))
 def seed_first_wins(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name").where(F.trim("p_name") != "")
     return R.first_by(p, [F.trim("p_name")], ["p_partkey"])
 
 
-@query("SELECT 'nation' AS kind, n_name AS name FROM nation UNION ALL SELECT 'supplier', s_name FROM supplier UNION ALL SELECT 'customer', c_name FROM customer WHERE lower(trim(c_mktsegment)) = 'building'")
-def union_sources(spark, d):
-    n, s, c = (table(spark, d, t) for t in ("nation", "supplier", "customer"))
-    c = c.where(F.lower(F.trim("c_mktsegment")) == "building")
-    named = lambda df, kind, col: df.select(F.lit(kind).alias("kind"), F.col(col).alias("name"))
-    return named(n, "nation", "n_name").unionByName(named(s, "supplier", "s_name")).unionByName(named(c, "customer", "c_name"))
-
-
 @query("SELECT p_partkey, lower(trim(p_name)) AS first_word, len(list_filter(list_distinct(list_transform([p_name, p_brand, upper(p_brand), ' '], lambda x: lower(trim(x)))), lambda x: x <> '')) AS n FROM part")
 def keyword_set(spark, d):
     k = text.keyword_set(F.array(F.concat(F.lit(" "), "p_name", F.lit(" ")), "p_brand"), F.array(F.upper("p_brand"), F.lit(" ")))
@@ -267,24 +200,13 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", url.scheme(u).alias("scheme"), h.alias("host"), url.path(u).alias("path"), url.query(u).alias("query"), F.contains(h, F.lit("example.org")).alias("org"), net.alias("net"))
 
 
-def _anchors(spark, d):
-    p = table(spark, d, "pages")
-    found = p.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(<a href="[^"]*">[^<]*</a>)'), 1)).alias("pos", "a"))
-    return found.select("page_id", "url", "pos", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("text"))
-
-
 ANCHORS = """(SELECT page_id, url, CAST(i AS INTEGER) AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS text
 FROM (SELECT page_id, url, unnest(l) AS a, unnest(range(len(l))) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages)))"""
 
 
-@query(f"SELECT page_id, pos, href, text FROM {ANCHORS}")
-def anchors(spark, d):
-    return _anchors(spark, d).select("page_id", "pos", "href", "text")
-
-
 @query(f"SELECT page_id, pos, {_SCHEME} || '://' || regexp_extract(url, '://([^/?#]*)', 1) || href AS resolved FROM {ANCHORS}")
 def url_resolve(spark, d):
-    return _anchors(spark, d).select("page_id", "pos", url.resolve(F.col("href"), F.col("url")).alias("resolved"))
+    return links.anchors(table(spark, d, "pages")).select("page_id", "pos", url.resolve(F.col("href"), F.col("url")).alias("resolved"))
 
 
 @query(f"SELECT page_id, trim(translate(coalesce(list_filter(string_split({_PATH}, '/'), lambda x: x <> '')[-1], ''), '-_', '  ')) AS title FROM pages")
@@ -318,65 +240,16 @@ def source_route(spark, d):
 BAD = r"(?i)\.(pdf|docx?|xlsx?|csv|zip|rar|7z|png|jpe?g|gif|svg|webp|mp4|mp3|avi|mov|wmv)([?#].*)?$"
 
 
-@query(f"""SELECT page_id, pos, NOT (trim(href) = '' OR starts_with(href, '#') OR regexp_matches(href, '{BAD}')) AND href LIKE '/%' AS ok,
-{_SCHEME} || '://' || {_AUTH} || CASE WHEN href = '/' THEN '/' ELSE regexp_replace(href, '/$', '') END AS target FROM {ANCHORS}""")
-def link_decision(spark, d):
-    a = _anchors(spark, d)
-    full = url.resolve(F.col("href"), F.col("url"))
-    return a.select("page_id", "pos", (~url.bad_href(F.col("href")) & url.in_scope(full, F.col("url"))).alias("ok"), url.canonical_checked(full).alias("target"))
-
-
-@query(f"""SELECT page_id, min(pos) AS pos, target FROM (SELECT page_id, pos, lower({_SCHEME} || '://' || {_AUTH} || CASE WHEN href = '/' THEN '/' ELSE regexp_replace(href, '/$', '') END) AS target
-FROM {ANCHORS} WHERE NOT (trim(href) = '' OR starts_with(href, '#') OR regexp_matches(href, '{BAD}'))) GROUP BY page_id, target""")
-def crawl_generic(spark, d):
-    a = _anchors(spark, d).where(~url.bad_href(F.col("href")))
-    a = a.select("page_id", "pos", F.lower(url.canonical_checked(url.resolve(F.col("href"), F.col("url")))).alias("target"))
-    return R.first_by(a, ["page_id", "target"], ["pos"])
-
-
 COMEET = [("https://www.comeet.com/jobs/acme/A1.23B", True), ("https://eu.comeet.com/jobs/acme/dev/a1.23b", True), ("https://www.comeet.co/jobs/acme/dev/A1.23B", False), ("https://www.comeet.com/jobs/acme", False), ("https://x.example/jobs/acme/A1.23B", False)]
 
 
-@query(f"SELECT u, ok FROM {values('u, ok', COMEET)}")
-def ats_discover(spark, d):
-    return literal(spark, "u, ok", COMEET).select("u", F.coalesce(url.comeet_job(F.col("u")), F.lit(False)).alias("ok"))
-
-
-@query("SELECT p.page_id, coalesce(a.s_suppkey, b.s_suppkey) AS company_id FROM pages p LEFT JOIN supplier a ON a.s_suppkey = p.page_id * 2 LEFT JOIN supplier b ON b.s_suppkey = p.page_id WHERE coalesce(a.s_suppkey, b.s_suppkey) IS NOT NULL")
-def resolve_company_chain(spark, d):
-    p, s = table(spark, d, "pages").select("page_id"), table(spark, d, "supplier").select("s_suppkey")
-    a, b = s.withColumnRenamed("s_suppkey", "a"), s.withColumnRenamed("s_suppkey", "b")
-    out = p.join(a, F.col("a") == F.col("page_id") * 2, "left").join(b, F.col("b") == F.col("page_id"), "left")
-    return out.select("page_id", F.coalesce("a", "b").alias("company_id")).where("company_id is not null")
-
-
 @query("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'good' ELSE d.lang END AS lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def enrich_overlay(spark, d):
     details = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("").alias("lang"))
     return R.overlay(table(spark, d, "documents").select("doc_id", "lang"), details, "doc_id", ["lang"])
 
 
-@query("SELECT o.o_orderkey AS job_id, CASE WHEN c.c_acctbal > 5000 THEN 'email' WHEN c.c_acctbal > 0 THEN 'source' ELSE 'fail' END AS route FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
-def apply_route(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("c_custkey"))
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return o.join(c, "c_custkey").select("job_id", F.when(F.col("c_acctbal") > 5000, "email").when(F.col("c_acctbal") > 0, "source").otherwise("fail").alias("route"))
-
-
-@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS sent, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 2 = 0) AS waiting, greatest(0, count(*) - count(*) FILTER (o_orderstatus IN ('F', 'P') OR (o_orderstatus = 'O' AND o_orderkey % 2 = 0))) AS queued FROM orders")
-def apply_tally(spark, d):
-    s, k = F.col("o_orderstatus"), F.col("o_orderkey")
-    g = table(spark, d, "orders").agg(F.count_if(s == "F").alias("sent"), F.count_if(s == "P").alias("failed"), F.count_if((s == "O") & (k % 2 == 0)).alias("waiting"), F.count("*").alias("n"))
-    return g.select("sent", "failed", "waiting", F.greatest(F.lit(0), F.col("n") - F.col("sent") - F.col("failed") - F.col("waiting")).alias("queued"))
-
-
 @query("SELECT e.event_id AS job_id, CASE WHEN o.o_orderkey IS NULL THEN 'dequeue_missing' WHEN o.o_orderstatus = 'F' THEN 'dequeue_applied' ELSE 'reapply' END AS action FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id WHERE e.ts <= TIMESTAMP '2024-01-20'")
 def retry_actions(spark, d):
     q = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("retry_after"))
     return R.retry_actions(q, jobs(spark, d), F.lit("2024-01-20").cast("timestamp")).select("job_id", "action")
-
-
-@query("SELECT o_orderkey AS job_id, concat_ws(chr(10), 'Dear ' || c_name || ',', CASE WHEN o_orderpriority LIKE '1%' THEN 'Urgent.' END, 'Order ' || o_orderkey) AS body FROM orders JOIN customer ON c_custkey = o_custkey")
-def message_template(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.select(F.col("o_orderkey").alias("job_id"), F.concat_ws("\n", F.concat(F.lit("Dear "), "c_name", F.lit(",")), F.when(F.col("o_orderpriority").like("1%"), "Urgent."), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).alias("body"))

@@ -31,18 +31,6 @@ def _snapshot(spark, d):
     return e.agg(F.count("*").alias("requests"), F.count_if(kind == "error").alias("errors"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("duration_ms"), F.count_if(kind == "click").alias("cache_hits"), F.count_if(kind == "view").alias("cache_misses"))
 
 
-@query(f"SELECT *, CASE WHEN cache_hits + cache_misses > 0 THEN cache_hits / (cache_hits + cache_misses) ELSE 0.0 END AS hit_rate, CASE WHEN requests > 0 THEN duration_ms / requests ELSE 0.0 END AS mean_ms, CAST(0.0 AS DOUBLE) AS pool_rate FROM (SELECT {_COUNTS} FROM events)")
-def metrics_snapshot(spark, d):
-    hits = F.col("cache_hits") + F.col("cache_misses")
-    return _snapshot(spark, d).select("*", R.ratio(F.col("cache_hits"), hits).alias("hit_rate"), R.ratio(F.col("duration_ms"), F.col("requests")).alias("mean_ms"), R.ratio(F.lit(1), F.lit(0)).alias("pool_rate"))
-
-
-@query(f"SELECT unnest(['requests', 'errors', 'duration_ms', 'cache_hits', 'cache_misses']) AS metric, unnest([requests, errors, duration_ms, cache_hits, cache_misses]) AS value FROM (SELECT {_COUNTS} FROM events)")
-def metrics_long(spark, d):
-    names = ["requests", "errors", "duration_ms", "cache_hits", "cache_misses"]
-    return _snapshot(spark, d).unpivot([], names, "metric", "value")
-
-
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 5 MINUTE PRECEDING AND CURRENT ROW) / 300.0::DOUBLE AS rate FROM events")
 def rate_5m(spark, d):
     return R.rate(table(spark, d, "events"), ["event_type"], "ts").select("event_id", "rate")
@@ -53,27 +41,6 @@ def history_100(spark, d):
     return R.recent(table(spark, d, "events").select("event_id", "ts"), "ts", 100)
 
 
-@query("SELECT event_id FROM events ORDER BY ts DESC LIMIT 20")
-def last_n(spark, d):
-    return R.recent(table(spark, d, "events").select("event_id", "ts"), "ts", 20).select("event_id")
-
-
-@query("SELECT user_id, count(*) AS done, CAST(floor(count(*) FILTER (event_type = 'view') * 100 / count(*)) AS BIGINT) AS percent FROM events GROUP BY user_id")
-def scan_progress(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("done"), F.floor(F.count_if(F.col("event_type") == "view") * 100 / F.count("*")).alias("percent"))
-
-
-@query("SELECT count(*) - count(DISTINCT event_type) AS hits, count(DISTINCT event_type) AS misses FROM events WHERE event_type <> ''")
-def intern_stats(spark, d):
-    e = table(spark, d, "events").where("event_type <> ''")
-    return e.groupBy("event_type").count().agg((F.sum("count") - F.count("*")).alias("hits"), F.count("*").alias("misses"))
-
-
-@query("SELECT event_type AS cache, count(DISTINCT user_id) AS keys FROM events GROUP BY event_type")
-def cache_sizes(spark, d):
-    return table(spark, d, "events").select(F.col("event_type").alias("cache"), "user_id").distinct().groupBy("cache").agg(F.count("*").alias("keys"))
-
-
 @query("""SELECT e.event_id, coalesce(e.ts <= s.last + INTERVAL 2 HOUR, FALSE) AS hit FROM events e LEFT JOIN LATERAL (SELECT max(p.ts) AS last FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts < e.ts) s ON TRUE WHERE e.event_type <> 'purchase'""")
 def ttl_lookup(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
@@ -112,12 +79,6 @@ def breaker_states(spark, d):
     return fold(_log(spark, d), Breaker(failures=2, timeout_ms=3_600_000, probes=3), "user_id", "ts_ms", "ok", "event_id")
 
 
-@query("""SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"user_id":' || user_id || ',"id":' || event_id || '}' || chr(10) || chr(10) AS frame FROM events""")
-def sse_frames(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), F.to_json(F.struct("user_id", F.col("event_id").alias("id"))), F.lit("\n\n")).alias("frame"))
-
-
 POLICY = [(1, 500, True, 200.0), (2, 404, False, 400.0), (5, 429, True, 2000.0), (3, 503, True, 800.0)]
 
 
@@ -141,9 +102,3 @@ def error_structs(spark, d):
     labels = F.create_map(F.lit("error"), F.lit("Network"), F.lit("click"), F.lit("Unknown"))
     context = F.map_concat(F.create_map(F.lit("who"), F.concat(F.lit("user "), F.col("user_id").cast("string"))), F.create_map(F.lit("at"), F.col("ts").cast("string")))
     return e.select("event_id", labels[F.col("event_type")].alias("label"), context["who"].alias("who"))
-
-
-@query("SELECT event_type, count(*) AS submitted, count(*) FILTER (value > 50) AS completed, count(*) FILTER (value IS NULL OR value <= 50) AS rejected FROM events GROUP BY event_type")
-def pool_stats(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("submitted"), F.count_if(v > 50).alias("completed"), F.count_if(v.isNull() | (v <= 50)).alias("rejected"))

@@ -13,13 +13,22 @@ from ..operators import relational as R
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names; only a session that names none (tests) gets a temporary one."""
+    """Checkpoint in the folder that the session names; one that names none gets a temporary folder, on a local master only."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harvest-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="harvest-"))
     return df.checkpoint()
 
 
+def frontier(edges: DataFrame) -> DataFrame:
+    """Addresses that no other page leads to: where chains begin."""
+    led = edges.where("next is not null and next <> url").select(F.col("next").alias("url")).distinct()
+    return R.having(edges.select("url"), led, "url", there=False).distinct()
+
+
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, url, depth) of all pages that each seed's chain of next pages leads to, itself at depth 0.
 

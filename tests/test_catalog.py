@@ -33,20 +33,29 @@ def duck():
 from harvest import catalog  # noqa: E402
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DIR)
+def _same(spark, duck, f, sql):
+    df = f(spark, DIR)
     cols = sorted(df.columns)
     rows = sorted((tuple(_plain(r[c]) for c in cols) for r in df.collect()), key=str)
-    if name not in catalog.ORACLES:
+    if sql is None:
         return
-    got = duck.execute(catalog.ORACLES[name])
+    got = duck.execute(sql)
     names = [x[0] for x in got.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert rows == sorted((tuple(_plain(r[i]) for i in at) for r in got.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, duck, name):
+    _same(spark, duck, catalog.QUERIES[name], catalog.ORACLES.get(name))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.CASES))
+def test_case(spark, duck, name):
+    _same(spark, duck, *catalog.CASES[name])
+
+
 def test_search_page_is_a_top_k(spark):
     plan = catalog.QUERIES["search_limit_reset"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
