@@ -48,9 +48,9 @@ def search_like_ascii(spark, d):
     return table(spark, d, "documents").where(text.like_ascii(F.col("text"), "tHe")).select("doc_id")
 
 
-@query(f"SELECT p_partkey, p_name FROM part WHERE {ASCII.format('p_name')} LIKE '%a_t%1%'")
+@query(f"SELECT p_partkey, p_name FROM part WHERE {ASCII.format('p_name')} LIKE '%u_%t%'")
 def search_like_wildcard(spark, d):
-    return table(spark, d, "part").where(text.like_ascii(F.col("p_name"), "A_T%1")).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(text.like_ascii(F.col("p_name"), "U_%T")).select("p_partkey", "p_name")
 
 
 @query(f"SELECT j.id {_FOUND} ORDER BY j.discovered_at DESC, j.id LIMIT 25")
