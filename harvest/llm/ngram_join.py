@@ -204,11 +204,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
                 keep.append(100 * both >= percent * (len(a[i]) + len(b[i]) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = table(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text"))
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    linked = table(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
-    drop(needed, texts)
+    needed = [table(pairs.select(F.col(c).alias("doc_id")).distinct()) for c in "ab"]  # of b there are few: the central ones
+    texts = [table(docs.join(n, "doc_id", "left_semi").select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))) for c, n in zip("ab", needed, strict=True)]
+    linked = table(pairs.select("a", "b").join(texts[0], "a").join(texts[1], "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    drop(*needed, *texts)
     return linked
 
 

@@ -27,7 +27,7 @@ from .common import chunks, column_of, drop, kept, mix, one_hash, table, tree_su
 LABELLED = 4000
 ROUNDS = 3
 #: Prototypes of one label and view.
-BUCKETS = 32
+BUCKETS = 16
 #: Probability that makes a view sure of a label.
 SURE = 0.95
 #: Weight of all prototypes of a label in the last round, in units of the labelled rows'.
@@ -175,11 +175,11 @@ def _prototypes(docs: DataFrame, w: list[np.ndarray]) -> list[tuple[np.ndarray,
                     sums[k][:, :-1] += picks @ views[k][sure]
                     sums[k][:, -1] += picks.sum(axis=1)
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part, part]), pa.array([0, 1]), pa.array([x.tobytes() for x in sums], pa.binary())], names=["part", "block", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([part, part]), pa.array([0, 1]), pa.array([x.astype(np.float32).tobytes() for x in sums], pa.binary())], names=["part", "block", "value"])
 
     parts = _own(docs).mapInArrow(run, "part long, block long, value binary")
     summed = table(parts)
-    got = {r["block"]: np.frombuffer(r["value"]).reshape(2 * BUCKETS, -1) for r in tree_sums(summed, summed.select(F.max("part")).first()[0] + 1, float).collect()} if not summed.isEmpty() else {}
+    got = {r["block"]: np.frombuffer(r["value"], np.float32).reshape(2 * BUCKETS, -1).astype(float) for r in tree_sums(summed, summed.select(F.max("part")).first()[0] + 1, np.float32, 16).collect()} if not summed.isEmpty() else {}
     drop(summed)
     out = []
     for k, n in ((0, n_text), (1, n_meta)):
