@@ -210,6 +210,13 @@ def rss_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.feed_date(feed).alias("posted"), dates.posted_date(day).alias("absolute"), page.alias("page_day"), dates.rfc3339(at).alias("stamp"), dates.day(at).alias("day"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE date_trunc('day', o_orderdate) END AS posted FROM orders")
+def absolute_date(spark, d):
+    at = F.col("o_orderdate").cast("timestamp")
+    shown = pick("o_orderkey", [F.date_format(at, "MMM d, yyyy"), F.date_format(at, "dd/MM/yyyy"), F.concat(F.lit("on "), F.date_format(at, "yyyy-MM-dd"))])
+    return table(spark, d, "orders").select("o_orderkey", dates.posted_date(shown).alias("posted"))
+
+
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE date_trunc('second', o_orderdate) END AS posted, date_trunc('day', o_orderdate) + INTERVAL 2 HOUR AS retried FROM orders")
 def header_date(spark, d):
     at = F.col("o_orderdate").cast("timestamp")
