@@ -61,22 +61,29 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> Iterator[None]:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Write ``df`` in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write ``df`` in the shared folder and read it again: cuts the lineage, survives lost executors. ``drop`` deletes it, at last the application's end."""
     spark = df.sparkSession
     path = shared_dir(spark)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_h_path"] = path
+    files, folder = _files(spark, path)
+    files.deleteOnExit(folder)  # what a result still reads goes with the application
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, for the driver's Hadoop client."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of tables that ``table`` wrote and nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_h_path"])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _files(df.sparkSession, df.__dict__["_h_path"])
+        files.delete(path, True)
 
 
 def tidy(spark: SparkSession) -> None:

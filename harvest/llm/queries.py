@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, token_output, topk, url_filters
+from . import ann, centroids, divergence, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, token_output, topk, url_filters
 
 #: A dated list: (list_name, scope, pattern, verdict, action, day of 2024).
 ENTRIES = [
@@ -96,13 +96,42 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_language_id, op4_ngram_jaccard, op5_ann, op6_token_output, op7_exact_topk, op8_piece_nbest, op9_packing, op10_lm_scoring)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_language_id, op4_ngram_jaccard, op5_ann, op6_token_output, op7_exact_topk, op8_piece_nbest, op9_packing, op10_lm_scoring, op11_source_divergence, op13_centroid_clustering)}
 
 _ENTRY_ROWS = ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', make_timestamp({(_DAY0 + 86400 * day) * 1000000}))" for a, b, c, d, e, day in ENTRIES)
 
 #: Of an authority what comes after the last @, without a port and without dots at the end.
 _HOST = "lower(rtrim(regexp_replace(list_last(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '@')), ':[0-9]*$', ''), '.'))"
 
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and floored means, one pair of common tables after the other."""
+    steps = [
+        """w AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS cluster, v FROM w WHERE vec_id IS NOT NULL QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT w.row, w.vec_id, w.v, c.cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (w.v[i] - c.v[i]) * (w.v[i] - c.v[i]))) AS BIGINT) AS distance
+  FROM w CROSS JOIN c{i} c QUALIFY row_number() OVER (PARTITION BY w.row ORDER BY distance, c.cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+  FROM (SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster)""")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster))")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+
+
 ORACLES = {
     "op1_url_filters": f"""
 WITH entries(list_name, scope, pattern, verdict, action, since) AS (VALUES {_ENTRY_ROWS}),
@@ -160,4 +189,23 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
+    "op11_source_divergence": r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+occ AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM occ GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+size AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS c FROM occ SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grp AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN own USING (lang, source) GROUP BY lang, source),
+share AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, k.c AS whole,
+    1 + (1000000000::HUGEINT * (coalesce(o.c, 0) + 1)) // (g.n + s.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 1)) // (s.n::HUGEINT + s.v) AS q
+  FROM grp g JOIN size s USING (lang) JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0)::BIGINT AS value FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN pair p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM share WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+    "op13_centroid_clustering": _clustering_sql(),
 }
