@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, divergence, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, token_output, topk, url_filters
+from . import ann, centroids, divergence, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, token_output, topk, toxicity, url_filters
 
 #: A dated list: (list_name, scope, pattern, verdict, action, day of 2024).
 ENTRIES = [
@@ -100,11 +100,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "learned_count", "insult_count", "disguised_count")
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_language_id, op4_ngram_jaccard, op5_ann, op6_token_output, op7_exact_topk, op8_piece_nbest, op9_packing, op10_lm_scoring, op11_source_divergence, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_language_id, op4_ngram_jaccard, op5_ann, op6_token_output, op7_exact_topk, op8_piece_nbest, op9_packing, op10_lm_scoring, op11_source_divergence, op12_toxicity, op13_centroid_clustering)}
 
 _ENTRY_ROWS = ", ".join(f"('{a}', '{b}', '{c}', '{d}', '{e}', make_timestamp({(_DAY0 + 86400 * day) * 1000000}))" for a, b, c, d, e, day in ENTRIES)
 
