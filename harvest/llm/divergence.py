@@ -390,5 +390,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = RANKS, doc_id:
     pair = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     w = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     rank = F.row_number().over(w).alias("rank")
-    term = parts.where("part = 'term'").select("*", rank).where(F.col("rank") <= ranks)
+    salt = Window.partitionBy("lang", "source", "part", F.pmod(F.xxhash64("item"), F.lit(SALTS))).orderBy(F.desc("value"), "item")
+    term = parts.where("part = 'term'").withColumn("rank", F.row_number().over(salt)).where(F.col("rank") <= ranks).drop("rank")  # a task's best meet in parts of a group first
+    term = term.select("*", rank).where(F.col("rank") <= ranks)
     return pair.select("*", rank).unionByName(term)
