@@ -373,3 +373,4 @@ def crawl_reach(spark, d):
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("url"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("next"))
     return crawl.reach(o, crawl.frontier(o))
+

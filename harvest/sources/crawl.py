@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import pages as P
 from ..functions import url
 from ..operators import relational as R
+from . import links as L
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -49,6 +52,41 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         known, step = now, step * 2
 
 
+def follow(fetched: DataFrame, keep: Callable[[Column, Column], Column] = url.in_scope) -> Callable[[DataFrame], DataFrame]:
+    """What ``spread`` asks of fetched pages (url, html; url unique and canonical as stored): the links of the pages reached.
+
+    Only pages of the frontier are joined and parsed, each once. ``keep`` takes a link's canonical address and its page's.
+    """
+
+    def expand(frontier: DataFrame) -> DataFrame:
+        a = L.anchors(frontier.join(fetched.select("url", "html"), "url"))
+        a = a.where(~url.bad_href(F.col("href"))).select("url", "pos", url.canonical_stored(url.resolve(F.col("href"), F.col("url"))).alias("target"))
+        return a.where(keep(F.col("target"), F.col("url")))
+
+    return expand
+
+
+def spread(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+    """(url, depth, via) of every address that at most ``depth`` links lead to from the seeds (url), each once.
+
+    Level by level: ``expand`` gets the addresses new at a level (url) and gives their links (url, pos, target), many for each;
+    targets that no level had before are the next one. ``depth`` is the smallest, ``via`` the page of that level that leads there (the
+    smallest url). Cycles end by the visited set, which is the levels' own checkpoints. Links to one target combine
+    before they move and a page is expanded once, so neither a target nor a page that all link to is a hot key. Null
+    addresses lead nowhere; an address that was not fetched is reached, but has no links.
+    """
+    new = _cut(seeds.select(F.col("url")).where("url is not null").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["url"].dataType).alias("via")))
+    levels = [new]
+    for level in range(1, depth + 1):
+        found = expand(new.select("url")).where("target is not null").groupBy("target").agg(F.min("url").alias("via"))
+        before = reduce(DataFrame.unionByName, levels).select(F.col("url").alias("target"))
+        new = _cut(found.join(before, "target", "left_anti").select(F.col("target").alias("url"), F.lit(level).alias("depth"), "via"))
+        if new.isEmpty():
+            break
+        levels.append(new)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def crawl_boards(fetched: DataFrame, seeds: DataFrame, parser=P.board_page) -> DataFrame:
     """(seed, title, url) of the postings on all pages of each board, a title and address once by page and place.
 
@@ -87,3 +125,33 @@ def anchors_with_frames(fetched: DataFrame, anchors: Column) -> DataFrame:
     src = src.select(F.col("url").alias("page"), (F.col("level") + 1).alias("level"), url.resolve(F.col("src"), F.col("url")).alias("url"))
     inner = src.join(fetched, "url").select(F.col("page").alias("url"), "level", F.posexplode(anchors).alias("pos", "x"))
     return own.unionByName(inner)
+
+
+def frames(fetched: DataFrame) -> DataFrame:
+    """(url, frame, target) of the frames with an address that pages (url, html) show, in document order from 1."""
+    some = fetched.where(F.col("html").rlike(r"(?i)<iframe\s"))
+    found = F.filter(F.transform(L.tags(L.visible(F.col("html")), "iframe"), lambda t: L.attribute(t, "src")), lambda x: F.trim(x) != "")
+    found = some.select("url", F.posexplode(found).alias("k", "src"))
+    return found.select("url", (F.col("k") + 1).alias("frame"), url.resolve(F.col("src"), F.col("url")).alias("target"))
+
+
+def nested_anchors(fetched: DataFrame, depth: int, pages: DataFrame | None = None) -> DataFrame:
+    """(url, path, page, pos, href, text): a page's anchors and those of its frames and theirs, ``depth`` levels down.
+
+    ``path`` has the places of the frames that lead from ``url`` to ``page`` (empty for its own anchors); with ``pos`` it orders the anchors. A frame
+    that was not fetched is left out, and so is one that already holds itself. ``pages`` (url) says whose anchors are
+    wanted, by default all. Each level joins pages with their frames, each page of which is parsed once.
+    """
+    inside = _cut(frames(fetched))
+    at = (fetched if pages is None else pages).select("url", F.array().cast("array<int>").alias("path"), F.col("url").alias("page"), F.array("url").alias("chain"))
+    levels = [_cut(at)]
+    there = fetched.select(F.col("url").alias("target"))
+    step = R.having(inside, there, "target").select(F.col("url").alias("page"), "frame", "target")
+    for _ in range(depth):
+        down = levels[-1].join(step, "page").where(~F.array_contains("chain", F.col("target")))
+        down = _cut(down.select("url", F.concat("path", F.array("frame")).alias("path"), F.col("target").alias("page"), F.concat("chain", F.array("target")).alias("chain")))
+        if down.isEmpty():
+            break
+        levels.append(down)
+    shown = L.anchors(fetched.select(F.col("url").alias("page"), "html"))
+    return reduce(DataFrame.unionByName, levels).join(shown, "page").select("url", "path", "page", "pos", "href", "text")

@@ -10,19 +10,37 @@ from pyspark.sql import functions as F
 from ..functions import score, text, url
 from ..operators import relational as R
 
-_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_ANCHOR = r"""(?is)(<a\s(?>[^>"']+|"[^"]*"|'[^']*')*+>.*?)(?=</a\s*>|<a\s|$)"""
-_HREF = r"""(?is)^<a\s(?>[^>"']+?|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-_OPEN = r"""(?is)^<a\s(?>[^>"']+|"[^"]*"|'[^']*')*+>"""
+# Each of these takes what it begins or fails at its first characters: what is left open runs to the end of the page, as in
+# a browser, so a page of any markup is read in time linear in its length. Loops are possessive: Java runs them without recursion.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<style\b.*?(?:</style\s*+>|\z)"
+_VALUE = r"""(?>"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"']*+)"""
+_TAG = r"""<%s\s(?>[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
+
+
+def visible(html: Column) -> Column:
+    """The markup without comments, scripts and styles."""
+    return F.regexp_replace(html, _HIDDEN, "")
+
+
+def tags(html: Column, name: str) -> Column:
+    """array<string> of all start tags of a name that have attributes, in document order."""
+    return F.regexp_extract_all(html, F.lit(f"(?is)({_TAG % name})"), 1)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a start tag's first attribute of a name, with entities decoded; null where there is none."""
+    other = rf"""(?!{name}\s*+=)[^\s"'>/=]++(?:\s*+=\s*+{_VALUE})?+"""
+    raw = F.regexp_extract(tag, rf"""(?is)^<[a-z][^\s>]*+(?>[\s/"'=]++|{other})*+({name}\s*+=\s*+{_VALUE})""", 1)
+    value = F.regexp_replace(raw, rf"""(?is)^{name}\s*+=\s*+["']?+|["']\z""", "")
+    return F.when(raw != "", text.decode_entities(value))
 
 
 def hrefs(html: Column) -> Column:
     """array<struct(href, text)> of all anchors with an address, in document order; the text has no tags."""
-    found = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, ""), F.lit(_ANCHOR), 1)
-    href = lambda a: F.concat(*(F.regexp_extract(a, _HREF, k) for k in (1, 2, 3)))
-    inner = lambda a: F.regexp_replace(F.regexp_replace(a, _OPEN, ""), "<[^>]*>", "")
-    named = F.filter(found, lambda a: a.rlike(_HREF))
-    return F.transform(named, lambda a: F.struct(text.decode_entities(href(a)).alias("href"), text.compact(text.decode_entities(inner(a))).alias("text")))
+    found = F.regexp_extract_all(visible(html), F.lit(rf"(?is)({_TAG % 'a'}.*?)(?=</a\s*+>|<a\s|\z)"), 1)
+    inner = lambda a: F.regexp_replace(a, rf"(?is)^{_TAG % 'a'}|<[^>]*+(?:>|\z)", "")
+    both = F.transform(found, lambda a: F.struct(attribute(a, "href").alias("href"), text.compact(text.decode_entities(inner(a))).alias("text")))
+    return F.filter(both, lambda x: x["href"].isNotNull())
 
 
 def anchors(pages: DataFrame) -> DataFrame:
