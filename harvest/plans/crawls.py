@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import url
-from ..sources import crawl, links
+from ..sources import crawl, datasource, links
 from .common import table
 from .derived import say
 from .store import _HOST, ANCHORS
@@ -61,3 +63,38 @@ def frame_tree(spark, d):
     """Anchors of every page, of its frames and of theirs, three levels down."""
     got = crawl.nested_anchors(site(spark, d).select("url", "html"), 3)
     return got.select("url", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), F.regexp_extract("page", "[0-9]+$", 0).cast("long").alias("page"), "pos", "text")
+
+
+_AT = "CASE WHEN url LIKE '%#%' THEN 404 WHEN url LIKE '%//blog.%' THEN NULL WHEN url LIKE '%.net/%' THEN 503 ELSE 200 END"
+
+
+@query(f"""SELECT page_id, {_AT} AS status, CASE WHEN url LIKE '%#%' THEN 'http 404' WHEN url LIKE '%//blog.%' THEN 'no route' WHEN url LIKE '%.net/%' THEN 'http 503' END AS error,
+CASE WHEN url NOT LIKE '%#%' AND (url LIKE '%//blog.%' OR url LIKE '%.net/%') THEN 3 WHEN url NOT LIKE '%#%' AND url LIKE '%/fr/%' THEN 2 ELSE 1 END AS attempts,
+CASE WHEN NOT (url LIKE '%#%' OR url LIKE '%//blog.%' OR url LIKE '%.net/%') THEN strlen('page of ' || url) END AS bytes FROM pages""")
+def pages_source(spark, d):
+    """The pages' addresses through the data source; its getter answers by the address, without a network."""
+    p, folder = table(spark, d, "pages").select("page_id", "url"), f"{crawl.scratch(spark)}/{uuid.uuid4().hex}"
+    datasource.plan(p, folder, 8)
+    got = datasource.read(spark, folder, "harvest.plans.crawls:Answers", rate=1e6, attempts=3, least_ms=0)
+    return p.join(got, "url").select("page_id", "status", "error", "attempts", F.octet_length("html").cast("long").alias("bytes"))
+
+
+class _Answers:
+    """A getter without a network: pages of marks are gone, blogs have no route, .net is always busy, French pages are busy at first."""
+
+    def __init__(self):
+        self.asked: dict[str, int] = {}
+
+    def __call__(self, address: str) -> tuple[int, dict[str, str], str]:
+        self.asked[address] = self.asked.get(address, 0) + 1
+        if "#" in address:
+            return 404, {}, "gone"
+        if "//blog." in address:
+            raise OSError("no route")
+        if ".net/" in address or "/fr/" in address and self.asked[address] < 2:
+            return 503, {"Retry-After": "0"}, "busy"
+        return 200, {"Server": "x"}, f"page of {address}"
+
+
+#: What the source's tasks import by name.
+Answers = _Answers()

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
@@ -15,14 +15,19 @@ from ..operators import relational as R
 from . import links as L
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names; one that names none gets a temporary folder, on a local master only."""
-    sc = df.sparkSession.sparkContext
+def scratch(spark: SparkSession) -> str:
+    """The application's checkpoint folder, in the folder that the session names; one that names none gets a temporary one, on a local master only."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="harvest-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 

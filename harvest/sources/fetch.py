@@ -6,15 +6,24 @@ returns (status, headers, body) will do, such as a browser's or a test's. A fail
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import random
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import url as U
 from ..functions.errors import RETRY_STATUS
 
 SCHEMA = "url string, status int, headers map<string, string>, html string, attempts int, error string"
@@ -28,10 +37,7 @@ class Getter(Protocol):
 
 @dataclass(frozen=True)
 class Client:
-    """Limits of one task: requests a second, how many may come at once, tries, and waits between tries.
-
-    ``rate`` holds for each task, so a job's rate is bounded by the number of partitions of its addresses.
-    """
+    """Limits of each host: requests a second, how many may come at once, tries, and waits between tries."""
 
     # The defaults of a source without a client of its own.
     rate: float = 1.5
@@ -41,18 +47,68 @@ class Client:
     most_ms: float = 2000.0
     sleep: Callable[[float], None] = field(default=time.sleep, compare=False)
     clock: Callable[[], float] = field(default=time.monotonic, compare=False)
-
-    def waits(self) -> Iterator[None]:
-        """Each step takes one of the tokens, which come back at ``rate``, and waits for one where there is none."""
-        left, last = float(self.burst), self.clock()
-        while True:
+    chance: Callable[[], float] = field(default=random.random, compare=False)
+
+    def pause(self, attempt: int, headers: Mapping[str, str]) -> float:
+        """Seconds before the next try: what the response asks for, and a random share of a bound that doubles with each try."""
+        asked = next((v for k, v in headers.items() if k.lower() == "retry-after"), "").strip()
+        return asked_seconds(asked, datetime.now(timezone.utc)) + self.chance() * min(self.most_ms, self.least_ms * 2 ** (attempt - 1)) / 1000
+
+    def in_turn(self, addresses: Iterable[str | None]) -> Iterator[tuple[str | None, Callable[[], None]]]:
+        """(address, what to call before each request of it) of WINDOW addresses at a time: always one whose host may be asked soonest.
+
+        A host's requests keep to ``rate`` after the first ``burst``; while one waits others go on. What is held is the window and one
+        number for each host that was asked within its last burst.
+        """
+        due: dict[str, float] = {}  # when a host's tokens are full again
+        gap, addresses = 1 / self.rate, iter(addresses)
+        while window := list(itertools.islice(addresses, WINDOW)):
             now = self.clock()
-            left, last = min(float(self.burst), left + (now - last) * self.rate), now
-            if left < 1:
-                self.sleep((1 - left) / self.rate)
-                left, last = 1.0, self.clock()
-            left -= 1
-            yield
+            due = {h: t for h, t in due.items() if t > now}
+            of: dict[str, deque] = {}
+            for a in window:
+                of.setdefault(host_of(a), deque()).append(a)
+            free = lambda h: due.get(h, 0.0) - (self.burst - 1) * gap
+            queue = [(free(h), k, h) for k, h in enumerate(of)]
+            heapq.heapify(queue)
+            while queue:
+                _, k, h = heapq.heappop(queue)
+
+                def wait(h: str = h) -> None:
+                    ahead = free(h) - self.clock()
+                    if ahead > 0:
+                        self.sleep(ahead)
+                    due[h] = max(self.clock(), due.get(h, 0.0)) + gap
+
+                yield of[h].popleft(), wait
+                if of[h]:
+                    heapq.heappush(queue, (free(h), k, h))
+
+
+#: Addresses that a task looks ahead for hosts that may be asked.
+WINDOW = 1000
+
+
+def host_of(address: str | None) -> str:
+    try:
+        return (urlsplit((address or "").strip()).hostname or "").lower()
+    except ValueError:
+        return ""
+
+
+def asked_seconds(value: str, now: datetime) -> float:
+    """Seconds that a Retry-After header asks for, as ``errors.retry_after`` has them: a positive number, or a date within ten minutes; else 0."""
+    if re.fullmatch(r"\+?[0-9]+", value):
+        return float(value)
+    try:
+        ahead = (parsedate_to_datetime(value) - now).total_seconds()
+    except (TypeError, ValueError):
+        return 0.0
+    return ahead if 0 < ahead < 600 else 0.0
+
+
+def _late(e: Exception) -> bool:
+    return isinstance(e, TimeoutError) or isinstance(getattr(e, "reason", None), TimeoutError) or "Client.Timeout exceeded" in str(e)
 
 
 def http_getter(timeout: float = 15.0, agent: str = "Mozilla/5.0") -> Getter:
@@ -71,38 +127,48 @@ def http_getter(timeout: float = 15.0, agent: str = "Mozilla/5.0") -> Getter:
     return get
 
 
-def _one(url: str, getter: Getter, client: Client, tokens: Iterator[None]) -> tuple:
+def one(url: str | None, getter: Getter, client: Client, wait: Callable[[], None]) -> tuple:
+    """The row of one address: a status that may pass and a failed connection are tried again, a timeout isn't."""
+    if not (url or "").strip():
+        return url, None, [], None, 0, "no address"
     status, headers, body, error, n = None, {}, None, None, 0
     for n in range(1, client.attempts + 1):
-        next(tokens)
+        wait()
         try:
             status, headers, body = getter(url)
             error = None if 200 <= status < 300 else f"http {status}"
             again = status in RETRY_STATUS
         except Exception as e:  # any failure of one address is that row's error
-            status, headers, body, error, again = None, {}, None, str(e) or type(e).__name__, True
+            status, headers, body, again = None, {}, None, not _late(e)
+            error = (str(e) or type(e).__name__) if again else "context deadline exceeded"
         if error is None or not again or n == client.attempts:
             break
-        client.sleep(min(client.most_ms, client.least_ms * 2 ** (n - 1)) / 1000)
+        client.sleep(client.pause(n, headers))
     return url, status, list(headers.items()), body if error is None else None, n, error
 
 
+_ARROW = pa.schema([("url", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("html", pa.string()), ("attempts", pa.int32()), ("error", pa.string())])
+
+
+def batches_of(addresses: Iterable[str | None], getter: Getter, client: Client, rows: int = 100) -> Iterator[pa.RecordBatch]:
+    """Record batches of SCHEMA, of ``rows`` pages each, so that a task holds no more of them."""
+    got = (one(a, getter, client, wait) for a, wait in client.in_turn(addresses))
+    while some := list(itertools.islice(got, rows)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+
 def fetch(urls: DataFrame, getter: Getter, client: Client = Client(), url: str = "url") -> DataFrame:
-    """(url, status, headers, html, attempts, error) of each address, in the partitions that the addresses have.
+    """(url, status, headers, html, attempts, error) of each address; those of one host meet in one task, so its limits hold.
 
-    ``html`` is null and ``error`` says why where there is no success; statuses that may pass are tried again. A null or
-    blank address is an error of its own.
+    ``html`` is null and ``error`` says why where there is no success. A null or blank address is an error of its own. A host with a
+    large share of the addresses makes a long task: its rate allows no second one.
     """
 
     def run(batches):
-        tokens = client.waits()
-        for b in batches:
-            rows = [_one(u, getter, client, tokens) if (u or "").strip() else (u, None, [], None, 0, "no address") for u in b.column("url").to_pylist()]
-            types = (pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string())
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["url", "status", "headers", "html", "attempts", "error"])
-
-    return urls.select(F.col(url).cast("string").alias("url")).mapInArrow(run, SCHEMA)
+        yield from batches_of((u for b in batches for u in b.column("url").to_pylist()), getter, client)
+
+    own = urls.select(F.col(url).cast("string").alias("url"))
+    return own.repartition(U.host_of(F.coalesce("url", F.lit("")))).mapInArrow(run, SCHEMA)
 
 
 def from_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:

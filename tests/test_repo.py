@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harvest.operators import relational as R
-from harvest.sources import fetch, repo
+from harvest.sources import datasource, fetch, repo
 from harvest.sources.store import Store
 from harvest.streaming import feed
 
@@ -74,14 +74,69 @@ def test_client_waits_for_its_rate():
         slept.append(round(s, 6))
         now[0] += s
 
-    waits = fetch.Client(rate=2, burst=3, sleep=sleep, clock=lambda: now[0]).waits()
-    for _ in range(5):
-        next(waits)
-    assert slept == [0.5, 0.5]
-    now[0] += 100
-    for _ in range(4):
-        next(waits)
-    assert slept == [0.5, 0.5, 0.5]
+    client = fetch.Client(rate=2, burst=3, sleep=sleep, clock=lambda: now[0])
+    asked = []
+    for address, wait in client.in_turn([*["https://A.example/x"] * 5, "https://b.example/", None, *["https://a.example/y"] * 1]):
+        wait() if address else None
+        asked.append((address, now[0]))
+    assert slept == [0.5, 0.5, 0.5] and sorted(t for a, t in asked if a and "a.example" in a.lower()) == [0, 0, 0, 0.5, 1.0, 1.5]
+    assert dict(asked)["https://b.example/"] == 0 and dict(asked)[None] == 0  # others go on meanwhile
+
+
+def test_client_keeps_a_host_to_its_rate_across_windows(monkeypatch):
+    monkeypatch.setattr(fetch, "WINDOW", 2)
+    now, times = [0.0], []
+
+    def sleep(s):
+        now[0] += s
+
+    client = fetch.Client(rate=10, burst=2, sleep=sleep, clock=lambda: now[0])
+    for _, wait in client.in_turn(f"https://a.example/{k}" for k in range(50)):
+        wait()
+        times.append(now[0])
+    for k in range(len(times)):  # never more than burst + rate x time
+        assert sum(times[k] <= t <= times[k] + 1 + 1e-9 for t in times) <= 12
+    assert abs(times[-1] - 4.8) < 1e-6
+
+
+def test_client_pauses():
+    client = fetch.Client(chance=lambda: 0.5)
+    assert [client.pause(n, {}) for n in (1, 2, 5)] == [0.1, 0.2, 1.0] and client.pause(1, {"retry-After": " 3 "}) == 3.1
+    at = fetch.datetime(2024, 1, 1, tzinfo=fetch.timezone.utc)
+    assert [fetch.asked_seconds(v, at) for v in ("", "-1", "x", "0", "Mon, 01 Jan 2024 00:05:00 GMT", "Mon, 01 Jan 2024 00:10:00 GMT")] == [0, 0, 0, 0, 300, 0]
+
+
+def test_a_timeout_is_not_tried_again():
+    def late(u):
+        raise TimeoutError("slow")
+
+    assert fetch.one("https://a.example", late, fetch.Client(), lambda: None) == ("https://a.example", None, [], None, 1, "context deadline exceeded")
+
+
+def test_pages_source(spark, tmp_path):
+    rows = [(f"https://h{k % 7}.example.com/{'fr/' if k % 5 == 0 else ''}{k}{'#x' if k % 11 == 0 else ''}",) for k in range(200)] + [(None,), (" ",), ("https://blog.x.example/1",), ("https://h1.example.com/1",)]
+    datasource.plan(spark.createDataFrame(rows, "url string"), str(tmp_path / "a"), 4)
+    host = "lower(regexp_extract(url, '//([^/]*)', 1))"
+    at = spark.read.parquet(str(tmp_path / "a")).where("url is not null").selectExpr(f"{host} AS h", "bucket").distinct()
+    assert at.groupBy("h").count().where("count > 1").count() == 0 and at.select("bucket").distinct().count() > 1  # a host's addresses lie in one part
+    df = datasource.read(spark, str(tmp_path / "a"), "harvest.plans.crawls:Answers", rate=1e6, attempts=2, least_ms=0)
+    assert df.rdd.getNumPartitions() == len(list((tmp_path / "a").glob("bucket=*")))
+    got = df.collect()
+    assert len(got) == len(rows)
+    by = {r.url: r for r in got}
+    assert (by[None].error, by["https://blog.x.example/1"].error, by["https://blog.x.example/1"].attempts) == ("no address", "no route", 2)
+    assert all((r.status, r.error) == ((404, "http 404") if "#" in r.url else (200, None)) for r in got if r.url and "//h" in r.url)
+    assert sum(r.url == "https://h1.example.com/1" for r in got) == 2
+    datasource.plan(spark.createDataFrame([], "url string"), str(tmp_path / "b"), 4)
+    assert datasource.read(spark, str(tmp_path / "b"), "harvest.plans.crawls:Answers").collect() == []
+
+
+def test_fetch_brings_a_hosts_addresses_into_one_task(spark):
+    from pyspark import TaskContext
+
+    urls = spark.createDataFrame([(f"https://h{k % 5}.example/{k}",) for k in range(100)], "url string").repartition(8)
+    got = fetch.fetch(urls, lambda u: (200, {}, str(TaskContext.get().partitionId())), fetch.Client(rate=1e6)).collect()
+    assert len(got) == 100 and len({(r.url.split("/")[2], r.html) for r in got}) == 5
 
 
 def test_fetch_of_nothing_and_blank(spark):
