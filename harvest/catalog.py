@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from .plans import crawls, derived, extract, pipeline, scalars, store, streams, whole
+from .plans import crawls, derived, extract, live, pipeline, scalars, store, streams, whole
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -13,6 +13,6 @@ for _m in (store, scalars, streams, pipeline, extract):
     QUERIES |= _m.Q
     ORACLES |= _m.O
 CASES = {k: (QUERIES[k], ORACLES.get(k)) for k in derived.Q if k in QUERIES}
-for _m in (derived, whole, crawls):
+for _m in (derived, whole, crawls, live):
     QUERIES |= _m.Q
     ORACLES |= _m.O

@@ -10,6 +10,8 @@ from .text import strip
 
 # Types, statuses and words of errors that may pass.
 TYPES = ["Unknown", "Network", "Database", "Parsing", "Validation", "Timeout", "Configuration", "Resource"]
+#: What an error text says behind a limit.
+LIMITED = "429|rate limit|too many requests"
 RETRY_STATUS = [408, 429, 500, 502, 503, 504]
 RETRY_WORDS = "timeout|connection refused|connection reset|temporary failure"
 NO_CONTEXT = "cast(map() as map<string, string>)"
@@ -54,7 +56,7 @@ def retryable_text(s: Column) -> Column:
 
 
 def rate_limited(s: Column) -> Column:
-    return F.lower(s).rlike("429|rate limit|too many requests")
+    return F.lower(s).rlike(LIMITED)
 
 
 def timed_out(s: Column) -> Column:

@@ -16,11 +16,15 @@ Q: dict = {}
 O: dict[str, str] = {}
 
 
+def found(pages: DataFrame, rules: links.LinkRules) -> DataFrame:
+    """(page_id, pos, title, target, company) of all links of pages that lead to postings; for streams too."""
+    a = links.anchors(pages.select("page_id", "url", "html"))
+    return a.select("page_id", "pos", F.col("text").alias("title"), rules.decide(F.col("text"), F.col("href"), F.col("url")).alias("target"), url.host(F.col("url")).alias("company")).where("target is not null")
+
+
 def scan(pages: DataFrame, stored: DataFrame, rules: links.LinkRules) -> DataFrame:
     """New postings (target, title, company): what the store has goes before anything costly; the first of a target wins."""
-    a = links.anchors(pages.select("page_id", "url", "html"))
-    found = a.select("page_id", "pos", F.col("text").alias("title"), rules.decide(F.col("text"), F.col("href"), F.col("url")).alias("target"), url.host(F.col("url")).alias("company")).where("target is not null")
-    return R.first_by(R.having(found, stored.select("target").distinct(), "target", there=False), ["target"], ["page_id", "pos"]).select("target", "title", "company")
+    return R.first_by(R.having(found(pages, rules), stored.select("target").distinct(), "target", there=False), ["target"], ["page_id", "pos"]).select("target", "title", "company")
 
 
 def scan_pipeline(spark, d):
