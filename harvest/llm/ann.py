@@ -29,16 +29,19 @@ SAMPLE, ASIDE = 256, 8
 #: Of most of the sample's neighbours this share must be found.
 RECALL = 0.95
 NEIGHBOURS = 12
+#: Products that the driver holds at once while it fits (32 MB).
+SLICE = 1 << 22
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row by inner product (ties in any order)."""
     k = min(k, len(x) - 1)
     out = np.empty((len(x), k), np.int64)
-    for i in range(0, len(x), 1024):
-        s = x[i : i + 1024] @ x.T
+    step = max(1, SLICE // max(1, len(x)))
+    for i in range(0, len(x), step):
+        s = x[i : i + step] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out[i : i + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else 0
+        out[i : i + step] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else 0
     return out
 
 
@@ -140,11 +143,21 @@ def fit(base: DataFrame, dimension: int, rows: int, parts: int, k: int, recall:
     ranked = np.take_along_axis(p, order, axis=1)
     before = np.empty_like(p)  # what a query has seen before it comes to a partition
     np.put_along_axis(before, order, np.cumsum(ranked, axis=1) - ranked, axis=1)
-    near = np.argsort(-(kept @ x.T), axis=1, kind="stable")[:, :k]
+    near = nearest(kept, x, k)
     home = router.probabilities(x).argmax(axis=1)
     return router, float(np.quantile(np.take_along_axis(before, home[near], axis=1), recall)) + 1e-9
 
 
+def nearest(queries: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest rows of x of each query, in any order: slices of the products, so memory doesn't grow with the queries."""
+    k = min(k, len(x))
+    out, step = np.empty((len(queries), k), np.int64), max(1, SLICE // max(1, len(x)))
+    for i in range(0, len(queries), step):
+        s = queries[i : i + step] @ x.T
+        out[i : i + step] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(x) else np.arange(k)
+    return out
+
+
 def ann_search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL, parts: int | None = None, block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score double): the k found candidates of largest inner product of each query.
 

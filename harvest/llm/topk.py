@@ -76,7 +76,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20
 def _searched(base: DataFrame, dimension: int, n: int, k: int, scale: int, every: int, dtype, block: int | None, cores: int) -> DataFrame:
     """Partial lists (FOUND) of the vectors of one dimension."""
     weights = base.select("row", "vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("w"))
-    q_blocks = blocks_for(n // every, dimension, 1, block)
+    q_blocks = blocks_for(base.where(F.col("vec_id") % every == 0).count(), dimension, 1, block)
     blocks, spread = blocks_for(n, dimension, -(-2 * cores // q_blocks), block), F.xxhash64("row")
     queries = weights.where(F.col("vec_id") % every == 0).withColumn("_h_q", F.pmod(spread, F.lit(q_blocks)).cast("int"))
     queries = queries.withColumn("_h_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

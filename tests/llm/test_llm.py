@@ -17,6 +17,7 @@ public = pytest.importorskip("public_tokenizers")
 
 from harvest.llm import ann, langid, maxent_lm, ngram_join, packing, piece_lattice, quality, queries, span_ids, token_output, topk, url_filters  # noqa: E402
 from harvest.llm import common as llm_common  # noqa: E402
+from harvest.llm import vectors as llm_vectors  # noqa: E402
 from harvest.llm.common import chunks, one_hash, word_hashes  # noqa: E402
 from harvest.llm.components import components  # noqa: E402
 
@@ -93,7 +94,40 @@ def test_language_with_few_rows_keeps_them(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     asked = spark.createDataFrame([(1, "qxz zxq"), (2, "that cat")], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, model).collect()} == {1: "one", 2: "en"}
-    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=1).langs == ["en"]
+
+
+def _letters_of(k):
+    """Letters of an invented language: its own ten of a block."""
+    return [chr(0x4E00 + 10 * k + j) for j in range(10)]
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda k, n=30: "".join(rng.choices([*_letters_of(k), " "], k=n))
+    rows = [(10 * k + j, say(k), f"l{k:03d}") for k in range(300) for j in range(4 if k % 3 else 40 if k % 9 == 0 else 6)]
+    rows = [(i, t, g) for i, (_, t, g) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS g", "2 AS cells", "'x' AS score", "3 AS n")
+    asked = spark.createDataFrame([(k, say(k)) for k in range(300)] + [(1000, "".join(chr(0x3041 + j % 80) for j in range(60))), (1001, "".join(_letters_of(5)) * 20000)], "doc_id long, text string")
+    got = {}
+    for dense in (0, 1 << 30):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        model = langid.train(docs)
+        assert len(model.langs) == 300 and (model.grams[1].rows is None) == (dense == 0)
+        got[dense] = {r.doc_id: r for r in langid.identify(asked, model).collect()}
+    for k, r in got[0].items():
+        other = got[1 << 30][k]
+        assert (r.lang_pred, r.rejected) == (other.lang_pred, other.rejected) and abs(r.score - other.score) < 1e-4 and abs(r.entropy - other.entropy) < 1e-4
+    assert all(r.lang_pred == f"l{k:03d}" and not r.rejected for k, r in got[0].items() if k < 300)
+    assert got[0][1000].rejected  # letters that no language has
+    assert got[0][1001].lang_pred == "l005"
+    monkeypatch.setattr(langid, "DENSE", 0)
+    few = langid.train(docs, total=600)
+    assert len(few.langs) == 300 and sum(len(x.value) for x in few.grams.values()) < sum(len(x.value) for x in model.grams.values())
+
+
+def test_equal_texts_in_two_languages_go_to_the_first(spark):
+    docs = spark.createDataFrame([(i, "abc abd", g) for i, g in enumerate(["b", "a"] * 5)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()} == {"a"}
 
 
 def test_kneser_ney_by_brute_force():
@@ -577,3 +611,30 @@ def test_quality_on_labels_kept_from_it(spark):
 
 def test_names():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
+
+
+def test_topk_blocks_follow_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(llm_vectors, "CELL_BYTES", 64 * 8 * 10)
+    asked = []
+    real = topk.blocks_for
+    monkeypatch.setattr(topk, "blocks_for", lambda rows, *a: asked.append((rows, real(rows, *a))) or real(rows, *a))
+    rng = np.random.default_rng(1)
+    rows = [(20 * i, rng.integers(-3, 4, 64).astype(float).tolist()) for i in range(100)]  # every row is a query
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.exact_topk(df, k=3, scale=1).collect()}
+    assert asked[0] == (100, 10)  # 10 vectors a block
+    v = np.array([x for _, x in rows])
+    for i in range(100):
+        best = sorted((-int(v[i] @ v[j]), 20 * j) for j in range(100) if j != i)[:3]
+        assert [got[20 * i, k + 1] for k in range(3)] == [(j, -s) for s, j in best]
+
+
+def test_ann_nearest_in_slices(monkeypatch):
+    monkeypatch.setattr(ann, "SLICE", 100)
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(40, 8)), rng.normal(size=(9, 8))
+    assert (np.sort(ann.nearest(q, x, 5)) == np.sort(np.argsort(-(q @ x.T), axis=1)[:, :5])).all() and ann.nearest(q, x, 50).shape == (9, 40)
+    graph = ann.neighbour_graph(x, 3)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert (np.sort(graph) == np.sort(np.argsort(-s, axis=1)[:, :3])).all()
