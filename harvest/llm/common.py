@@ -125,15 +125,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
 
 
 def tree_sums(parts: DataFrame, n: int, kind, fan_in: int = 64) -> DataFrame:
-    """(part, block, value): the sums by block of arrays in ``value`` (binary), of parts 0 .. n - 1, at most ``fan_in`` at a time."""
+    """(part, block, value): the sums by block of arrays in ``value`` (binary), of parts 0 .. n - 1, at most ``fan_in`` at a time.
+
+    Parts are added in their order, so rounding doesn't depend on which comes first.
+    """
 
     def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("of")
         value = sum(np.frombuffer(x.as_buffer(), kind) for x in group.column("value"))
         return pa.table([group.column("part")[:1], group.column("block")[:1], pa.array([np.asarray(value, kind).tobytes()], pa.binary())], names=["part", "block", "value"])
 
     while True:
         n = -(-n // fan_in)
-        parts = parts.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part", "block").applyInArrow(add, "part long, block long, value binary")
+        parts = parts.withColumn("of", F.col("part")).withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part", "block").applyInArrow(add, "part long, block long, value binary")
         if n <= 1:
             return parts
 

@@ -8,8 +8,8 @@ trained. Their scores are the logarithm of the unigram share and hashed weights
 A rest leaf's word is a smoothed share of counts, so that without weights the model is the unigram model.
 
 Counts come from every training document. The weight tables grow with the number of distinct words, up to what a
-worker should hold. Weights are trained over all training documents, split into rounds: each task makes
-gradient steps from the common weights over its share, and changes are averaged by weight row, over the tasks that
+worker should hold. Weights are trained over all training documents, split into rounds and shards by hashes of the rows: a task makes
+gradient steps from the common weights over each of its shards, and changes are averaged by weight row, over the tasks that
 touched the row, in levels of bounded fan-in. Counts of the commonest words, in bounded number, are broadcast; all
 others meet by a shuffle join.
 """
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEPARATORS, Lookup, chunks, drop, key_crc32, mix, multipliers, table, tree_sums, whole_texts, word_hashes
+from .common import CHUNK_BYTES, LOWER, SEPARATORS, Lookup, chunks, drop, key_crc32, mix, multipliers, table, text_buffer, tree_sums, whole_texts, word_hashes
 
 CLASSES = 32
 #: Leaves of a class, the first of them for the rest.
@@ -37,8 +37,8 @@ ROUNDS = 3
 BATCH = 4096
 #: Words whose counts are broadcast (24 bytes each), at most.
 COMMON = 1 << 18
-#: Input partitions that one training task takes.
-SHARE = 4
+#: Tokens that one training task takes in a round, about.
+SHARD_TOKENS = 5_000_000
 _BLOCK = 256
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
@@ -227,31 +227,67 @@ def commonest(seen: DataFrame, most: int) -> pa.Table:
     return seen.where(scale >= bound).toArrow()
 
 
-def train(training: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
-    """Fit the weights on all training rows: each round takes another share of them."""
+def _pieces(batches, limit: int = CHUNK_BYTES):
+    """(shard, texts) of about ``limit`` bytes of rows in the order of shards: cut by what the rows hold, not by batches."""
+    held: list[pa.Array] = []
+    size, now = 0, None
+    for b in batches:
+        shard, offsets = b.column("shard").to_numpy(), text_buffer(b.column("text"))[1]
+        at = 0
+        while at < len(shard):
+            if held and shard[at] != now:
+                yield now, pa.concat_arrays(held)
+                held, size = [], 0
+            now = shard[at]
+            end = min(int(np.searchsorted(shard, now, "right")), max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit - size))))
+            held.append(b.column("text").slice(at, end - at))
+            size, at = size + int(offsets[end] - offsets[at]), end
+            if size >= limit:
+                yield now, pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield now, pa.concat_arrays(held)
+
+
+def train(training: DataFrame, model: Model, tokens_in_all: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> None:
+    """Fit the weights on all training rows: each round takes another share of them.
+
+    Rows are dealt to rounds and shards, and ordered in these, by hashes of id and text, and the number of shards follows the tokens, so
+    the weights don't depend on how the input is split, or over how many cores.
+    """
     sc = training.sparkSession.sparkContext
-    share = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds))
-    own = training.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("doc_id"), "text")
-    tasks = max(1, -(-own.rdd.getNumPartitions() // SHARE))
+    shards = max(1, math.ceil(tokens_in_all / (rounds * shard_tokens)))
+    own = training.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("spread", F.xxhash64("doc_id", "text", F.lit("shard"))).withColumn("shard", F.pmod("spread", F.lit(shards)))
+    own = own.withColumn("round", F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)))
     size = len(model.w)
     for turn in range(rounds):
         now = sc.broadcast(model)  # 23 MB at most
 
         def run(batches, now=now):
-            m = replace(now.value, w=now.value.w.copy())
-            past, touched = np.zeros(size, np.float32), np.zeros(size, np.float32)
-            for b in batches:
-                for _, _, data, offsets in chunks(b.column("text")):
+            m, past, touched, at = None, None, None, None
+
+            def blocks():
+                change = (m.w - now.value.w) * touched[:, None]
+                for k in np.flatnonzero(np.add.reduceat(touched, np.arange(0, size, _BLOCK))).tolist():
+                    rows = slice(k * _BLOCK, (k + 1) * _BLOCK)
+                    value = np.concatenate([change[rows].ravel(), touched[rows]])
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([k], pa.int64()), pa.array([value.tobytes()], pa.binary())], names=["part", "block", "value"])
+
+            for shard, texts in _pieces(batches):
+                if shard != at:
+                    if at is not None:
+                        yield from blocks()
+                    m, at = replace(now.value, w=now.value.w.copy()), int(shard)
+                    past, touched = np.zeros(size, np.float32), np.zeros(size, np.float32)
+                for _, _, data, offsets in chunks(texts, 1 << 62):
                     m.steps(*tokens(data, offsets), past, touched)
-            change = (m.w - now.value.w) * touched[:, None]
-            for k in np.flatnonzero(np.add.reduceat(touched, np.arange(0, size, _BLOCK))).tolist():
-                rows = slice(k * _BLOCK, (k + 1) * _BLOCK)
-                value = np.concatenate([change[rows].ravel(), touched[rows]])
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([k], pa.int64()), pa.array([value.tobytes()], pa.binary())], names=["part", "block", "value"])
-
-        parts = own.where(share == turn).select("text").coalesce(tasks).mapInArrow(run, "part long, block long, value binary")
-        summed = table(tree_sums(parts, tasks, np.float32))
-        got = summed.toArrow()
+            if at is not None:
+                yield from blocks()
+
+        dealt = own.where(F.col("round") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "spread", "doc_id", "text").select("shard", "text")
+        summed = table(tree_sums(dealt.mapInArrow(run, "part long, block long, value binary"), shards, np.float32))
+        got = summed.toArrow().sort_by("block")
         w = model.w.copy()
         for k, value in zip(got.column("block").to_pylist(), got.column("value").to_pylist(), strict=True):
             value = np.frombuffer(value, np.float32)
@@ -290,7 +326,7 @@ def fit(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame, pa
         words, often, groups = np.append(words, _END), np.append(often, ends), np.append(groups, 0)
         masses[0], kinds[0] = masses[0] + ends, kinds[0] + 1
     model = Model.start(words, often, groups, masses, kinds, distinct)
-    train(training, model, rounds)
+    train(training, model, total, rounds)
     return model, seen, common, {"tokens": total, "distinct": distinct, "ends": ends}
 
 

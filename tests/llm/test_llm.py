@@ -638,3 +638,30 @@ def test_ann_nearest_in_slices(monkeypatch):
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
     assert (np.sort(graph) == np.sort(np.argsort(-s, axis=1)[:, :3])).all()
+
+
+def test_lm_score_does_not_depend_on_the_split(docs, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(maxent_lm, "CHUNK_BYTES", 2000)
+    rows = docs.select("doc_id", "text")
+    train = maxent_lm.train
+    monkeypatch.setattr(maxent_lm, "train", lambda t, m, n, rounds: train(t, m, n, rounds, shard_tokens=400))
+    got = []
+    for parts in (1, 12):
+        done = maxent_lm.score(rows.repartition(parts)).collect()
+        got.append(sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in done))
+    assert len(got[0]) == len(got[1]) > 100
+    for a, b in zip(*got, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9) and a[3] == pytest.approx(b[3], rel=1e-6)
+    assert any(abs(s - b) > 0.1 for _, _, b, s in got[0])  # weights were trained
+
+
+def test_lm_pieces_are_cut_by_rows_alone():
+    texts = [("a" * (i % 7), i // 20) for i in range(100)]
+    whole = pa.table({"shard": [s for _, s in texts], "text": [t for t, _ in texts]})
+    want = None
+    for size in (1, 3, 17, 100):
+        got = [(int(s), t.to_pylist()) for s, t in maxent_lm._pieces(whole.to_batches(max_chunksize=size), limit=10)]
+        assert [(t, s) for s, ts in got for t in ts] == texts
+        assert want in (None, got)
+        want = got
