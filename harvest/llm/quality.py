@@ -4,10 +4,10 @@
 * Metadata view: source, language, size and layout (lines, their lengths, blanks) of the page.
 
 Both are logistic models. In each round each view scores every unlabelled document and labels those that it is sure of
-for the other view. These go to the other view's next fit as prototypes: the mean features of the documents of
-one label and one of BUCKETS hashes, summed over all partitions, so that every document counts and what meets on the
-driver doesn't grow. On labelled rows kept aside each view is calibrated and a logistic model combines the calibrated
-views. It scores every document.
+for the other view. The other view's next fit minimises the loss of the labelled rows and that of all these documents, which
+stands in it by their own gradients at the present weights and a bound of their curvature: sums of one number a feature over every
+pseudo-labelled row, added up by the tasks, so that each counts for itself and what meets on the driver doesn't grow. On
+labelled rows kept aside each view is calibrated and a logistic model combines the calibrated views. It scores every document.
 
 The labelled rows that fitting uses are a bounded sample, chosen by a hash of doc_id: about ``labelled``.
 """
@@ -22,15 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, drop, kept, mix, one_hash, table, tree_sums, whole_texts, word_hashes
+from .common import chunks, column_of, drop, kept, one_hash, table, tree_sums, whole_texts, word_hashes
 
 LABELLED = 4000
-ROUNDS = 3
-#: Prototypes of one label and view.
-BUCKETS = 16
-#: Probability that makes a view sure of a label.
-SURE = 0.95
-#: Weight of all prototypes of a label in the last round, in units of the labelled rows'.
+ROUNDS = 4
+#: A view is sure of a label from the margin on beyond which this share (one more counted as wrong) of the rows kept aside has it.
+SURE = 0.98
+#: Weight of all pseudo-labelled rows of a label in the last round, in units of the labelled rows'.
 TRUST = 1.0
 BINS = 2048
 _TEXT_STATS = 12
@@ -89,19 +87,38 @@ def meta_view(data: np.ndarray, offsets: np.ndarray, source: list, lang: list) -
     return out
 
 
+def sure_bounds(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Margins up to which a view is sure of label 0 and from which of label 1, by rows kept aside; infinite where there is none."""
+    out = []
+    for sign, label in ((1, 0), (-1, 1)):
+        order = np.argsort(sign * z, kind="stable")
+        right = np.cumsum(y[order] == label) / (np.arange(len(y)) + 2)
+        whole = np.append(z[order][1:] != z[order][:-1], True)[: len(y)]  # equal margins go together
+        good = np.flatnonzero((right >= SURE) & whole)
+        out.append(float(z[order[good[-1]]]) if len(good) else -sign * np.inf)
+    return out[0], out[1]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 250, ridge: float = 1e-4) -> np.ndarray:
-    """Weights and, last, the bias of a logistic model, by full-batch Adam; classes weigh the same."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 250, ridge: float = 1e-4, start: np.ndarray | None = None, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights and, last, the bias of a logistic model, by full-batch Adam; classes weigh the same.
+
+    ``more`` are other rows' share of the loss as (shares by class, gradient, curvature) at ``start``: a quadratic of the weights' way from there.
+    """
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.ones(len(y)) if weight is None else weight
+    share = more[0] if more is not None else np.zeros(2)
+    weight = np.zeros(len(y))
     for k in (0, 1):
-        weight = np.where(y == k, weight / max(weight[y == k].sum(), 1e-9), weight)
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        weight[y == k] = (1 - share[k]) / max((y == k).sum(), 1)
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
+    first, m, v = w.copy(), np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
         g = x.T @ ((_sigmoid(x @ w) - y) * weight).astype(x.dtype) + ridge * np.append(w[:-1], 0)
+        if more is not None:
+            g = g + more[1] + more[2] * (w - first)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -117,19 +134,19 @@ class QualityModel:
     joint: np.ndarray
 
     @classmethod
-    def fit(cls, text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, prototypes, rounds: int = ROUNDS) -> QualityModel:
-        """From labelled rows, of which ``aside`` marks those that only calibrate. ``prototypes`` takes the weights of both
-        views and gives, for each view, (mean features, labels, numbers of documents) of what the other one is sure of."""
+    def fit(cls, text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, sums, rounds: int = ROUNDS) -> QualityModel:
+        """From labelled rows, of which ``aside`` marks those that only calibrate and tell when a view is sure. ``sums`` takes the weights
+        and the sure bounds of both views and gives, for each view, (numbers, gradients, curvatures), by label, of the rows that the other one is sure of."""
         views, own = (text, meta), y[~aside]
         w = [fit_logistic(x[~aside], own) for x in views]
         for turn in range(rounds):
+            trust = TRUST * (turn + 1) / rounds
             fresh = []
-            for x, (means, labels, n) in zip(views, prototypes(w), strict=True):
-                weight = n.astype(float)
-                for label in (0, 1):
-                    of = labels == label
-                    weight[of] *= TRUST * (turn + 1) / rounds * (own == label).sum() / max(n[of].sum(), 1)
-                fresh.append(fit_logistic(np.vstack([x[~aside], means.astype(x.dtype)]), np.append(own, labels), np.append(np.ones(len(own)), weight)))
+            bounds = [sure_bounds(x[aside] @ v[:-1] + v[-1], y[aside]) for x, v in zip(views, w, strict=True)]
+            for x, now, (n, gradient, curvature) in zip(views, w, sums(w, bounds), strict=True):
+                share = np.where(n > 0, trust / (1 + trust), 0.0)
+                each = (share / np.maximum(n, 1))[:, None]
+                fresh.append(fit_logistic(x[~aside], own, start=now, more=(share, (each * gradient).sum(axis=0), (each * curvature).sum(axis=0))))
             w = fresh
         z = [x[aside] @ v[:-1] + v[-1] for x, v in zip(views, w, strict=True)]
         own = y[aside]
@@ -156,36 +173,36 @@ def _own(docs: DataFrame) -> DataFrame:
     return whole_texts(docs, *(F.col(c).cast("string").alias(c) for c in ("source", "lang") if c in docs.columns))
 
 
-def _prototypes(docs: DataFrame, w: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """What each view gets from the other, summed over all rows of docs; a document's bucket is a hash of its size."""
+def _sums(docs: DataFrame, w: list[np.ndarray], bounds: list[tuple[float, float]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each view (numbers, gradients, curvatures), by label, of all rows of docs that the other view is sure of.
+
+    A gradient is the sum of the rows' own at ``w``; a curvature is the sum of p (1 - p) |x_j| |x|_1, which bounds how fast it changes.
+    """
     w = [x.astype(np.float32) for x in w]
-    n_text, n_meta = len(w[0]) - 1, len(w[1]) - 1
 
     def run(batches):
-        sums = [np.zeros((2 * BUCKETS, n + 1)) for n in (n_text, n_meta)]
+        sums = [np.zeros((2, 1 + 2 * len(x))) for x in w]
         for b in batches:
-            for _, _, text, meta, size in _views(b):
+            for _, _, text, meta, _ in _views(b):
                 views = (text, meta)
+                z = [x @ v[:-1] + v[-1] for x, v in zip(views, w, strict=True)]
                 for k, other in ((0, 1), (1, 0)):
-                    p = _sigmoid(views[other] @ w[other][:-1] + w[other][-1])
-                    sure = np.flatnonzero((p >= SURE) | (p <= 1 - SURE))
-                    picks = np.zeros((2 * BUCKETS, len(sure)), np.float32)
-                    bucket = (mix(size[sure].astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-                    picks[(p[sure] >= SURE) * BUCKETS + bucket, np.arange(len(sure))] = 1
-                    sums[k][:, :-1] += picks @ views[k][sure]
-                    sums[k][:, -1] += picks.sum(axis=1)
+                    low, high = bounds[other]
+                    for label, sure in ((0, (z[other] <= low) & (z[other] < high)), (1, (z[other] >= high) & (z[other] > low))):
+                        x, q = views[k][sure], _sigmoid(z[k][sure])
+                        bend = q * (1 - q) * (np.abs(x).sum(axis=1) + 1)
+                        sums[k][label] += np.concatenate([[len(q)], (q - label) @ x, [(q - label).sum()], bend @ np.abs(x), [bend.sum()]])
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part, part]), pa.array([0, 1]), pa.array([x.astype(np.float32).tobytes() for x in sums], pa.binary())], names=["part", "block", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([part, part]), pa.array([0, 1]), pa.array([x.tobytes() for x in sums], pa.binary())], names=["part", "block", "value"])
 
     parts = _own(docs).mapInArrow(run, "part long, block long, value binary")
     summed = table(parts)
-    got = {r["block"]: np.frombuffer(r["value"], np.float32).reshape(2 * BUCKETS, -1).astype(float) for r in tree_sums(summed, summed.select(F.max("part")).first()[0] + 1, np.float32, 16).collect()} if not summed.isEmpty() else {}
+    got = {r["block"]: np.frombuffer(r["value"]).reshape(2, -1) for r in tree_sums(summed, summed.select(F.max("part")).first()[0] + 1, np.float64, 16).collect()} if not summed.isEmpty() else {}
     drop(summed)
     out = []
-    for k, n in ((0, n_text), (1, n_meta)):
-        x = got.get(k, np.zeros((2 * BUCKETS, n + 1)))
-        there = np.flatnonzero(x[:, -1])
-        out.append((x[there, :-1] / x[there, -1:], there // BUCKETS, x[there, -1]))
+    for k, n in enumerate(map(len, w)):
+        x = got.get(k, np.zeros((2, 1 + 2 * n)))
+        out.append((x[:, 0], x[:, 1 : n + 1], x[:, n + 1 :]))
     return out
 
 
@@ -217,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     text, meta = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(len(y), -1) for c in "tm")
     del got
     rest = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(sample.select("doc_id"), "doc_id", "left_anti")
-    return QualityModel.fit(text, meta, y, aside, lambda w: _prototypes(rest, w), rounds)
+    return QualityModel.fit(text, meta, y, aside, lambda w, bounds: _sums(rest, w, bounds), rounds)
 
 
 def classify(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:

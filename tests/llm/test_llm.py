@@ -586,21 +586,77 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, None).count() == 0 and quality.accepted(empty, model).count() == 0
 
 
-def test_quality_prototypes_count_every_document(spark):
+def test_quality_sums_count_every_document(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice(["SPAM!! " * 20, "some plain words of a text "]) * rng.randint(1, 3), rng.choice("ab"), "en") for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
     data = [quality.text_view(x, o) for _, _, x, o in chunks(pa.array([r[1] for r in rows]))][0]
     meta = [quality.meta_view(x, o, [r[2] for r in rows], ["en"] * len(rows)) for _, _, x, o in chunks(pa.array([r[1] for r in rows]))][0]
     noise = np.random.default_rng(3)
-    w = [noise.normal(size=v.shape[1] + 1) * 3 for v in (data, meta)]
-    for k, (means, labels, n) in enumerate(quality._prototypes(d, w)):
-        other, own = ((meta, w[1]), data) if k == 0 else ((data, w[0]), meta)
-        p = 1 / (1 + np.exp(-np.clip(other[0] @ other[1][:-1].astype(np.float32) + other[1][-1], -30, 30)))
-        for label, sure in ((1, p >= quality.SURE), (0, p <= 1 - quality.SURE)):
-            assert n[labels == label].sum() == sure.sum()
-            if sure.any():
-                assert np.allclose((means * n[:, None])[labels == label].sum(axis=0), own[sure].sum(axis=0), rtol=1e-3, atol=1e-3)
+    w = [noise.normal(size=v.shape[1] + 1) for v in (data, meta)]
+    for x, v in zip((data, meta), w, strict=True):  # both labels are sure of some
+        z = x @ v[:-1]
+        v *= 6 / z.std()
+        v[-1] = -6 * z.mean() / z.std()
+    z = [x @ v[:-1] + v[-1] for x, v in zip((data, meta), w, strict=True)]
+    p = [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in z]
+    for k, (n, gradient, curvature) in enumerate(quality._sums(d, w, [(-1.0, 2.0)] * 2)):
+        x = np.hstack([(data, meta)[k], np.ones((300, 1))])
+        for label, sure in ((1, z[1 - k] >= 2), (0, z[1 - k] <= -1)):
+            q, own = p[k][sure], x[sure]
+            assert n[label] == sure.sum() > 0
+            assert np.allclose(gradient[label], sum(((a - label) * r for a, r in zip(q, own, strict=True)), np.zeros(x.shape[1])), rtol=1e-3, atol=2e-3)
+            assert np.allclose(curvature[label], sum((a * (1 - a) * r * r.sum() for a, r in zip(q, own, strict=True)), np.zeros(x.shape[1])), rtol=1e-2, atol=2e-3)
+            # the bound holds: along any direction the loss bends less
+            hessian = (own * (q * (1 - q))[:, None]).T @ own
+            for direction in noise.normal(size=(5, x.shape[1])):
+                assert direction @ hessian @ direction <= (curvature[label] * direction**2).sum() * 1.01 + 1e-6
+
+
+def test_sure_bounds():
+    z = np.array([-3.0, -2, -1, 0, 1, 2, 3])
+    few = quality.sure_bounds(z, np.array([0, 0, 0, 1, 0, 1, 1]))
+    assert few == (-np.inf, np.inf)  # too few rows to be sure by
+    many = quality.sure_bounds(np.repeat(z, 100), np.repeat([0, 0, 0, 1, 0, 1, 1], 100))
+    assert many == (-1.0, 2.0) and quality.sure_bounds(np.zeros(0), np.zeros(0)) == (-np.inf, np.inf)
+
+
+def test_quality_whole_by_brute_force(spark, monkeypatch):
+    """All of co-training on a small table: the fit with sums over each unlabelled row one by one, then the combination."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["Buy!! $$ now " * 9, "a plain line of words here. " * 4]) + str(i), rng.choice("ab"), "en") for i in range(160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int("plain" in t)) for i, t, _, _ in rows[:90]], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SURE", 0.8)  # few rows are kept aside
+    model = quality.train(d, labels, labelled=1 << 40)
+    column = pa.array([r[1] for r in rows])
+    text = np.vstack([quality.text_view(x, o) for _, _, x, o in chunks(column)])
+    meta = np.vstack([quality.meta_view(x, o, [r[2] for r in rows], ["en"] * len(rows)) for _, _, x, o in chunks(column)])
+    aside = np.array([r[0] for r in spark.range(90).select(F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(3)) == 0).collect()])
+    y = np.array([int("plain" in r[1]) for r in rows[:90]])
+
+    used = []
+
+    def sums(w, bounds):
+        out = []
+        used.append(bounds)
+        for k, views in ((0, (text, meta)), (1, (meta, text))):
+            own, other = (np.hstack([v[90:], np.ones((70, 1))]) for v in views)
+            n, g, c = np.zeros(2), np.zeros((2, own.shape[1])), np.zeros((2, own.shape[1]))
+            for x, z in zip(own, other, strict=True):
+                p, at = 1 / (1 + math.exp(-max(-30, min(30, x @ w[k])))), z @ w[1 - k]
+                low, high = bounds[1 - k]
+                if at >= high or at <= low:
+                    label = int(at >= high)
+                    n[label], g[label], c[label] = n[label] + 1, g[label] + (p - label) * x, c[label] + p * (1 - p) * x * x.sum()
+            out.append((n, g, c))
+        return out
+
+    want = quality.QualityModel.fit(text[:90], meta[:90], y, aside, sums)
+    assert len(used) == quality.ROUNDS and all(np.isfinite(b).all() for b in np.array(used)[:, 0])
+    got = {r.doc_id: (r.text_score, r.meta_score, r.score) for r in quality.classify(d, model).collect()}
+    for i, *each in zip(range(160), *want.scores(text, meta), strict=True):
+        assert got[i] == pytest.approx(each, abs=0.02)
 
 
 def test_quality_on_labels_kept_from_it(spark):
