@@ -285,7 +285,7 @@ def train(training: DataFrame, model: Model, tokens_in_all: int, rounds: int = R
             if at is not None:
                 yield from blocks()
 
-        dealt = own.where(F.col("round") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "spread", "doc_id", "text").select("shard", "text")
+        dealt = own.where(F.col("round") == turn).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "spread", "doc_id", "text").select("shard", "text")
         summed = table(tree_sums(dealt.mapInArrow(run, "part long, block long, value binary"), shards, np.float32))
         got = summed.toArrow().sort_by("block")
         w = model.w.copy()
