@@ -182,10 +182,10 @@ def text_title(slug: Column) -> Column:
     return title_case(strip(F.translate(slug, "-_", "  ")))
 
 
-def with_item(u: Column, slug: Column) -> Column:
-    """An address of its own for one of several postings on a page: a parameter ``_jf`` and the fragment."""
-    parts = F.filter(F.split(query(u), "&"), lambda p: (p != "") & (F.split(p, "=")[0] != "_jf"))
-    kept = F.array_join(F.array_sort(F.concat(parts, F.array(F.concat(F.lit("_jf="), slug)))), "&")
+def with_item(u: Column, slug: Column, parameter: str = "_item") -> Column:
+    """An address of its own for one of several postings on a page: a parameter and the fragment."""
+    parts = F.filter(F.split(query(u), "&"), lambda p: (p != "") & (F.split(p, "=")[0] != parameter))
+    kept = F.array_join(F.array_sort(F.concat(parts, F.array(F.concat(F.lit(f"{parameter}="), slug)))), "&")
     return F.concat(F.regexp_replace(u, r"[?#].*$", ""), F.lit("?"), kept, F.lit("#"), slug)
 
 

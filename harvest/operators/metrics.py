@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .relational import ratio
 
@@ -17,11 +18,11 @@ COUNTERS = [
 ]
 TIMERS = {"http": "http_request_duration_ms", "scraping": "scraping_duration_ms", "db": "db_query_duration_ms"}
 SERIES = {
-    "http_requests_total": "jf_http_requests_total", "http_errors_total": "jf_http_errors_total", "http_request_duration_ms": "jf_http_request_duration_ms_total",
-    "jobs_scraped_total": "jf_jobs_scraped_total", "jobs_processed_total": "jf_jobs_processed_total", "scraping_duration_ms": "jf_jobs_scraping_duration_ms_total",
-    "db_queries_total": "jf_db_queries_total", "db_errors_total": "jf_db_errors_total", "db_query_duration_ms": "jf_db_query_duration_ms_total",
-    "memory_allocated_bytes": "jf_memory_allocated_bytes_total", "memory_freed_bytes": "jf_memory_freed_bytes_total", "object_pool_hits": "jf_objectpool_hits_total", "object_pool_misses": "jf_objectpool_misses_total",
-    "cache_hits": "jf_cache_hits_total", "cache_misses": "jf_cache_misses_total", "panics_recovered": "jf_runtime_panics_recovered_total", "uptime_seconds": "jf_process_uptime_seconds",
+    "http_requests_total": "http_requests_total", "http_errors_total": "http_errors_total", "http_request_duration_ms": "http_request_duration_ms_total",
+    "jobs_scraped_total": "jobs_scraped_total", "jobs_processed_total": "jobs_processed_total", "scraping_duration_ms": "jobs_scraping_duration_ms_total",
+    "db_queries_total": "db_queries_total", "db_errors_total": "db_errors_total", "db_query_duration_ms": "db_query_duration_ms_total",
+    "memory_allocated_bytes": "memory_allocated_bytes_total", "memory_freed_bytes": "memory_freed_bytes_total", "object_pool_hits": "objectpool_hits_total", "object_pool_misses": "objectpool_misses_total",
+    "cache_hits": "cache_hits_total", "cache_misses": "cache_misses_total", "panics_recovered": "runtime_panics_recovered_total", "uptime_seconds": "process_uptime_seconds",
 }
 
 
@@ -53,19 +54,33 @@ def snapshot(events: DataFrame, uptime: Column) -> DataFrame:
     )
 
 
-def exposition(snap: DataFrame) -> DataFrame:
-    """(series, kind, value) of the seventeen series; uptime is a gauge, all others are counters."""
+def exposition(snap: DataFrame, prefix: str = "app_") -> DataFrame:
+    """(series, kind, value) of the seventeen series, their names after a prefix; uptime is a gauge, all others are counters."""
     names = list(SERIES)
     long = snap.select(*(F.col(n).cast("double").alias(n) for n in names)).unpivot([], names, "name", "value")
-    series = F.create_map(*[F.lit(x) for pair in SERIES.items() for x in pair])
+    series = F.create_map(*[F.lit(x) for name, series in SERIES.items() for x in (name, prefix + series)])
     return long.select(series[F.col("name")].alias("series"), F.when(F.col("name") == "uptime_seconds", "gauge").otherwise("counter").alias("kind"), "value")
 
 
-def rates(samples: DataFrame, seconds: int = 300) -> DataFrame:
-    """(name, bucket, rate) of counters (name, at, value): by bucket of time, what the counter gained since the last
-    sample of the bucket before, per second. Samples meet by bucket, so that a counter's whole log is no one task."""
-    bucket = (F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / seconds) * seconds).alias("bucket")
-    last = samples.groupBy("name", bucket).agg(F.max_by("value", "at").alias("last"), F.min_by("value", "at").alias("first"))
-    before = last.select("name", (F.col("bucket") + seconds).alias("bucket"), F.col("last").alias("before"))
-    got = last.join(before, ["name", "bucket"], "left")
-    return got.select("name", "bucket", ((F.col("last") - F.coalesce("before", "first")) / F.lit(float(seconds))).alias("rate"))
+def rates(samples: DataFrame, seconds: int = 300, stretches: int = 20) -> DataFrame:
+    """(name, bucket, rate) of counters (name, at, value): by bucket of time, what the counter gained since the last sample of
+    the bucket before (or its own first, where that has none), per second.
+
+    A value below the one before it means that the counter began again at 0, so all of it is gain. Samples of one time are
+    taken by value. Gains are added up in two levels, within short stretches of time and then over the stretches of a bucket, which
+    a step from one's last sample to the next one's first joins, so that no task holds a counter's whole log or bucket.
+    """
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    own = samples.where("at is not null and value is not null").select("name", "value", micros.alias("_t"))
+    own = own.withColumn("bucket", F.floor(F.col("_t") / (seconds * 1_000_000)) * seconds).withColumn("_s", F.floor(F.col("_t") * stretches / (seconds * 1_000_000)))
+    gain = lambda now, before: F.when(before.isNull(), 0).when(now >= before, now - before).otherwise(now)
+    within = Window.partitionBy("name", "bucket", "_s").orderBy("_t", "value")
+    steps = own.withColumn("_gain", gain(F.col("value"), F.lag("value").over(within)))
+    order = F.struct("_t", "value")
+    parts = steps.groupBy("name", "bucket", "_s").agg(F.sum("_gain").alias("_gain"), F.min(order)["value"].alias("first"), F.max(order)["value"].alias("last"))
+    across = Window.partitionBy("name", "bucket").orderBy("_s")
+    parts = parts.withColumn("_gain", F.col("_gain") + gain(F.col("first"), F.lag("last").over(across)))
+    whole = parts.groupBy("name", "bucket").agg(F.sum("_gain").alias("_gain"), F.min_by("first", "_s").alias("first"), F.max_by("last", "_s").alias("last"))
+    before = whole.select("name", (F.col("bucket") + seconds).alias("bucket"), F.col("last").alias("before"))
+    got = whole.join(before, ["name", "bucket"], "left")
+    return got.select("name", "bucket", ((F.col("_gain") + gain(F.col("first"), F.col("before"))) / F.lit(float(seconds))).alias("rate"))

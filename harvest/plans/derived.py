@@ -361,7 +361,7 @@ def bullets_by_heading(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(html.bullets()(h), " • ").alias("bullets"))
 
 
-@query("SELECT 'https://s.example/' || p_partkey || '?_jf=' || lower(p_brand_) || '&a=1#' || lower(p_brand_) AS url, p_name AS title, p_type AS description FROM (SELECT *, replace(p_name, ' ', '-') AS p_brand_ FROM part)")
+@query("SELECT 'https://s.example/' || p_partkey || '?_item=' || lower(p_brand_) || '&a=1#' || lower(p_brand_) AS url, p_name AS title, p_type AS description FROM (SELECT *, replace(p_name, ' ', '-') AS p_brand_ FROM part)")
 def site_blocks(spark, d):
     block = '<div class="job_pos_div_f"><h2 class="open_pos_title sub_pos">{}</h2>{}</div>'
     h = say(block.format("{p_name}", _POINTS.format("responsibilities", "<div>{p_type}</div>")) + block.format("", ""))

@@ -101,7 +101,7 @@ def site_sections(spark, d):
     return df.select(F.col("n").cast("int"), "site", picked.alias("bullets"))
 
 
-@query(rows("url, title, description", [("https://s.example/careers?_jf=data-engineer&a=1#data-engineer", "Data Engineer", "Ship it"), ("https://s.example/careers?_jf=qa-and-test&a=1#qa-and-test", "QA & Test", "")]))
+@query(rows("url, title, description", [("https://s.example/careers?_item=data-engineer&a=1#data-engineer", "Data Engineer", "Ship it"), ("https://s.example/careers?_item=qa-and-test&a=1#qa-and-test", "QA & Test", "")]))
 def site_blocks(spark, d):
     block = '<div class="job_pos_div_f"><h2 class="open_pos_title sub_pos">{}</h2>{}</div>'
     page = block.format("Data  Engineer", _POINTS.format("responsibilities", "<div>Ship it</div>")) + block.format("QA &amp; Test", "") + block.format("", "")

@@ -225,15 +225,20 @@ def metrics_snapshot(spark, d):
     return _snap(spark, d)
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS series, '{'gauge' if c == 'uptime_seconds' else 'counter'}' AS kind, CAST({c} AS DOUBLE) AS value FROM {_SNAP}" for c, s in M.SERIES.items()) + ")")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'app_{s}' AS series, '{'gauge' if c == 'uptime_seconds' else 'counter'}' AS kind, CAST({c} AS DOUBLE) AS value FROM {_SNAP}" for c, s in M.SERIES.items()) + ")")
 def metrics_long(spark, d):
     return M.exposition(_snap(spark, d))
 
 
-@query("""WITH b AS (SELECT event_type AS name, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS bucket, max_by(c, event_id) AS last, min_by(c, event_id) AS first FROM (SELECT *, event_id * 2 AS c FROM events) GROUP BY ALL)
-SELECT b.name, b.bucket, (b.last - coalesce(p.last, b.first)) / 300.0::DOUBLE AS rate FROM b LEFT JOIN b p ON p.name = b.name AND p.bucket = b.bucket - 300""")
+#: A counter that starts again after every 50 events.
+_COUNTER = "event_id % 50 * 2 + 2"
+
+
+@query(f"""WITH c AS (SELECT event_type AS name, ts, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS bucket, {_COUNTER} AS v FROM events),
+s AS (SELECT *, lag(v) OVER w AS before, lag(bucket) OVER w AS since FROM c WINDOW w AS (PARTITION BY name ORDER BY ts, v))
+SELECT name, bucket, CAST(sum(CASE WHEN since IS NULL OR since < bucket - 300 THEN 0 WHEN v >= before THEN v - before ELSE v END) AS DOUBLE) / 300.0::DOUBLE AS rate FROM s GROUP BY name, bucket""")
 def counter_rates(spark, d):
-    samples = table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("ts").alias("at"), (F.col("event_id") * 2).alias("value"))
+    samples = table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("ts").alias("at"), F.expr(_COUNTER).alias("value"))
     return M.rates(samples)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import random
 
 import pytest
@@ -117,3 +119,25 @@ def test_selectors():
     assert texts("li[data-k^=v], p") == ["1", "q", "23"]
     assert texts("div li") == ["q", "r"]
     assert html.closest(html.select(root, "li")[0], "div").attrs["class"] == "a b"
+
+
+def test_rates_carry_over_resets(spark):
+    import random
+
+    from harvest.operators import metrics as M
+
+    rng, rows, want = random.Random(5), [], {}
+    for name in "ab":
+        at, value, last = 0.0, 0, None
+        for _ in range(400):
+            at += rng.choice([0.2, 3, 40, 200, 900])
+            value = rng.randint(0, 5) if rng.random() < 0.1 else value + rng.randint(0, 9)
+            rows.append((name, datetime.datetime.fromtimestamp(1_700_000_000 + at, datetime.timezone.utc), value))
+            bucket = int((1_700_000_000 + at) // 300 * 300)
+            gain = 0 if last is None or last[1] < bucket - 300 else value - last[0] if value >= last[0] else value
+            want[name, bucket] = want.get((name, bucket), 0) + gain
+            last = value, bucket
+    df = spark.createDataFrame([*rows, ("a", None, 3), ("c", rows[0][1], None)], "name string, at timestamp, value long")
+    for stretches in (1, 7, 20):
+        got = {(r["name"], r["bucket"]): r["rate"] for r in M.rates(df, stretches=stretches).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v / 300) < 1e-9 for k, v in want.items())
