@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-
 import random
 
 import pytest
@@ -122,8 +121,6 @@ def test_selectors():
 
 
 def test_rates_carry_over_resets(spark):
-    import random
-
     from harvest.operators import metrics as M
 
     rng, rows, want = random.Random(5), [], {}
