@@ -1,10 +1,10 @@
-"""Selector-based extraction from HTML by an Arrow-batched map over the standard parser, and what regular expressions can't do."""
+"""Selector-based extraction from HTML by an Arrow-batched map over a tree of one linear pass, and what regular expressions can't do."""
 
 from __future__ import annotations
 
 import html as _html
 import re
-from html.parser import HTMLParser
+from functools import lru_cache
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -15,100 +15,172 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag", "text")
+    """An element: its place among its page's elements and texts (``i`` and ``p``, those inside up to ``end`` and ``q``), parsed attributes on demand."""
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.text = tag, attrs, parent, [], ""
+    __slots__ = ("_attrs", "children", "end", "i", "p", "page", "parent", "q", "raw", "tag", "text")
+
+    def __init__(self, tag: str, raw: str, parent: Node | None, page: Page):
+        self.tag, self.raw, self.parent, self.page, self.children, self.text, self._attrs = tag, raw, parent, page, [], "", None
+        self.i, self.p = len(page.nodes), len(page.texts)
+        self.end = self.q = None
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        """Values by lower-cased name, entities decoded; of two of one name the first."""
+        if self._attrs is None:
+            self._attrs = {}
+            for name, value in _ATTRIBUTE.findall(self.raw):
+                value = value[1:-1] if value[:1] in "\"'" and value[-1:] == value[:1] and len(value) > 1 else value.lstrip("\"'")
+                self._attrs.setdefault(name.lower(), _html.unescape(value) if "&" in value else value)
+        return self._attrs
 
     def all_text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.all_text() for c in self.children)
+        return "".join(self.page.texts[self.p : self.q])
 
     def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """The elements inside, in document order."""
+        return iter(self.page.nodes[self.i + 1 : self.end])
+
 
+class Page:
+    """All elements (the root first) and texts of a page in document order, and its elements by tag."""
+
+    __slots__ = ("by_tag", "nodes", "texts")
 
-class _Builder(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        if self.at.tag in ("script", "style"):
-            self.at.text += data
-        else:
-            self.at.children.append(data)
+        self.nodes: list[Node] = []
+        self.texts: list[str] = []
+        self.by_tag: dict[str, list[Node]] = {}
+
+
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?""")
+#: A comment, a declaration, or a tag; what is left open runs to the end of the page. Every alternative takes what it begins, so a page is
+#: read in time linear in its length.
+_TOKEN = re.compile(r"""<!--(?:.*?(?:-->|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
+_RAW = {t: re.compile(rf"</{t}[\s/>]|\Z", re.I) for t in ("script", "style")}
 
 
 def parse(page: str | None) -> Node:
-    b = _Builder()
-    b.feed(page or "")
-    b.close()
-    return b.root
+    """The tree of a page of any markup, by one pass over its tokens; an end tag closes all up to its element, or nothing."""
+    out, s, at = Page(), page or "", 0
+    root = here = Node("", "", None, out)
+    out.nodes.append(root)
+    opened: dict[str, int] = {}
+
+    def said(text: str) -> None:
+        if text:
+            text = _html.unescape(text) if "&" in text else text
+            here.children.append(text)
+            out.texts.append(text)
+
+    while at < len(s):
+        m = _TOKEN.search(s, at)
+        said(s[at : m.start()] if m else s[at:])
+        if not m:
+            break
+        at = m.end()
+        name = (m[2] or "").lower()
+        if not name:
+            continue
+        if m[1]:
+            if opened.get(name):
+                while True:
+                    here.end, here.q, closed = len(out.nodes), len(out.texts), here.tag
+                    opened[closed] -= 1
+                    here = here.parent
+                    if closed == name:
+                        break
+            continue
+        node = Node(name, m[3], here, out)
+        here.children.append(node)
+        out.nodes.append(node)
+        out.by_tag.setdefault(name, []).append(node)
+        if name in _RAW:
+            end = _RAW[name].search(s, at)
+            node.text, at = s[at : end.start()], end.start()
+        if name in _VOID or m[3].endswith("/"):
+            node.end, node.q = len(out.nodes), len(out.texts)
+        else:
+            here = node
+            opened[name] = opened.get(name, 0) + 1
+    while here is not None:
+        here.end, here.q, here = len(out.nodes), len(out.texts), here.parent
+    return root
 
 
 _SIMPLE = re.compile(r"([a-z0-9*]*)((?:[.#][\w-]+|\[[^\]]+\])*)$", re.I)
+_TESTS = {"": lambda have, value: True, "=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": str.endswith}
 
 
-def _matches(node: Node, simple: str) -> bool:
+@lru_cache(maxsize=1024)
+def _compiled(simple: str) -> tuple[str, tuple, tuple]:
+    """(tag or '', classes, (attribute, test, value)) of a selector without blanks."""
     m = _SIMPLE.match(simple)
     if not m:
         raise ValueError(f"selector {simple!r}")
-    if m[1] and m[1] != "*" and node.tag != m[1].lower():
-        return False
+    classes, tests = [], []
     for part in re.findall(r"[.#][\w-]+|\[[^\]]+\]", m[2]):
         if part[0] == ".":
-            if part[1:] not in node.attrs.get("class", "").split():
-                return False
+            classes.append(part[1:])
         elif part[0] == "#":
-            if node.attrs.get("id") != part[1:]:
-                return False
+            tests.append(("id", _TESTS["="], part[1:]))
         else:
             name, op, value = re.match(r"\[([\w-]+)(?:([*^$]?=)['\"]?([^'\"\]]*)['\"]?)?\]", part).groups()
-            have = node.attrs.get(name)
-            if have is None or op == "=" and have != value or op == "*=" and value not in have or op == "^=" and not have.startswith(value) or op == "$=" and not have.endswith(value):
-                return False
-    return True
+            tests.append((name.lower(), _TESTS[op or ""], value or ""))
+    return "" if m[1] == "*" else m[1].lower(), tuple(classes), tuple(tests)
+
+
+@lru_cache(maxsize=1024)
+def _parts(selector: str) -> tuple[tuple[str, ...], ...]:
+    return tuple(tuple(s.replace(">", " > ").split()) for s in selector.split(","))
 
 
-def _holds(node: Node, parts: list[str]) -> bool:
+def _matches(node: Node, simple: str) -> bool:
+    tag, classes, tests = _compiled(simple)
+    if tag and node.tag != tag:
+        return False
+    if (classes or tests) and not node.raw:
+        return False
+    if classes and not set(classes) <= set(node.attrs.get("class", "").split()):
+        return False
+    return all((have := node.attrs.get(name)) is not None and test(have, value) for name, test, value in tests)
+
+
+def _holds(node: Node, parts: tuple[str, ...], seen: dict) -> bool:
+    """Whether a node fits a selector; ``seen`` keeps for elements whether they or what is around them fit its first parts."""
     if not _matches(node, parts[-1]):
         return False
     rest = parts[:-1]
     if not rest:
         return True
     if rest[-1] == ">":
-        return node.parent is not None and bool(node.parent.tag) and _holds(node.parent, rest[:-1])
-    up = node.parent
+        return node.parent is not None and bool(node.parent.tag) and _holds(node.parent, rest[:-1], seen)
+    up, passed, fits = node.parent, [], False
     while up is not None and up.tag:
-        if _holds(up, rest):
-            return True
+        key = (up.i, rest)
+        if key in seen:
+            fits = seen[key]
+            break
+        passed.append(key)
+        if fits := _holds(up, rest, seen):
+            break
         up = up.parent
-    return False
+    seen.update(dict.fromkeys(passed, fits))
+    return fits
 
 
 def select(root: Node, selector: str) -> list[Node]:
     """Nodes in document order: tags, classes, ids, attributes (=, *=, ^=, $=), descendants, children, comma lists."""
-    wanted = [s.replace(">", " > ").split() for s in selector.split(",")]
-    return [n for n in root.walk() if any(_holds(n, w) for w in wanted)]
+    wanted = _parts(selector)
+    tags = {_compiled(w[-1])[0] for w in wanted}
+    if "" in tags:
+        some = root.walk()
+    elif len(tags) == 1:
+        some = root.page.by_tag.get(*tags, ())
+    else:
+        some = sorted((n for t in tags for n in root.page.by_tag.get(t, ())), key=lambda n: n.i)
+    seen: dict = {}
+    return [n for n in some if root.i < n.i < root.end and any(_holds(n, w, seen) for w in wanted)]
 
 
 def closest(node: Node | None, simple: str) -> Node | None:
@@ -170,11 +242,11 @@ def page_details(pages: pd.Series) -> pd.DataFrame:
     for page in pages:
         root = parse(page)
         first = lambda sel: next((compact(n.all_text()) for n in select(root, sel)), "")  # noqa: E731, B023
-        title = first("h1" if select(root, "h1") else "title")
+        title = first("h1" if "h1" in root.page.by_tag else "title")
         description = next((t for sel in DESCRIPTIONS if len((t := first(sel)).encode()) > 100), "")
         location = next((t for sel in LOCATIONS if (t := first(sel))), "")
         whole = root.all_text()
-        email = next(iter(re.findall(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", whole)), "")
+        email = next(iter(re.findall(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", whole)), "") if "@" in whole else ""
         phone = re.search(r"[\+]?[0-9]{1,4}[\s\-\.]?[0-9]{1,4}[\s\-\.]?[0-9]{1,9}", whole, re.A)
         date = ""
         for sel in DATES:

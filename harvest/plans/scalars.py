@@ -205,7 +205,21 @@ def page_title(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.contains("html", F.lit("<h1>")).alias("has_heading"))
 
 
-@query()
+def _decoded(x: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+_SAID = _decoded("regexp_replace({}, '<[^>]*>', '', 'g')")
+_SPACED = "trim(regexp_replace({}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
+x AS (SELECT page_id, {_SAID.format("h")} AS whole, {_SPACED.format(_SAID.format("regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1)"))} AS head, {_SPACED.format(_SAID.format("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)"))} AS named,
+  {_SPACED.format(_SAID.format("regexp_extract(h, '(?s)<article>(.*?)</article>', 1)"))} AS body, contains(h, '<h1>') AS has FROM t)
+SELECT page_id, CASE WHEN has THEN head ELSE named END AS title, CASE WHEN strlen(body) > 100 THEN body ELSE '' END AS description, '' AS location,
+  regexp_extract(whole, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}}') AS email, trim(regexp_extract(whole, '[+]?[0-9]{{1,4}}[\\s\\-.]?[0-9]{{1,4}}[\\s\\-.]?[0-9]{{1,9}}')) AS phone, '' AS date FROM x""")
 def page_details(spark, d):
     return table(spark, d, "pages").select("page_id", html.page_details("html").alias("x")).select("page_id", "x.*")
 
