@@ -105,9 +105,12 @@ def page(jobs: DataFrame, companies: DataFrame, queue: DataFrame, query: JobQuer
     return rows.join(queue.select(F.col("job_id").alias("id"), "retry_after"), "id", "left")
 
 
-def overlay(df: DataFrame, details: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Fetched values take the place of a row's own where they aren't empty."""
+def overlay(df: DataFrame, details: DataFrame, key: str, columns: list[str], need: str | None = None) -> DataFrame:
+    """Fetched values take the place of a row's own where they aren't empty; a row that has none of ``need`` then goes."""
     d = details.select(key, *(F.col(c).alias(f"_d_{c}") for c in columns))
+    if need is not None:
+        laid = overlay(df, details, key, columns)
+        return laid.where(F.trim(F.col(need).cast("string")) != "")
     return df.join(d, key, "left").select(*(F.coalesce(F.nullif(F.col(f"_d_{c}"), F.lit("")), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
@@ -319,6 +322,21 @@ def choose_profile(title: Column, profiles: list[tuple[str, list[str], str]], de
     return F.struct(F.when(blank, "default").otherwise(best["name"]).alias("name"), F.when(blank, default).otherwise(best["path"]).alias("path"), best["score"].alias("score"))
 
 
+def outbox(jobs: DataFrame, body: Column, applicant: str, profiles: list[tuple[str, list[str], str]], default: str, files: DataFrame) -> DataFrame:
+    """(job_id, recipient, subject, body, resume, profile, attachment, preview, error) of the mail that applies for each job; nothing is sent.
+
+    jobs: job_id, title, recipient. The résumé is that of the profile chosen by title; it is attached when it is a PDF among ``files`` (path), the
+    folder's listing. A job whose company has no address is an error and has no mail; ``preview`` are the body's first 400 characters.
+    """
+    own = jobs.select("job_id", F.trim("recipient").alias("recipient"), "title", choose_profile(F.col("title"), profiles, default).alias("_c"), body.alias("body"))
+    there = files.select(F.col("path").alias("_path")).where(F.lower("_path").endswith(".pdf")).distinct()
+    own = own.join(there, F.col("_c.path") == F.col("_path"), "left")
+    ok = F.coalesce(F.col("recipient") != "", F.lit(False))
+    mail = lambda c: F.when(ok, c)
+    subject = F.concat(F.lit("Application: "), F.coalesce("title", F.lit("")), F.lit(f" — {applicant}"))
+    return own.select("job_id", mail(F.col("recipient")).alias("recipient"), mail(subject).alias("subject"), mail(F.col("body")).alias("body"), mail(F.col("_c.path")).alias("resume"), mail(F.col("_c.name")).alias("profile"), mail(F.col("_path")).alias("attachment"), mail(F.left("body", F.lit(400))).alias("preview"), F.when(~ok, "no address").alias("error"))
+
+
 def tally(df: DataFrame, outcome: str) -> DataFrame:
     """sent, failed, waiting and queued (what no outcome has yet, never below 0) of apply outcomes."""
     c = lambda v: F.count_if(F.col(outcome) == v)

@@ -493,3 +493,28 @@ _SCORES = [f"(CASE WHEN p_name = 'red widget' THEN 3 ELSE 0 END + CASE WHEN {_HA
 def profile_choice(spark, d):
     x = table(spark, d, "part").select("p_partkey", R.choose_profile(F.col("p_name"), _PROFILES, "base.pdf").alias("x"))
     return x.select("p_partkey", "x.name", "x.path", "x.score")
+
+
+_MAIL = "concat_ws(chr(10), 'Hi ' || p_brand || ' Team,', CASE WHEN p_retailprice > 1500 THEN 'Price ' || p_size END, repeat(p_type || ' ', 30))"
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS job_id, p_name, CASE WHEN p_type LIKE '%BRASS%' THEN ' ' ELSE lower(replace(p_brand, '#', '')) || '@example.com' END AS recipient, {_MAIL} AS body,
+  CASE WHEN a >= b AND a >= c THEN 'full' WHEN b >= c THEN 'data' ELSE 'default' END AS profile, CASE WHEN a >= b AND a >= c THEN 'full.pdf' WHEN b >= c THEN 'data.pdf' ELSE 'base.pdf' END AS resume
+  FROM (SELECT *, {_SCORES[0]} AS a, {_SCORES[1]} AS b, {_SCORES[2]} AS c FROM part))
+SELECT job_id, recipient, 'Application: ' || p_name || ' — Ann' AS subject, body, resume, profile, CASE WHEN resume <> 'full.pdf' THEN resume END AS attachment, left(body, 400) AS preview, NULL AS error FROM x WHERE recipient <> ' '
+UNION ALL SELECT job_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no address' FROM x WHERE recipient = ' '""")
+def mail_outbox(spark, d):
+    p = table(spark, d, "part")
+    recipient = F.when(F.col("p_type").contains("BRASS"), " ").otherwise(F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("@example.com")))
+    body = R.message([say("Hi {p_brand} Team,"), F.when(F.col("p_retailprice") > 1500, say("Price {p_size}")), F.repeat(say("{p_type} "), F.lit(30))])
+    jobs = p.select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title"), recipient.alias("recipient"), body.alias("said"))
+    files = spark.createDataFrame([("data.pdf",), ("base.pdf",), ("full.doc",), ("data.pdf",)], "path string")
+    return R.outbox(jobs.withColumnRenamed("said", "_said"), F.col("_said"), "Ann", _PROFILES, "base.pdf", files)
+
+
+@query("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'good' ELSE d.lang END AS lang FROM (SELECT doc_id, CASE WHEN source LIKE '%1' THEN ' ' WHEN source LIKE '%2' THEN NULL ELSE lang END AS lang FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE trim(CASE WHEN l.quality = 1 THEN 'good' ELSE d.lang END) <> ''")
+def enrich_dated(spark, d):
+    """Rows that have no value of their own and get none go."""
+    details = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("").alias("lang"))
+    own = F.when(F.col("source").endswith("1"), " ").when(F.col("source").endswith("2"), F.lit(None)).otherwise(F.col("lang"))
+    return R.overlay(table(spark, d, "documents").select("doc_id", own.alias("lang")), details, "doc_id", ["lang"], need="lang")
