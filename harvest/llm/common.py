@@ -124,24 +124,37 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     return rest.unionByName(rows.join(F.broadcast(often), keys))
 
 
-def tree_sums(parts: DataFrame, n: int, kind, fan_in: int = 64) -> DataFrame:
-    """(part, block, value): the sums by block of arrays in ``value`` (binary), of parts 0 .. n - 1, at most ``fan_in`` at a time.
-
-    Parts are added in their order, so rounding doesn't depend on which comes first.
-    """
+def _level(parts: DataFrame, kind, fan_in: int) -> DataFrame:
+    """(part, block, value): sums by block of ``fan_in`` neighbouring parts, added in their order, so rounding doesn't depend on which comes first."""
 
     def add(group: pa.Table) -> pa.Table:
         group = group.sort_by("of")
         value = sum(np.frombuffer(x.as_buffer(), kind) for x in group.column("value"))
         return pa.table([group.column("part")[:1], group.column("block")[:1], pa.array([np.asarray(value, kind).tobytes()], pa.binary())], names=["part", "block", "value"])
 
+    return parts.withColumn("of", F.col("part")).withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part", "block").applyInArrow(add, "part long, block long, value binary")
+
+
+def tree_sums(parts: DataFrame, n: int, kind, fan_in: int = 64) -> DataFrame:
+    """(part, block, value): the sums by block of arrays in ``value`` (binary), of parts 0 .. n - 1, at most ``fan_in`` at a time."""
     while True:
         n = -(-n // fan_in)
-        parts = parts.withColumn("of", F.col("part")).withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part", "block").applyInArrow(add, "part long, block long, value binary")
+        parts = _level(parts, kind, fan_in)
         if n <= 1:
             return parts
 
 
+def few_sums(parts: DataFrame, kind, fan_in: int = 64) -> dict[int, np.ndarray]:
+    """The same by block, for a few blocks of small arrays and any number of parts: two levels, and what is left, a row for
+    ``fan_in`` squared parts and block, is added in order on the driver."""
+    with small_batches(parts.sparkSession):
+        rows = sorted((r["block"], r["part"], r["value"]) for r in _level(_level(parts, kind, fan_in), kind, fan_in).collect())
+    out: dict[int, np.ndarray] = {}
+    for block, _, value in rows:
+        out[block] = out.get(block, 0) + np.frombuffer(value, kind)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, drop, kept, one_hash, table, tree_sums, whole_texts, word_hashes
+from .common import chunks, column_of, few_sums, kept, one_hash, table, whole_texts, word_hashes
 
 LABELLED = 4000
 ROUNDS = 4
@@ -195,13 +195,10 @@ def _sums(docs: DataFrame, w: list[np.ndarray], bounds: list[tuple[float, float]
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([part, part]), pa.array([0, 1]), pa.array([x.tobytes() for x in sums], pa.binary())], names=["part", "block", "value"])
 
-    parts = _own(docs).mapInArrow(run, "part long, block long, value binary")
-    summed = table(parts)
-    got = {r["block"]: np.frombuffer(r["value"]).reshape(2, -1) for r in tree_sums(summed, summed.select(F.max("part")).first()[0] + 1, np.float64, 16).collect()} if not summed.isEmpty() else {}
-    drop(summed)
+    got = few_sums(_own(docs).mapInArrow(run, "part long, block long, value binary"), np.float64)
     out = []
     for k, n in enumerate(map(len, w)):
-        x = got.get(k, np.zeros((2, 1 + 2 * n)))
+        x = got.get(k, np.zeros(2 + 4 * n)).reshape(2, -1)
         out.append((x[:, 0], x[:, 1 : n + 1], x[:, n + 1 :]))
     return out
 
