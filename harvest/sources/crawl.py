@@ -65,7 +65,9 @@ def follow(fetched: DataFrame, keep: Callable[[Column, Column], Column] = url.in
 
     def expand(frontier: DataFrame) -> DataFrame:
         a = L.anchors(frontier.join(fetched.select("url", "html"), "url"))
-        a = a.where(~url.bad_href(F.col("href"))).select("url", "pos", url.canonical_stored(url.resolve(F.col("href"), F.col("url"))).alias("target"))
+        a = a.where(~url.bad_href(F.col("href"))).withColumn("_full", url.resolve(F.col("href"), F.col("url")))
+        # a generator keeps the optimizer from writing the address out again wherever the condition names it
+        a = a.select("url", "pos", F.explode(F.array(url.canonical_stored(F.col("_full")))).alias("target"))
         return a.where(keep(F.col("target"), F.col("url")))
 
     return expand
