@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import errors
 
@@ -87,81 +89,92 @@ def accepted(found: DataFrame, stored: DataFrame, key: str, order: list[str], at
     return own.groupBy(key).transformWithStateInPandas(_First(key, order, at, keep_ms, found.columns), schema, *mode, initialState=keys.groupBy(key))
 
 
-class _Retries(StatefulProcessor):
-    """A job's entry in the retry queue: when it is due, what is known of the job, and how its next attempt ends."""
+class _Retries:
+    """The retry queue of a bucket of jobs: of each job when it is due, what is known of it, and how its next attempt ends.
 
-    EMPTY = (None, False, False, False, None)
+    A call for each job, with its own frames and its own ways to the state store, takes far longer than the few rows that it has, so jobs
+    come by buckets: one call and one value of state, Arrow's bytes of the entries. The state's timeout is the bucket's next turn.
+    """
+
+    STATE = "jobs binary"
+    CHANGES = "job_id {}, action string, retry_after long, at long"
+    #: What an entry holds: microseconds that it says, milliseconds of its next turn, and the job.
+    ENTRY = (("due", pa.int64()), ("turn", pa.int64()), ("known", pa.bool_()), ("applied", pa.bool_()), ("tried", pa.bool_()), ("error", pa.string()))
+    EMPTY = (None, None, False, False, False, None)
 
     def __init__(self, wait_ms: int, tick_ms: int):
         self.wait_ms, self.tick_ms = wait_ms, tick_ms
 
-    def init(self, handle):
-        self.handle, self.entry = handle, handle.getValueState("entry", "due long, known boolean, applied boolean, tried boolean, error string")
-
-    def _due(self, at: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if at is not None:
-            self.handle.registerTimer(-(-at // 1000))
-
-    def _worked(self, job, now: int) -> tuple:
-        """The change that working a due entry at a time makes."""
-        due, known, applied, tried, error = self.entry.get()
-        limited = re.search(errors.LIMITED, (error or "").lower()) is not None
-        action = "dequeue_missing" if not known else "dequeue_applied" if applied else "keep" if not tried else "applied" if not error else "requeue" if limited else "keep"
-        stays = action in ("keep", "requeue")
-        if action == "requeue":
-            due = again = (now + self.wait_ms) * 1000
-        else:
-            again = (now + self.tick_ms) * 1000
-        self._due(again if stays else None)
-        self.entry.update((due if stays else None, known, applied or action == "applied", False, None))
-        return job, action, pd.Timestamp(due, unit="us") if stays else None, pd.Timestamp(now, unit="ms")
-
-    def handleInputRows(self, key, rows, timerValues):
-        out, now = [], timerValues.getCurrentWatermarkInMs()
-        if any(t <= now for t in self.handle.listTimers()):  # due before these rows came
-            out.append(self._worked(key[0], now))
-        due, known, applied, tried, error = self.entry.get() if self.entry.exists() else self.EMPTY
-        for part in rows:
-            for kind, at, until, flag, text in part.sort_values("at", kind="stable")[["kind", "at", "retry_after", "applied", "error"]].itertuples(index=False):
-                if kind == "enqueue":
-                    due = until.value // 1000  # microseconds, as Spark has them; a timer has milliseconds
-                    self._due(due)
-                    out.append((key[0], "queued", until, at))
-                elif kind == "job":
-                    known, applied = True, bool(flag)
-                elif kind == "gone":
-                    known, applied = False, False
-                elif kind == "outcome":
-                    tried, error = True, text
-        self.entry.update((due, known, applied, tried, error))
-        yield _changes(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield _changes([self._worked(key[0], timerValues.getCurrentWatermarkInMs())])
-
-    def close(self):
-        pass
-
-
-def _changes(rows: list) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=["job_id", "action", "retry_after", "at"])
-    return df.assign(retry_after=pd.to_datetime(df["retry_after"]), at=pd.to_datetime(df["at"]))
-
-
-def retries(log: DataFrame, wait_hours: int = 2, tick_minutes: int = 30, late: str = "0 seconds") -> DataFrame:
+    def _unpacked(self, packed: bytes | None) -> dict:
+        if packed is None:
+            return {}
+        ids, *entries = (c.to_pylist() for c in pa.ipc.open_stream(packed).read_all().columns)
+        return dict(zip(ids, zip(*entries, strict=True), strict=True))
+
+    def _packed(self, jobs: dict) -> bytes:
+        columns = [pa.array(list(jobs)), *(pa.array(c, kind) for c, (_, kind) in zip(zip(*jobs.values(), strict=True), self.ENTRY, strict=True))]
+        all_jobs, out = pa.table(columns, names=["job_id", *(n for n, _ in self.ENTRY)]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, all_jobs.schema) as writer:
+            writer.write_table(all_jobs)
+        return out.getvalue().to_pybytes()
+
+    def _worked(self, jobs: dict, now: int) -> Iterator[tuple]:
+        """The changes that working the due entries at a time makes."""
+        for job, (due, turn, known, applied, tried, error) in list(jobs.items()):
+            if turn is None or turn > now:
+                continue
+            limited = re.search(errors.LIMITED, (error or "").lower()) is not None
+            action = "dequeue_missing" if not known else "dequeue_applied" if applied else "keep" if not tried else "applied" if not error else "requeue" if limited else "keep"
+            stays = action in ("keep", "requeue")
+            again = now + (self.wait_ms if action == "requeue" else self.tick_ms)
+            until = (again * 1000 if action == "requeue" else due) if stays else None
+            jobs[job] = (until, again if stays else None, known, applied or action == "applied", False, None)
+            yield job, action, until, now * 1000
+
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, jobs = state.getCurrentWatermarkMs(), self._unpacked(*(state.getOption or (None,)))
+        out = list(self._worked(jobs, now))  # due before these rows came, or without any
+        rows = [r for p in parts if len(p) for r in zip(*(p[c].tolist() for c in ("at_us", "job_id", "kind", "until_us", "applied", "error")), strict=True)]
+        for at, job, kind, until, flag, text in sorted(rows, key=lambda r: (r[0] != r[0], r[0])):
+            due, turn, known, applied, tried, error = jobs.get(job, self.EMPTY)
+            if kind == "enqueue":
+                due = int(until) if until == until else None
+                turn = None if due is None else -(-due // 1000)  # a timer has milliseconds
+                out.append((job, "queued", due, int(at) if at == at else None))
+            elif kind == "job":
+                known, applied = True, flag is True
+            elif kind == "gone":
+                known, applied = False, False
+            elif kind == "outcome":
+                tried, error = True, text
+            jobs[job] = (due, turn, known, applied, tried, error)
+        out += self._worked(jobs, now)  # queued for a time that has passed
+        if rows or out:
+            state.update((self._packed(jobs),))
+        turns = [e[1] for e in jobs.values() if e[1] is not None]
+        if turns:
+            state.setTimeoutTimestamp(max(min(turns) - 1, 1))  # a timeout waits until the watermark is beyond it
+        if out:
+            job, action, until, at = zip(*out, strict=True)
+            yield pd.DataFrame({"job_id": job, "action": action, "retry_after": pd.array(until, "Int64"), "at": pd.array(at, "Int64")})
+
+
+def retries(log: DataFrame, wait_hours: int = 2, tick_minutes: int = 30, late: str = "0 seconds", buckets: int = 4096) -> DataFrame:
     """(job_id, action, retry_after, at): every change of the retry queue, as a stream.
 
     log: (job_id, at, kind, retry_after, applied, error), where kind is enqueue (with retry_after), job (with applied), gone, or outcome, how the
     next attempt ends (error, empty for none). An entry is a timer: once the watermark of ``at`` reaches it, it is
     worked as ``relational.retry_run`` works a due entry at that time. Behind a limit it waits ``wait_hours`` more, kept ones are
     due at the next tick; an outcome serves one attempt. ``retry_after`` is the entry's time while it stays, else null.
+    State is kept by ``buckets`` of jobs, by their hash; a bucket's is written anew when one of its jobs changes, so with tens of millions of jobs take more.
     """
+    times = F.unix_micros("at").alias("at_us"), F.unix_micros("retry_after").alias("until_us")
     own = log.select("job_id", F.col("at").cast("timestamp").alias("at"), "kind", F.col("retry_after").cast("timestamp").alias("retry_after"), "applied", "error").withWatermark("at", late)
+    own = own.where("job_id is not null").select(F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"), "job_id", "at", *times, "kind", "applied", "error")
     job = log.schema["job_id"].dataType.simpleString()
     machine = _Retries(wait_hours * 3_600_000, tick_minutes * 60_000)
-    return own.where("job_id is not null").groupBy("job_id").transformWithStateInPandas(machine, f"job_id {job}, action string, retry_after timestamp, at timestamp", "append", "eventTime")
+    changes = own.groupBy("bucket").applyInPandasWithState(machine.__call__, machine.CHANGES.format(job), machine.STATE, "append", "EventTimeTimeout")
+    return changes.select("job_id", "action", *(F.timestamp_micros(c).alias(c) for c in ("retry_after", "at")))
 
 
 def queue_of(changes: DataFrame) -> DataFrame:

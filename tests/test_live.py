@@ -108,6 +108,24 @@ def test_timers_equal_runs_of_the_batch_worker(spark, tmp_path):
     assert sum(r.action == "queued" for r in rows) == 30
 
 
+def test_many_jobs_share_few_states(spark, tmp_path):
+    """Thousands of jobs take a call and a value of state for each bucket, not for each job."""
+    n, row = 3000, lambda j, at, kind, until=None, applied=None, error=None: (f"j{j}", at, kind, until, applied, error)
+    first = [r for j in range(n) for r in (row(j, hour(0), "enqueue", until=hour(1 + j % 3)), row(j, hour(0), "outcome", error=["", "got 429", "bad form"][j % 5 % 3])) if r[2] == "enqueue" or j % 5 < 3]
+    first += [row(j, hour(0), "job", applied=j % 7 == 0) for j in range(n) if j % 11]
+    parts = [[*first, row(-1, hour(2), "job", applied=True)], [row(-1, hour(2.1), "enqueue", until=hour(0.5))]]  # the last one's time has passed
+    stream = parts_of(spark, str(tmp_path / "in"), LOG.replace("job_id long", "job_id string"), parts)
+    with live.on_disk(spark):
+        query = live.retries(stream(2), buckets=8).writeStream.outputMode("append").format("memory").queryName("few_states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 8
+    got = {r.job_id: (r.action, r.retry_after, r.at) for r in spark.table("few_states").where("action <> 'queued'").collect()}
+    ends = lambda j: ("keep", hour(1 + j % 3)) if j % 5 > 2 else (("applied", None), ("requeue", hour(4)), ("keep", hour(1 + j % 3)))[j % 5]
+    want = {f"j{j}": ("dequeue_missing", None) if j % 11 == 0 else ("dequeue_applied", None) if j % 7 == 0 else ends(j) for j in range(n) if 1 + j % 3 <= 2}
+    assert got == {j: (*x, hour(2)) for j, x in want.items()} | {"j-1": ("dequeue_applied", None, hour(2))}
+    assert spark.table("few_states").where("action = 'queued'").count() == n + 1
+
+
 def test_provider_is_put_back(spark):
     before = spark.conf.get(live._PROVIDER, None)
     with live.on_disk(spark):
