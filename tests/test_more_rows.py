@@ -24,3 +24,15 @@ def both(spark, tmp_path, name, table, rows, columns):
 def test_error_classes_of_users_whose_number_holds_429(spark, tmp_path):
     got, want = both(spark, tmp_path, "error_classes", "events", [(k, u, "view") for k, u in enumerate([429] * 6 + [1429] * 6 + [7] * 6)], "event_id long, user_id long, event_type string")
     assert got == want and sum(x[1] for x in want) == 6
+
+
+def test_pages_source_of_addresses_that_repeat(spark, tmp_path):
+    urls = ["https://a.example.com/fr/1", "https://a.example.com/fr/1", "https://b.example.net/1", "https://b.example.net/1", "https://blog.a.example.com/x", "https://a.example.com/#x", "https://a.example.com/#x"]
+    got, want = both(spark, tmp_path, "pages_source", "pages", [(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert got == want and len(got) == len(urls)
+
+
+def test_answers_are_the_same_in_a_workers_next_run():
+    from harvest.plans.crawls import Answers
+
+    assert [Answers("https://a.example.com/fr/2")[0] for _ in range(4)] == [503, 200, 503, 200]
