@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, SEPARATORS, Lookup, chunks, drop, key_crc32, mix, multipliers, table, text_buffer, tree_sums, whole_texts, word_hashes
+from .common import CHUNK_BYTES, LOWER, SEPARATORS, Lookup, chunks, drop, key_crc32, mix, multipliers, table, text_buffer, tidy, tree_sums, whole_texts, word_hashes
 
 CLASSES = 32
 #: Leaves of a class, the first of them for the rest.
@@ -249,6 +249,14 @@ def _pieces(batches, limit: int = CHUNK_BYTES):
         yield now, pa.concat_arrays(held)
 
 
+def _add(w: np.ndarray, changes: pa.Table) -> None:
+    """Add the mean changes by block (block, value), where they lie in Arrow's memory."""
+    for b in changes.to_batches():
+        for k, value in zip(b.column("block").to_pylist(), b.column("value"), strict=True):
+            value = np.frombuffer(value.as_buffer(), np.float32)
+            w[k * _BLOCK : (k + 1) * _BLOCK] += value[: -_BLOCK].reshape(_BLOCK, CLASSES) / np.maximum(value[-_BLOCK:, None], 1)
+
+
 def train(training: DataFrame, model: Model, tokens_in_all: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> None:
     """Fit the weights on all training rows: each round takes another share of them.
 
@@ -286,15 +294,13 @@ def train(training: DataFrame, model: Model, tokens_in_all: int, rounds: int = R
                 yield from blocks()
 
         dealt = own.where(F.col("round") == turn).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "spread", "doc_id", "text").select("shard", "text")
+        # Tables of the weights' size pass through the driver one at a time: the broadcast goes as soon as its round is summed, and blocks are added where they lie.
         summed = table(tree_sums(dealt.mapInArrow(run, "part long, block long, value binary"), shards, np.float32))
-        got = summed.toArrow().sort_by("block")
-        w = model.w.copy()
-        for k, value in zip(got.column("block").to_pylist(), got.column("value").to_pylist(), strict=True):
-            value = np.frombuffer(value, np.float32)
-            w[k * _BLOCK : (k + 1) * _BLOCK] += value[: -_BLOCK].reshape(_BLOCK, CLASSES) / np.maximum(value[-_BLOCK:, None], 1)
-        model.w = w
+        now.destroy()
+        tidy(training.sparkSession)
+        _add(model.w, summed.toArrow())
         drop(summed)
-        now.unpersist()
+        pa.default_memory_pool().release_unused()
 
 
 def score(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:

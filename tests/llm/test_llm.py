@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import zlib
@@ -721,3 +722,20 @@ def test_lm_pieces_are_cut_by_rows_alone():
         assert [(t, s) for s, ts in got for t in ts] == texts
         assert want in (None, got)
         want = got
+
+
+def test_lm_a_round_leaves_nothing_of_the_weights_on_the_driver(spark, monkeypatch):
+    made, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: made.append(broadcast(value)) or made[-1])
+    docs = spark.createDataFrame([(k, f"some words {k % 7} again {k % 3}") for k in range(300)], "doc_id long, text string")
+    assert maxent_lm.score(docs, rounds=3).count() == 300
+    assert [os.path.exists(b._path) for b in made] == [False] * 3 + [True]  # one for each round, and the one that scores
+
+
+def test_lm_changes_are_added_by_block():
+    w, size = np.ones((2 * maxent_lm._BLOCK, maxent_lm.CLASSES), np.float32), maxent_lm._BLOCK
+    value = np.concatenate([np.full(size * maxent_lm.CLASSES, 6, np.float32), np.full(size - 1, 3, np.float32), np.zeros(1, np.float32)])
+    changes = pa.table({"part": [0], "block": [1], "value": pa.array([value.tobytes()], pa.binary())})
+    maxent_lm._add(w, changes)
+    maxent_lm._add(w, changes.slice(1))
+    assert (w[:size] == 1).all() and (w[size:-1] == 3).all() and (w[-1] == 7).all()
